@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_output
-from .common import scratch_path, table
+from . import bpe, quality, token_output
+from .common import scratch_path, table, written
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -25,6 +25,14 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = written(quality.statistics_of(table(spark, sf_dir, "documents")), "statistics")
+    model = quality.fit(stats, table(spark, sf_dir, "labels"))
+    return quality.judge(stats, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly"
+    )
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -44,6 +52,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
 }
 
