@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, token_output
+from . import bpe, decontaminate, quality, token_output
 from .common import scratch_path, table, written
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -50,10 +50,46 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("n_hit", decontaminate.covered(F.col("spans"))).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op6_decontaminate": op6_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words as lists; windows joined on their words; every word position inside an occurrence counted once.
+OP6_SQL = r"""
+with words as (
+  select 'd' as side, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all
+  select 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+bench as (
+  select distinct id as item_id, size, w[i:i + size - 1] as words from (
+    select id, w, least(10, len(w)) as size, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from words where side = 'b' and len(w) > 0)),
+sizes as (select distinct size from bench),
+grams as (
+  select id as doc_id, i, size, w[i:i + size - 1] as words from (
+    select id, w, size, unnest(range(1, len(w) - size + 2)) as i from words, sizes where side = 'd' and len(w) >= size)),
+hits as (select distinct doc_id, i, size, item_id from grams join bench using (size, words)),
+positions as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + size)) as p from hits) group by 1),
+items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as names from hits group by 1)
+select id as doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join positions on id = positions.doc_id left join items on id = items.doc_id where side = 'd'
+"""
+
+ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL}
