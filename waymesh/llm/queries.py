@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, token_output
+from . import bpe, decontaminate, near_dedup, quality, token_output
 from .common import scratch_path, table, written
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -62,11 +62,16 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Plan(shingle=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op6_decontaminate": op6_decontaminate,
+    "op8_near_dedup": op8_near_dedup,
 }
 
 #: Words as lists; windows joined on their words; every word position inside an occurrence counted once.
