@@ -27,6 +27,7 @@ name of their own and rename, so a repeated task replaces equal bytes.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -70,6 +71,8 @@ class WordEncoder:
 
     def __init__(self, tokenizer, dtype):
         self.tokenizer, self.dtype, self.memo = tokenizer, dtype, {}
+        ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+        self.plain = ids("AB. Cd, 1.") == ids("ab . cd , 1 .")
 
     def learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 4096):
@@ -85,15 +88,28 @@ class WordEncoder:
                 self.memo[word] = ids[before:cut].tobytes()
                 before = cut
 
-    def encode(self, text: bytes | None) -> bytes:
-        words = (text or b"").split()
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo.clear()
-            self.learn(list({w for w in words if w not in self.memo}))
-            return b"".join(map(self.memo.__getitem__, words))
+    def words(self, text: bytes | None) -> list[bytes]:
+        """Pieces that are encoded alike wherever they stand: ASCII lower case where the tokenizer lower-cases
+        anyway, and a full stop or comma cut off a word, which such a tokenizer never joins to letters or digits."""
+        text = text or b""
+        if self.plain and b"<|" not in text:
+            text = _STOPS(rb" \g<0>", text.lower())
+        return text.split()
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        cut = [self.words(t) for t in texts]
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        get = self.memo.get
+        known = [list(map(get, words)) for words in cut]
+        new = {w for words, got in zip(cut, known, strict=True) if None in got for w, v in zip(words, got, strict=True) if v is None}
+        if new:
+            self.learn(list(new))
+            known = [list(map(get, words)) if None in got else got for words, got in zip(cut, known, strict=True)]
+        return list(map(b"".join, known))
+
+
+_STOPS = re.compile(rb"(?<=[a-z0-9])[.,](?=\s)").sub
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -171,10 +187,11 @@ def write_tokens(
                 column = batch.column("key")
                 nulls.append(np.asarray(column.is_null()))
                 keys.append(np.asarray(column.fill_null(0)))
-                for value in utf8(batch.column("text")):
-                    ids = encoder.encode(value) + end
-                    counts.append(len(ids) // width)
-                    out.write(ids)
+                texts = list(utf8(batch.column("text")))
+                for at in range(0, len(texts), 64):
+                    for found in encoder.encode(texts[at : at + 64]):
+                        counts.append(len(found) // width + 1)
+                        out.write(found + end)
 
             take(first)
             for batch in batches:
