@@ -160,10 +160,10 @@ def sketches(docs: DataFrame, plan: Plan, *, key: str = "doc_id", text: str = "t
     return map_batches(source, work, schema)
 
 
-def _survives(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Pairs of signature rows that no batch prunes."""
-    alive = np.arange(len(a))
-    matches = np.zeros(len(a), np.int64)
+def _survives(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, plan: Plan, least: np.ndarray) -> np.ndarray:
+    """Pairs of signature rows whose sizes allow the threshold and that no batch prunes."""
+    alive = np.flatnonzero(100 * np.minimum(size_a, size_b) >= plan.percent * np.maximum(size_a, size_b))
+    matches = np.zeros(len(alive), np.int64)
     for i, fewest in enumerate(least):
         s = slice(i * BATCH, (i + 1) * BATCH)
         matches = matches + (a[alive, s] == b[alive, s]).sum(axis=1)
@@ -181,7 +181,7 @@ def _prune(pairs: DataFrame, plan: Plan) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, plan.hashes) for c in ("sig_a", "sig_b"))
-            alive = _survives(a, b, least)
+            alive = _survives(a, b, np.asarray(batch.column("size_a")), np.asarray(batch.column("size_b")), plan, least)
             part = batch.take(pa.array(alive))
             same = pa.array([x == y for x, y in zip(part.column("digest_a").to_pylist(), part.column("digest_b").to_pylist(), strict=True)], pa.bool_())
             matches = pa.array((a[alive] == b[alive]).sum(axis=1).astype(np.int32))
@@ -190,8 +190,25 @@ def _prune(pairs: DataFrame, plan: Plan) -> DataFrame:
     return map_batches(pairs, work, "a long, b long, same boolean, matches int")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
+    """Rows of sorted batches in runs of equal leading columns."""
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group and row[:n_keys] != group[0][:n_keys]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
+
+def _pairs_batch(found: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
+
+
 def _across(members: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs across components inside each bucket that no batch prunes.
+    """Pairs across components inside each bucket that no batch prunes, with the least pivot of their buckets.
 
     A bucket of more than ``block`` rows is dealt into blocks, and each two blocks
     meet in a group of their own, so a group holds two blocks at most.
@@ -199,12 +216,14 @@ def _across(members: DataFrame, plan: Plan) -> DataFrame:
     least = plan.least_matches()
     block = plan.block
 
-    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        first, second = rows[0][1:3]
-        ids, comps, own = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
-        sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, plan.hashes)
+    def compare(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        first, second, pivot = rows[0][1:4]
+        ids, comps, own, sizes = (np.array([r[k] for r in rows]) for k in (4, 5, 6, 7))
+        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(-1, plan.hashes)
         for i in range(len(rows)):
-            other = comps != comps[i]
+            other = (comps != comps[i]) & (ids != pivot)  # the pivot has met every row
+            if ids[i] == pivot:
+                continue
             if first == second:
                 other[: i + 1] = False
             elif own[i] == first:
@@ -213,37 +232,39 @@ def _across(members: DataFrame, plan: Plan) -> DataFrame:
                 continue
             j = np.flatnonzero(other)
             if len(j):
-                for k in j[_survives(np.broadcast_to(sig[i], (len(j), plan.hashes)), sig[j], least)].tolist():
-                    yield (int(min(ids[i], ids[k])), int(max(ids[i], ids[k])))
+                alive = _survives(np.broadcast_to(sig[i], (len(j), plan.hashes)), sig[j], np.full(len(j), sizes[i]), sizes[j], plan, least)
+                for k in j[alive].tolist():
+                    yield (int(min(ids[i], ids[k])), int(max(ids[i], ids[k])), pivot)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        found: list[tuple[int, int]] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    found += compare(group)
-                    group = []
-                group.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(found), strict=True)], names=["a", "b"])
-                found = []
-        if group and (found := list(compare(group))):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(found), strict=True)], names=["a", "b"])
+        found: dict[tuple[int, int], int] = {}
+        for group in _groups(batches, 3):
+            for a, b, pivot in compare(group):
+                found[a, b] = min(pivot, found.get((a, b), pivot))
+            if len(found) > 50_000:
+                yield _pairs_batch([(*k, v) for k, v in found.items()], ["a", "b", "family"])
+                found = {}
+        if found:
+            yield _pairs_batch([(*k, v) for k, v in found.items()], ["a", "b", "family"])
 
     blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = (
         members.withColumn("own", F.pmod(F.xxhash64("row_id"), blocks).cast("int"))
         .withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "met").alias("first"), F.greatest("own", "met").alias("second"), "row_id", "component", "own", "sig")
+        .select("key", F.least("own", "met").alias("first"), F.greatest("own", "met").alias("second"), "pivot", "row_id", "component", "own", "n_shingles", "sig")
         .repartition("key", "first", "second")
         .sortWithinPartitions("key", "first", "second")
-    )
-    return map_batches(dealt, work, "a long, b long").distinct()
+    )
+    return map_batches(dealt, work, "a long, b long, family long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
+    """Links among ``pairs`` (a, b, family) whose full shingle sets reach the threshold.
+
+    Sets travel to their family's groups, not to their pairs: a family of up to
+    ``block`` rows is one group, a larger one is dealt into blocks of which each
+    two that share a pair meet.  A group skips pairs that it has already joined.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = HashMemo()
@@ -258,27 +279,47 @@ def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key:
                 at += len(texts)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
+        for group in _groups(batches, 3):
+            sets = {a: np.frombuffer(s, np.uint64) for *_, a, b, s in group if b is None}
+            root = {a: a for a in sets}
+
+            def top(x: int) -> int:
+                while root[x] != x:  # noqa: B023
+                    root[x] = x = root[root[x]]  # noqa: B023
+                return x
+
+            found = []
+            for *_, a, b, _ in group:
+                if b is None or (ra := top(a)) == (rb := top(b)):
+                    continue
+                x, y = sorted((sets[a], sets[b]), key=len)
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= plan.percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if 100 * both >= plan.percent * (len(x) + len(y) - both):
+                    root[ra] = rb
+                    found.append((a, b))
+            if found:
+                yield _pairs_batch(found, ["a", "b"])
 
-    wanted = pairs.select(F.col("a").alias("row_id")).union(pairs.select(F.col("b").alias("row_id"))).distinct()
-    wanted = written(rows.select("row_id", "doc_id", "digest").join(wanted, "row_id", "left_semi"), "wanted")
+    ends = pairs.select("family", F.col("a").alias("row_id")).union(pairs.select("family", F.col("b").alias("row_id"))).distinct()
+    ends = written(ends, "ends")
+    known = rows.select("row_id", "doc_id", "digest")
+    wanted = written(known.join(ends.select("row_id").distinct(), "row_id", "left_semi"), "wanted")
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(
         wanted.select("doc_id").distinct(), "doc_id", "left_semi"
     )
     sets = map_batches(texts, work, "doc_id long, digest binary, shingles binary")
-    sets = written(wanted.join(sets, ["doc_id", "digest"]).select("row_id", "shingles").dropDuplicates(["row_id"]), "sets")
-    both = pairs.join(sets.select(F.col("row_id").alias("b"), F.col("shingles").alias("set_b")), "b").join(
-        sets.select(F.col("row_id").alias("a"), F.col("shingles").alias("set_a")), "a"
-    )
-    return map_batches(both.select("a", "b", "set_a", "set_b"), confirm, "a long, b long")
+    sets = wanted.join(sets, ["doc_id", "digest"]).select("row_id", "shingles").dropDuplicates(["row_id"])
+
+    blocks = ends.groupBy("family").agg(F.ceil(F.count("*") / plan.block).cast("int").alias("blocks"))
+    dealt = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    asked = pairs.join(blocks, "family").select("family", F.least(dealt("a"), dealt("b")).alias("first"), F.greatest(dealt("a"), dealt("b")).alias("second"), "a", "b")
+    asked = written(asked, "asked")
+    met = asked.select("family", "first", "second").distinct()
+    met = met.select("*", F.explode(F.array_distinct(F.array("first", "second"))).alias("own"))
+    placed = ends.join(blocks, "family").select("family", dealt("row_id").alias("own"), "row_id").join(met, ["family", "own"])
+    held = placed.join(sets, "row_id").select("family", "first", "second", F.col("row_id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    both = held.union(asked.withColumn("shingles", F.lit(None).cast("binary"))).repartition("family", "first", "second")
+    return map_batches(both.sortWithinPartitions("family", "first", "second"), confirm, "a long, b long")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -289,22 +330,21 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), *, key: str = "doc_id"
     """doc_id, n_shingles, component_id (the least id of the component) and kept, for every row of ``docs``."""
     rows = written(sketches(docs, plan, key=key, text=text), "sketches")
     known = rows.where("doc_id is not null")
-    sig = known.select("row_id", "digest", "sig")
+    sig = known.select("row_id", "digest", "sig", "n_shingles")
+    of = lambda c: sig.select(F.col("row_id").alias(c), *(F.col(x).alias(f"{y}_{c}") for x, y in (("digest", "digest"), ("sig", "sig"), ("n_shingles", "size"))))
 
     bands = known.select("row_id", F.explode("keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("row_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = written(bands.join(buckets, "key"), "members")
 
     stars = members.where("row_id <> pivot").select(F.col("pivot").alias("a"), F.col("row_id").alias("b")).distinct()
-    stars = stars.join(sig.select(F.col("row_id").alias("b"), F.col("digest").alias("digest_b"), F.col("sig").alias("sig_b")), "b").join(
-        sig.select(F.col("row_id").alias("a"), F.col("digest").alias("digest_a"), F.col("sig").alias("sig_a")), "a"
-    )
-    alike = written(_prune(stars, plan), "alike")
+    alike = written(_prune(stars.join(of("b"), "b").join(of("a"), "a"), plan), "alike")
     best = alike.where("not same").groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
+    best = written(best, "best")
     repeated = known.groupBy("doc_id").agg(F.min("row_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     links = written(
         alike.where("same").select("a", "b")
-        .union(_verify(best, docs, rows, plan, key, text))
+        .union(_verify(best.withColumn("family", F.col("a")), docs, rows, plan, key, text))
         .union(known.select("doc_id", F.col("row_id").alias("b")).join(repeated, "doc_id").where("a <> b").select("a", "b")),
         "links",
     )
@@ -314,17 +354,14 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), *, key: str = "doc_id"
     part = components.withColumnRenamed("id", "row_id")
     placed = members.where("n > 2").join(part, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_members = placed.join(split, "key").select("key", "n", "row_id", "component").join(sig.select("row_id", "sig"), "row_id")
-    rest = alike.where("not same").select("a", "b").join(best.withColumn("done", F.lit(True)), ["a", "b"], "left_anti")
+    open_members = placed.join(split, "key").select("key", "pivot", "n", "row_id", "component").join(sig.select("row_id", "n_shingles", "sig"), "row_id")
     ends = lambda c: part.select(F.col("row_id").alias(c), F.col("component").alias(f"component_{c}"))
     rest = (
-        rest.join(ends("a"), "a", "left").join(ends("b"), "b", "left")
-        .where("coalesce(component_a, a) <> coalesce(component_b, b)").select("a", "b")
+        alike.where("not same").select("a", "b").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+        .where("coalesce(component_a, a) <> coalesce(component_b, b)").select("a", "b", F.col("a").alias("family"))
     )
-    tested = best.select("a", "b")
-    more = written(
-        _across(open_members, plan).union(rest).distinct().join(tested, ["a", "b"], "left_anti"), "more"
-    )
+    more = _across(open_members, plan).union(rest).groupBy("a", "b").agg(F.min("family").alias("family"))
+    more = written(more.join(best, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         late = written(_verify(more, docs, rows, plan, key, text), "late-links")
         if late.limit(1).count():
