@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, near_dedup, quality, sharding, token_output, toxicity
+from . import bpe, chat_format, decontaminate, language_id, near_dedup, quality, sharding, token_output, toxicity
 from .common import crc_split, scratch_path, table, written
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -91,6 +91,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat_format.link_calls(*chat_format.turns_as_calls(table(spark, sf_dir, "conversations")))
+    return linked.select(
+        "conv_id",
+        "call_id",
+        "name",
+        "status",
+        "seq",
+        F.array_join("errors", "; ").alias("errors"),
+        "n_results",
+        "dangling",
+        F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op3_quality": op3_quality,
@@ -100,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_near_dedup": op8_near_dedup,
     "op9_language_id": op9_language_id,
+    "op10_chat_format": op10_chat_format,
 }
 
 #: Words as lists; windows joined on their words; every word position inside an occurrence counted once.
@@ -125,4 +141,29 @@ select id as doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_
 from words left join positions on id = positions.doc_id left join items on id = items.doc_id where side = 'd'
 """
 
-ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL}
+#: Chat turns as calls and results, linked by identifier; JSON with sorted keys.
+OP10_SQL = """
+with calls as (
+  select conv_id, turn, 'c' || conv_id || '-' || turn as call_id, case role when 'user' then 'ask' else 'configure' end as name, text,
+    case when turn >= 2 then 'c' || conv_id || '-' || (turn - 2) end as dep
+  from conversations where role in ('user', 'system')),
+results as (
+  select conv_id, 'c' || conv_id || '-' || (turn - 1) as call_id, min(turn) as turn, arg_min(text, struct_pack(turn := turn, text := text)) as content, count(*) as n
+  from conversations where role = 'assistant' group by 1, 2),
+known as (select distinct conv_id, call_id from calls),
+rows as (
+  select c.conv_id, c.call_id, c.name, case when r.n is null then 'pending' else 'linked' end as status, c.turn,
+    case when c.text is null then 'text: missing' else '' end as errors, coalesce(r.n, 0) as n_results,
+    case when c.dep is not null and k.call_id is null then 1 else 0 end as dangling, r.content,
+    json_object('text', c.text, 'turn', c.turn) as arguments
+  from calls c left join results r using (conv_id, call_id) left join known k on k.conv_id = c.conv_id and k.call_id = c.dep
+  union all
+  select r.conv_id, r.call_id, null, 'orphan', r.turn, '', r.n, 0, r.content, null
+  from results r anti join known using (conv_id, call_id))
+select conv_id, call_id, name, status, row_number() over (partition by conv_id order by turn) - 1 as seq, errors, n_results, dangling,
+  sha256('{' || concat_ws(',', '"arguments":' || arguments::varchar, '"content":' || to_json(content)::varchar, '"id":' || to_json(call_id)::varchar,
+    '"name":' || to_json(name)::varchar, '"status":' || to_json(status)::varchar) || '}') as json_sha256
+from rows
+"""
+
+ORACLES: dict[str, str] = {"op10_chat_format": OP10_SQL, "op6_decontaminate": OP6_SQL}
