@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, near_dedup, quality, sharding, token_output, toxicity
+from . import bpe, chat_format, decontaminate, html_text, language_id, near_dedup, quality, sharding, token_output, toxicity
 from .common import crc_split, scratch_path, table, written
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -25,6 +25,12 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars")
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(quality.statistics_of(table(spark, sf_dir, "documents")), "statistics")
     model = quality.fit(stats, table(spark, sf_dir, "labels"))
@@ -108,6 +114,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
+    "op2_html_text": op2_html_text,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_sharding": op5_sharding,
