@@ -12,14 +12,16 @@ Buckets of any size cost linear work where they agree.  First every member is
 compared with its bucket's least row alone, and each row's best pair is
 verified; the links' components are contracted.  Then only buckets that still
 hold two or more components are looked at again: all their pairs across
-components are compared inside tasks, in blocks of ``block`` rows, so no pair of
-a bucket goes untested and none is written out before the signatures agree.
+components are compared inside tasks, in blocks of ``block`` rows, first on
+signatures, then on full sets, so no pair of a bucket goes untested and only
+links are written out.
 
 Bands (``bands`` x ``rows``) miss a pair of similarity 0.8 with probability
 (1 - 0.8^6)^40 = 5e-6; pruning adds ``miss`` a batch at most.
 
 Defined cases: null or empty text has no shingles and links with nothing; a
-text of fewer words than a shingle is one shingle; equal sets always link; rows
+text of fewer words than a shingle is one shingle; equal sets always link, and
+one of them stands for all in the search; rows
 with the same id are one document and are linked; a row with a null id links
 with nothing, has a null component and is kept; an empty table gives no rows;
 other columns are ignored, and kept by ``drop_duplicates``.
@@ -51,7 +53,7 @@ class Plan:
     bands: int = 40
     rows: int = 6
     miss: float = 1e-6
-    block: int = 1024
+    block: int = 512
 
     @property
     def hashes(self) -> int:
@@ -173,7 +175,7 @@ def _survives(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarr
 
 
 def _prune(pairs: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs with both sketches -> a, b, same (equal sets) of those that stay, with the number of matches."""
+    """Pairs with both sketches -> a, b and the number of matches of those that stay."""
     least = plan.least_matches()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +185,10 @@ def _prune(pairs: DataFrame, plan: Plan) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, plan.hashes) for c in ("sig_a", "sig_b"))
             alive = _survives(a, b, np.asarray(batch.column("size_a")), np.asarray(batch.column("size_b")), plan, least)
             part = batch.take(pa.array(alive))
-            same = pa.array([x == y for x, y in zip(part.column("digest_a").to_pylist(), part.column("digest_b").to_pylist(), strict=True)], pa.bool_())
             matches = pa.array((a[alive] == b[alive]).sum(axis=1).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), same, matches], names=["a", "b", "same", "matches"])
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), matches], names=["a", "b", "matches"])
 
-    return map_batches(pairs, work, "a long, b long, same boolean, matches int")
+    return map_batches(pairs, work, "a long, b long, matches int")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
@@ -207,64 +208,104 @@ def _pairs_batch(found: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
 
 
-def _across(members: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs across components inside each bucket that no batch prunes, with the least pivot of their buckets.
+_HEAD = ["pivot", "first", "second"]
 
-    A bucket of more than ``block`` rows is dealt into blocks, and each two blocks
-    meet in a group of their own, so a group holds two blocks at most.
+
+def _alive_across(rows: list[tuple], plan: Plan, least: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a group the later rows of another component that no batch prunes.
+
+    Rows are (pivot, first, second, own, row_id, component, n_shingles, sig, ...).
+    """
+    first, second = rows[0][1:3]
+    own, comps, sizes = (np.array([r[k] for r in rows]) for k in (3, 5, 6))
+    sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, plan.hashes)
+    for i in range(len(rows)):
+        other = comps != comps[i]
+        if first == second:
+            other[: i + 1] = False
+        elif own[i] == first:
+            other &= own == second
+        else:
+            continue
+        j = np.flatnonzero(other)
+        if len(j):
+            yield i, j[_survives(np.broadcast_to(sig[i], (len(j), plan.hashes)), sig[j], np.full(len(j), sizes[i]), sizes[j], plan, least)]
+
+
+def _doubtful(members: DataFrame, plan: Plan) -> DataFrame:
+    """The rows of each group that agree with a row of another component: pivot, first, second, own, row_id.
+
+    Rows that share a pivot are a group; a larger one than ``block`` is dealt into
+    blocks, and each two blocks meet in a group of their own, so no task holds more
+    than two blocks.  Pairs stay inside the task.
     """
     least = plan.least_matches()
-    block = plan.block
-
-    def compare(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        first, second, pivot = rows[0][1:4]
-        ids, comps, own, sizes = (np.array([r[k] for r in rows]) for k in (4, 5, 6, 7))
-        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(-1, plan.hashes)
-        for i in range(len(rows)):
-            other = (comps != comps[i]) & (ids != pivot)  # the pivot has met every row
-            if ids[i] == pivot:
-                continue
-            if first == second:
-                other[: i + 1] = False
-            elif own[i] == first:
-                other &= own == second
-            else:
-                continue
-            j = np.flatnonzero(other)
-            if len(j):
-                alive = _survives(np.broadcast_to(sig[i], (len(j), plan.hashes)), sig[j], np.full(len(j), sizes[i]), sizes[j], plan, least)
-                for k in j[alive].tolist():
-                    yield (int(min(ids[i], ids[k])), int(max(ids[i], ids[k])), pivot)
+    names = [*_HEAD, "own", "row_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], int] = {}
         for group in _groups(batches, 3):
-            for a, b, pivot in compare(group):
-                found[a, b] = min(pivot, found.get((a, b), pivot))
-            if len(found) > 50_000:
-                yield _pairs_batch([(*k, v) for k, v in found.items()], ["a", "b", "family"])
-                found = {}
-        if found:
-            yield _pairs_batch([(*k, v) for k, v in found.items()], ["a", "b", "family"])
-
-    blocks = F.ceil(F.col("n") / block).cast("int")
+            hit: set[int] = set()
+            for i, j in _alive_across(group, plan, least):
+                if len(j):
+                    hit.add(i)
+                    hit.update(j.tolist())
+            if hit:
+                rows = [group[i][:5] for i in sorted(hit)]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / plan.block).cast("int").alias("blocks"))
     dealt = (
-        members.withColumn("own", F.pmod(F.xxhash64("row_id"), blocks).cast("int"))
-        .withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "met").alias("first"), F.greatest("own", "met").alias("second"), "pivot", "row_id", "component", "own", "n_shingles", "sig")
-        .repartition("key", "first", "second")
-        .sortWithinPartitions("key", "first", "second")
+        members.join(blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("row_id"), "blocks").cast("int"))
+        .withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("pivot", F.least("own", "met").alias("first"), F.greatest("own", "met").alias("second"), "own", "row_id", "component", "n_shingles", "sig")
+        .repartition(*_HEAD).sortWithinPartitions(*_HEAD)
     )
-    return map_batches(dealt, work, "a long, b long, family long")
+    return map_batches(dealt, work, "pivot long, first int, second int, own int, row_id long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
-    """Links among ``pairs`` (a, b, family) whose full shingle sets reach the threshold.
+def _late_links(doubtful: DataFrame, sketched: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Links between components among the doubtful rows of each group, confirmed on full sets inside the task."""
+    least = plan.least_matches()
 
-    Sets travel to their family's groups, not to their pairs: a family of up to
-    ``block`` rows is one group, a larger one is dealt into blocks of which each
-    two that share a pair meet.  A group skips pairs that it has already joined.
-    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            values = [np.frombuffer(r[8], np.uint64) for r in group]
+            lengths = np.array([len(v) for v in values])
+            root = {r[5]: r[5] for r in group}
+
+            def top(x: int) -> int:
+                while root[x] != x:  # noqa: B023
+                    root[x] = x = root[root[x]]  # noqa: B023
+                return x
+
+            found = []
+            for i, j in _alive_across(group, plan, least):
+                j = np.array([k for k in j.tolist() if top(group[k][5]) != top(group[i][5])], np.int64)
+                if not len(j):
+                    continue
+                together = np.concatenate([values[k] for k in j])
+                own = values[i]
+                hits = own[np.minimum(np.searchsorted(own, together), len(own) - 1)] == together
+                both = np.add.reduceat(hits, np.concatenate(([0], np.cumsum(lengths[j])[:-1])), dtype=np.int64)
+                for k in j[100 * both >= plan.percent * (len(own) + lengths[j] - both)].tolist():
+                    a, b = top(group[i][5]), top(group[k][5])
+                    if a != b:
+                        root[a] = b
+                        found.append((group[i][4], group[k][4]))
+            if found:
+                yield _pairs_batch(found, ["a", "b"])
+
+    rows = (
+        doubtful.join(sketched, "row_id").join(sets, "row_id")
+        .select(*_HEAD, "own", "row_id", "component", "n_shingles", "sig", "shingles")
+        .repartition(*_HEAD).sortWithinPartitions(*_HEAD)
+    )
+    return map_batches(rows, work, "a long, b long")
+
+
+def _full_sets(ids: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
+    """row_id and all shingles of the rows with these ids, from the texts again: sets are never stored for all documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = HashMemo()
@@ -278,6 +319,22 @@ def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key:
                 )
                 at += len(texts)
 
+    wanted = written(rows.select("row_id", "doc_id", "digest").join(ids, "row_id", "left_semi"), "wanted")
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(
+        wanted.select("doc_id").distinct(), "doc_id", "left_semi"
+    )
+    sets = map_batches(texts, work, "doc_id long, digest binary, shingles binary")
+    return wanted.join(sets, ["doc_id", "digest"]).select("row_id", "shingles").dropDuplicates(["row_id"])
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
+    """Links among ``pairs`` (a, b, family) whose full shingle sets reach the threshold.
+
+    Sets travel to their family's groups, not to their pairs: a family of up to
+    ``block`` rows is one group, a larger one is dealt into blocks of which each
+    two that share a pair meet.  A group skips pairs that it has already joined.
+    """
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             sets = {a: np.frombuffer(s, np.uint64) for *_, a, b, s in group if b is None}
@@ -302,13 +359,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key:
 
     ends = pairs.select("family", F.col("a").alias("row_id")).union(pairs.select("family", F.col("b").alias("row_id"))).distinct()
     ends = written(ends, "ends")
-    known = rows.select("row_id", "doc_id", "digest")
-    wanted = written(known.join(ends.select("row_id").distinct(), "row_id", "left_semi"), "wanted")
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(
-        wanted.select("doc_id").distinct(), "doc_id", "left_semi"
-    )
-    sets = map_batches(texts, work, "doc_id long, digest binary, shingles binary")
-    sets = wanted.join(sets, ["doc_id", "digest"]).select("row_id", "shingles").dropDuplicates(["row_id"])
+    sets = _full_sets(ends.select("row_id").distinct(), docs, rows, plan, key, text)
 
     blocks = ends.groupBy("family").agg(F.ceil(F.count("*") / plan.block).cast("int").alias("blocks"))
     dealt = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
@@ -330,40 +381,44 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), *, key: str = "doc_id"
     """doc_id, n_shingles, component_id (the least id of the component) and kept, for every row of ``docs``."""
     rows = written(sketches(docs, plan, key=key, text=text), "sketches")
     known = rows.where("doc_id is not null")
-    sig = known.select("row_id", "digest", "sig", "n_shingles")
-    of = lambda c: sig.select(F.col("row_id").alias(c), *(F.col(x).alias(f"{y}_{c}") for x, y in (("digest", "digest"), ("sig", "sig"), ("n_shingles", "size"))))
-
-    bands = known.select("row_id", F.explode("keys").alias("key"))
+    # equal sets are linked as they are, and compared with others once
+    classes = known.where("n_shingles > 0").groupBy("digest").agg(F.min("row_id").alias("row_id"))
+    equal = known.select("digest", F.col("row_id").alias("b")).join(classes.withColumnRenamed("row_id", "a"), "digest").where("a <> b").select("a", "b")
+    first = written(known.join(classes.select("row_id"), "row_id", "left_semi"), "first")
+    sig = first.select("row_id", "sig", "n_shingles")
+    of = lambda c: sig.select(F.col("row_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"size_{c}"))
+
+    bands = first.select("row_id", F.explode("keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("row_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = written(bands.join(buckets, "key"), "members")
 
     stars = members.where("row_id <> pivot").select(F.col("pivot").alias("a"), F.col("row_id").alias("b")).distinct()
     alike = written(_prune(stars.join(of("b"), "b").join(of("a"), "a"), plan), "alike")
-    best = alike.where("not same").groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
+    best = alike.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
     best = written(best, "best")
     repeated = known.groupBy("doc_id").agg(F.min("row_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     links = written(
-        alike.where("same").select("a", "b")
-        .union(_verify(best.withColumn("family", F.col("a")), docs, rows, plan, key, text))
+        equal.union(_verify(best.withColumn("family", F.col("a")), docs, rows, plan, key, text))
         .union(known.select("doc_id", F.col("row_id").alias("b")).join(repeated, "doc_id").where("a <> b").select("a", "b")),
         "links",
     )
     components = _components(links)
 
-    # what may still join two components: other pairs of the stars, and pairs that no star has compared
+    # what may still join two components: rows of one bucket, and pairs with a pivot that was not the best
     part = components.withColumnRenamed("id", "row_id")
     placed = members.where("n > 2").join(part, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_members = placed.join(split, "key").select("key", "pivot", "n", "row_id", "component").join(sig.select("row_id", "n_shingles", "sig"), "row_id")
     ends = lambda c: part.select(F.col("row_id").alias(c), F.col("component").alias(f"component_{c}"))
     rest = (
-        alike.where("not same").select("a", "b").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
-        .where("coalesce(component_a, a) <> coalesce(component_b, b)").select("a", "b", F.col("a").alias("family"))
+        alike.join(best, ["a", "b"], "left_anti").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+        .where("coalesce(component_a, a) <> coalesce(component_b, b)").select(F.col("a").alias("pivot"), F.explode(F.array("a", "b")).alias("row_id"))
     )
-    more = _across(open_members, plan).union(rest).groupBy("a", "b").agg(F.min("family").alias("family"))
-    more = written(more.join(best, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        late = written(_verify(more, docs, rows, plan, key, text), "late-links")
+    open_rows = placed.join(split, "key").select("pivot", "row_id").union(rest).distinct()
+    sketched = sig.join(part, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
+    doubtful = written(_doubtful(open_rows.join(sketched, "row_id"), plan), "doubtful")
+    if doubtful.limit(1).count():
+        sets = _full_sets(doubtful.select("row_id").distinct(), docs, rows, plan, key, text)
+        late = written(_late_links(doubtful, sketched, sets, plan), "late-links")
         if late.limit(1).count():
             components = _components(links.union(late))
 
