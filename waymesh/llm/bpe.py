@@ -98,10 +98,11 @@ class Encoder:
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
         memo = self.memo
-        new = {p for pieces in cut for p in pieces if p not in memo}
-        if new:
+        own = set().union(*cut)
+        if new := {p for p in own if p not in memo}:
             self.learn(new)
-        return [b"".join(map(memo.__getitem__, pieces)) for pieces in cut]
+        near = {p: memo[p] for p in own}  # small: most look-ups are of pre-tokens met in the same texts
+        return [b"".join(map(near.__getitem__, pieces)) for pieces in cut]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

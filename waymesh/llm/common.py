@@ -77,7 +77,8 @@ class HashMemo(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        near = {w: self[w] for w in set(words)}  # small: most look-ups are of words met in the same texts
+        return np.fromiter(map(near.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

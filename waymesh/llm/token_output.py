@@ -27,7 +27,7 @@ name of their own and rename, so a repeated task replaces equal bytes.
 
 from __future__ import annotations
 
-import re
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -72,44 +72,68 @@ class WordEncoder:
     def __init__(self, tokenizer, dtype):
         self.tokenizer, self.dtype, self.memo = tokenizer, dtype, {}
         ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
-        self.plain = ids("AB. Cd, 1.") == ids("ab . cd , 1 .")
+        self.lower = ids("AB Cd") == ids("ab cd")
+        # a run of letters is one pre-token whose last token bears the suffix, if the vocabulary has one,
+        # and a stop after it is a pre-token of its own
+        suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends, self.stops = np.zeros(max(vocabulary.values()) + 1, bool), {}
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            if all(ids(f"ab{x} é{x}") == ids(f"ab {x} é {x}") for x in ".,"):
+                self.stops = {x: np.array(ids(x), dtype).tobytes() for x in ".,"}
 
     def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            strings = [w.decode() for w in part]
-            ends = np.cumsum([len(s) + 1 for s in strings])
-            got = self.tokenizer.encode(" ".join(strings), add_special_tokens=False)
+        rest = []
+        for at in range(0, len(words), 8192):
+            strings = [w.decode() for w in words[at : at + 8192]]
+            if not self.stops:
+                rest += strings
+                continue
+            letters, kept = [], []
+            for s in strings:
+                body = s[:-1] if s[-1] in self.stops else s
+                if body.isalpha():
+                    letters.append(body)
+                    kept.append(s)
+                else:
+                    rest.append(s)
+            if letters:
+                (got,) = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)
+                ids = np.array(got.ids, self.dtype)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(letters):
+                    self._keep(kept, ids, cuts)
+                else:
+                    rest += kept
+        for at in range(0, len(rest), 8192):
+            part = rest[at : at + 8192]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(got.ids, self.dtype)
             begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(begins, ends).tolist()
-            before = 0
-            for word, cut in zip(part, cuts, strict=True):
-                self.memo[word] = ids[before:cut].tobytes()
-                before = cut
+            self._keep(part, ids, np.searchsorted(begins, np.cumsum([len(s) + 1 for s in part])), whole=True)
+
+    def _keep(self, strings: list[str], ids: np.ndarray, cuts: np.ndarray, whole: bool = False) -> None:
+        raw, before, tails = ids.tobytes(), 0, {} if whole else self.stops
+        for word, cut in zip(strings, (cuts * ids.itemsize).tolist(), strict=True):
+            self.memo[word.encode()] = raw[before:cut] + tails.get(word[-1], b"")
+            before = cut
 
     def words(self, text: bytes | None) -> list[bytes]:
-        """Pieces that are encoded alike wherever they stand: ASCII lower case where the tokenizer lower-cases
-        anyway, and a full stop or comma cut off a word, which such a tokenizer never joins to letters or digits."""
+        """Words in ASCII lower case where the tokenizer lower-cases anyway."""
         text = text or b""
-        if self.plain and b"<|" not in text:
-            text = _STOPS(rb" \g<0>", text.lower())
-        return text.split()
+        return (text.lower() if self.lower and b"<|" not in text else text).split()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         cut = [self.words(t) for t in texts]
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        get = self.memo.get
-        known = [list(map(get, words)) for words in cut]
-        new = {w for words, got in zip(cut, known, strict=True) if None in got for w, v in zip(words, got, strict=True) if v is None}
-        if new:
-            self.learn(list(new))
-            known = [list(map(get, words)) if None in got else got for words, got in zip(cut, known, strict=True)]
-        return list(map(b"".join, known))
-
-
-_STOPS = re.compile(rb"(?<=[a-z0-9])[.,](?=\s)").sub
+        memo = self.memo
+        own = set().union(*cut)
+        if new := [w for w in own if w not in memo]:
+            self.learn(new)
+        near = {w: memo[w] for w in own}  # small: most look-ups are of words met in the same texts
+        return [b"".join(map(near.__getitem__, words)) for words in cut]
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -188,8 +212,8 @@ def write_tokens(
                 nulls.append(np.asarray(column.is_null()))
                 keys.append(np.asarray(column.fill_null(0)))
                 texts = list(utf8(batch.column("text")))
-                for at in range(0, len(texts), 64):
-                    for found in encoder.encode(texts[at : at + 64]):
+                for at in range(0, len(texts), 256):
+                    for found in encoder.encode(texts[at : at + 256]):
                         counts.append(len(found) // width + 1)
                         out.write(found + end)
 
