@@ -28,6 +28,7 @@ name of their own and rename, so a repeated task replaces equal bytes.
 from __future__ import annotations
 
 import json
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,9 +40,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, map_batches, mixed, utf8, written
+from .common import map_batches, mixed, utf8, written
 from .perfect_hash import PerfectHash
 
+#: Words whose ids a worker remembers before it forgets them all.
+MEMO_ENTRIES = 500_000
 MAGIC = 0x4B4F5459414D5741
 _MANIFEST = (
     "shard int, n_docs long, n_tokens long, first_key long, first_null boolean, n_first long, "
@@ -61,63 +64,81 @@ def fingerprints(hashes: np.ndarray) -> np.ndarray:
     return (mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _letters(word: bytes) -> bool:
+    """Whether a word is letters only, also after composition and lower-casing."""
+    return word.isalpha() or unicodedata.normalize("NFC", word.decode()).lower().isalpha()
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, word by word through a memo.
 
     Such a tokenizer never joins what ASCII white space separates, so the ids of a
-    text are those of its words one after another.  Unknown words of a text are
-    encoded in one library call and told apart by their offsets.
+    text are those of its words one after another.  Unknown runs of letters are
+    encoded in one library call and told apart by the suffix that ends a word;
+    the other unknown words are encoded as texts of their own.
     """
 
     def __init__(self, tokenizer, dtype):
         self.tokenizer, self.dtype, self.memo = tokenizer, dtype, {}
         ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
         self.lower = ids("AB Cd") == ids("ab cd")
+        spec = json.loads(tokenizer.to_str())
         # a run of letters is one pre-token whose last token bears the suffix, if the vocabulary has one,
         # and a stop after it is a pre-token of its own
-        suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+        suffix = spec["model"].get("end_of_word_suffix")
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.ends, self.stops = np.zeros(max(vocabulary.values()) + 1, bool), {}
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
             if all(ids(f"ab{x} é{x}") == ids(f"ab {x} é {x}") for x in ".,"):
-                self.stops = {x: np.array(ids(x), dtype).tobytes() for x in ".,"}
+                self.stops = {x.encode(): np.array(ids(x), dtype).tobytes() for x in ".,"}
+        # lower-case ASCII letters come through these normalizers as they are
+        steps = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
+        steps = steps["normalizers"] if steps["type"] == "Sequence" else [steps]
+        plain = all(s["type"] in ("NFC", "Lowercase") or s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} for s in steps)
+        self.plain = type(tokenizer).from_str(json.dumps(spec | {"normalizer": None})) if plain else tokenizer
 
     def learn(self, words: list[bytes]) -> None:
-        rest = []
-        for at in range(0, len(words), 8192):
-            strings = [w.decode() for w in words[at : at + 8192]]
-            if not self.stops:
-                rest += strings
+        """Puts the ids of unknown words into the memo: runs of letters first, by themselves, then what is left."""
+        memo, stops = self.memo, self.stops
+        ascii_letters, letters, rest, stopped = [], [], [], []
+        seen = set()
+        for w in words:
+            raw = w
+            if len(w) > 1 and w[-1:] in stops:
+                raw = w[:-1]  # a stop is a pre-token of its own after letters
+                if not _letters(raw):
+                    rest.append(w.decode())
+                    continue
+                stopped.append(w)
+            if raw in memo or raw in seen:
                 continue
-            letters, kept = [], []
-            for s in strings:
-                body = s[:-1] if s[-1] in self.stops else s
-                if body.isalpha():
-                    letters.append(body)
-                    kept.append(s)
-                else:
-                    rest.append(s)
-            if letters:
-                (got,) = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)
-                ids = np.array(got.ids, self.dtype)
-                cuts = np.flatnonzero(self.ends[ids]) + 1
-                if len(cuts) == len(letters):
-                    self._keep(kept, ids, cuts)
-                else:
-                    rest += kept
-        for at in range(0, len(rest), 8192):
-            part = rest[at : at + 8192]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, self.dtype)
-            begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
-            self._keep(part, ids, np.searchsorted(begins, np.cumsum([len(s) + 1 for s in part])), whole=True)
-
-    def _keep(self, strings: list[str], ids: np.ndarray, cuts: np.ndarray, whole: bool = False) -> None:
-        raw, before, tails = ids.tobytes(), 0, {} if whole else self.stops
-        for word, cut in zip(strings, (cuts * ids.itemsize).tolist(), strict=True):
-            self.memo[word.encode()] = raw[before:cut] + tails.get(word[-1], b"")
-            before = cut
+            seen.add(raw)
+            if stops and raw.isalpha() and raw.islower():
+                ascii_letters.append(raw.decode())
+            elif stops and _letters(raw):
+                letters.append(raw.decode())
+            else:
+                rest.append(raw.decode())
+        for tokenizer, strings in ((self.plain, ascii_letters), (self.tokenizer, letters)):
+            for at in range(0, len(strings), 1024):
+                part = strings[at : at + 1024]
+                (found,) = tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+                ids = np.array(found.ids, self.dtype)
+                cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+                if len(cuts) != len(part):
+                    rest += part
+                    continue
+                joined, before = ids.tobytes(), 0
+                for s, cut in zip(part, cuts, strict=True):
+                    memo[s.encode()] = joined[before:cut]
+                    before = cut
+        for at in range(0, len(rest), 1024):
+            part = rest[at : at + 1024]
+            for s, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                memo[s.encode()] = np.array(found.ids, self.dtype).tobytes()
+        for w in stopped:
+            memo[w] = memo[w[:-1]] + stops[w[-1:]]
 
     def words(self, text: bytes | None) -> list[bytes]:
         """Words in ASCII lower case where the tokenizer lower-cases anyway."""
