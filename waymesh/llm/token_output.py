@@ -35,16 +35,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, mixed, utf8, written
+from .common import map_batches, mixed, written
 from .perfect_hash import PerfectHash
 
 #: Words whose ids a worker remembers before it forgets them all.
 MEMO_ENTRIES = 500_000
+_CHUNK_BYTES = 8 << 20
 MAGIC = 0x4B4F5459414D5741
 _MANIFEST = (
     "shard int, n_docs long, n_tokens long, first_key long, first_null boolean, n_first long, "
@@ -140,21 +142,42 @@ class WordEncoder:
         for w in stopped:
             memo[w] = memo[w[:-1]] + stops[w[-1:]]
 
-    def words(self, text: bytes | None) -> list[bytes]:
-        """Words in ASCII lower case where the tokenizer lower-cases anyway."""
-        text = text or b""
-        return (text.lower() if self.lower and b"<|" not in text else text).split()
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        cut = [self.words(t) for t in texts]
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text with its end id, and all those ids one after another."""
+        texts = texts.fill_null("")
+        if self.lower:
+            # ASCII lower case, where that can't turn a text into a special token's name
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
         memo = self.memo
-        own = set().union(*cut)
-        if new := [w for w in own if w not in memo]:
+        if new := [w for w in words if w not in memo]:
             self.learn(new)
-        near = {w: memo[w] for w in own}  # small: most look-ups are of words met in the same texts
-        return [b"".join(map(near.__getitem__, words)) for words in cut]
+        known = [memo[w] for w in words]
+        # the end id is one more word, after the last one of each text
+        bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
+        numbers = np.insert(np.asarray(coded.indices), bounds[1:], len(words))
+        pool = np.append(np.frombuffer(b"".join(known), self.dtype), np.array([end_id], self.dtype))
+        lengths = np.append(np.fromiter(map(len, known), np.int64, len(words)) // pool.itemsize, 1)
+        starts = np.cumsum(lengths) - lengths
+        each = lengths[numbers]
+        upto = np.cumsum(each)
+        ids = pool[np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - each - starts[numbers], each)]
+        return np.diff(upto[bounds[1:] + np.arange(len(texts))], prepend=0), ids
+
+
+def _chunks(column: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about ``_CHUNK_BYTES`` of text: bounded memory, whatever the texts' lengths."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+    at = 0
+    while at < len(column):
+        before = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + _CHUNK_BYTES, "right")))
+        yield column.slice(at, end - at)
+        at = end
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -215,7 +238,6 @@ def write_tokens(
     dtype = np.uint16 if max(vocabulary - 1, end_id) < 1 << 16 else np.uint32
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = spark.sparkContext.broadcast(spec)  # one tokenizer file: its size does not follow the data
-    end = np.array([end_id], dtype).tobytes()
     width = np.dtype(dtype).itemsize
 
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,26 +254,25 @@ def write_tokens(
                 column = batch.column("key")
                 nulls.append(np.asarray(column.is_null()))
                 keys.append(np.asarray(column.fill_null(0)))
-                texts = list(utf8(batch.column("text")))
-                for at in range(0, len(texts), 256):
-                    for found in encoder.encode(texts[at : at + 256]):
-                        counts.append(len(found) // width + 1)
-                        out.write(found + end)
+                for texts in _chunks(batch.column("text")):
+                    n_ids, ids = encoder.encode(texts, end_id)
+                    counts.append(n_ids)
+                    out.write(ids.tobytes())
 
             take(first)
             for batch in batches:
                 take(batch)
-            firsts = np.concatenate(([0], np.cumsum(counts))).astype(np.uint64)
+            firsts = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.uint64)
             out.write(np.concatenate(keys).astype(np.int64).tobytes())
             out.write(np.concatenate(nulls).astype(np.uint8).tobytes())
             out.write(firsts.tobytes())
-            out.write(np.array([len(counts), firsts[-1], width, MAGIC], np.uint64).tobytes())
+            out.write(np.array([len(firsts) - 1, firsts[-1], width, MAGIC], np.uint64).tobytes())
 
         _publish(fs, folder, f"shard-{shard:05d}.tok", body)
         k, z = np.concatenate(keys), np.concatenate(nulls)
         same = lambda i: int(((k == k[i]) & (z == z[i])).sum())
         row = {
-            "shard": shard, "n_docs": len(counts), "n_tokens": int(sum(counts)),
+            "shard": shard, "n_docs": len(k), "n_tokens": int(sum(map(np.sum, counts))),
             "first_key": int(k[0]), "first_null": bool(z[0]), "n_first": same(0),
             "last_key": int(k[-1]), "last_null": bool(z[-1]), "n_last": same(-1),
         }
