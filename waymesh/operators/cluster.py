@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bbox, geo
+from ..shared import cut
 from .components import connected_components
 
 
@@ -89,14 +90,14 @@ def merge_boxes(boxes: DataFrame, share: float = 0.5, *, cell: float = 100.0, ma
     hulls = boxes.select("node_id", "bbox")
     members = boxes.select("node_id", F.col("node_id").alias("cluster_id"))
     for _ in range(max_rounds):
-        pairs = overlapping_boxes(hulls, share, cell=cell).checkpoint(eager=True)
+        pairs = cut(overlapping_boxes(hulls, share, cell=cell))
         if not pairs.limit(1).count():
             break
         found = single_linkage(hulls, pairs, "node_id").withColumnRenamed("cluster_id", "to").withColumnRenamed("node_id", "cluster_id")
-        members = members.join(found, "cluster_id").select("node_id", F.col("to").alias("cluster_id")).checkpoint(eager=True)
+        members = cut(members.join(found, "cluster_id").select("node_id", F.col("to").alias("cluster_id")))
         each = boxes.join(members, "node_id").select("cluster_id", "bbox.*")
         ends = {f"{f}{n}": g(f"{f}{n}") for f in "xyt" for n, g in ((1, F.min), (2, F.max))}
-        hulls = each.groupBy("cluster_id").agg(bbox.make(**ends).alias("bbox")).withColumnRenamed("cluster_id", "node_id").checkpoint(eager=True)
+        hulls = cut(each.groupBy("cluster_id").agg(bbox.make(**ends).alias("bbox")).withColumnRenamed("cluster_id", "node_id"))
     return members.join(hulls.withColumnRenamed("node_id", "cluster_id"), "cluster_id").select("node_id", "cluster_id", "bbox")
 
 

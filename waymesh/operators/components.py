@@ -14,14 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut as _cut
+
 #: Contraction halves path lengths, so this many rounds serve paths of 2^40 edges.
 MAX_ROUNDS = 40
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    return df.checkpoint(eager=True)
-
-
 def connected_components(
     edges: DataFrame, a: str = "a", b: str = "b", *, cut: Callable[[DataFrame, str], DataFrame] = _cut
 ) -> DataFrame:

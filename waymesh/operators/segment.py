@@ -22,17 +22,18 @@ def alive(points: DataFrame, keys: list[str], order: list[str], timeout: int, t:
     return points.withColumn("is_alive", F.coalesce(F.col(t) - F.lag(t).over(w) < timeout, F.lit(True)))
 
 
-def trajectories(segments: DataFrame, keys: list[str], order: list[str], t: str = "t_ms", *, min_points: int = 1) -> DataFrame:
-    """One row a segment: n, start, end, box and the points in order.
+def trajectories(segments: DataFrame, keys: list[str], order: list[str], t: str = "t_ms", *, min_points: int = 1, id: str | None = None) -> DataFrame:
+    """One row a segment: n, start, end, box and the points in order; ``id`` names rows whose least value becomes trj_id.
 
     A segment is as long as a trip, not as a stream: the array is bounded by the timeout split.
     """
     p = geo.point("x", "y", t)
     rows = segments.groupBy(*keys, "seg").agg(
-        F.array_sort(F.collect_list(F.struct(*order, p.alias("p")))).alias("__rows"), bbox.of_rows("x", "y", t).alias("bbox")
+        F.array_sort(F.collect_list(F.struct(*order, p.alias("p")))).alias("__rows"), bbox.of_rows("x", "y", t).alias("bbox"),
+        *([F.min(id).alias("trj_id")] if id else []),
     )
     rows = rows.withColumn("trj", F.transform("__rows", lambda r: r["p"])).drop("__rows").withColumn("n", F.size("trj"))
-    return rows.where(F.col("n") >= min_points).select(*keys, "seg", "n", F.col("trj")[0].alias("start"), F.element_at("trj", -1).alias("end"), "bbox", "trj")
+    return rows.where(F.col("n") >= min_points).select(*(["trj_id"] if id else []), *keys, "seg", "n", F.col("trj")[0].alias("start"), F.element_at("trj", -1).alias("end"), "bbox", "trj")
 
 
 def segment_summary(segments: DataFrame, keys: list[str], order: list[str], t: str = "t_ms") -> DataFrame:
