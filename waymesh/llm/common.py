@@ -11,9 +11,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Entries that a worker's memo of words holds before it is emptied.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
+#: Bytes of an Arrow batch; a longer row is a batch by itself.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +50,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on an Arrow batch to ``BATCH_BYTES``: two tasks an executor hold a few batches each."""
+    found = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not found.rstrip("b").isdigit() or not 0 < int(found.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def map_batches(
-    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
-    """``mapInArrow`` under one name, so that the operators read alike."""
-    return df.mapInArrow(work, schema)
+    """``mapInArrow`` over batches of bounded size; a worker gives back what a task has freed."""
+    _bounded_batches(df.sparkSession)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
 
 
 def utf8(column: pa.Array) -> Iterator[bytes | None]:

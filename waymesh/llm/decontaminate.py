@@ -303,5 +303,5 @@ def clean_only(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", blo
                 clean = [not s for texts in _chunks(batch.column(at)) for _, s, _ in _matched(iter(texts), sent.value, memo)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(work, schema)
+        docs = map_batches(docs, work, schema)
     return docs

@@ -255,4 +255,4 @@ def quality_filter(docs: DataFrame, model: QualityModel, *, text: str = "text")
             score, failed = model.rejects(_batch_statistics(batch.column(at)))
             yield batch.filter(pa.array(~failed & (score <= model.threshold)))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_batches(docs, work, docs.schema)

@@ -352,4 +352,4 @@ def toxicity_filter(docs: DataFrame, model: ToxicityModel, *, text: str = "text"
             limits = np.array([model.thresholds.get(v, overall) for v in batch.column(spoken).to_pylist()])
             yield batch.filter(pa.array(model.score(np.concatenate(found)) < limits))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_batches(docs, work, docs.schema)
