@@ -24,17 +24,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, map_batches
+from .common import map_batches
 from .perfect_hash import PerfectHash
 
 
+#: Pre-tokens whose ids a worker remembers before it forgets them all.
+MEMO_ENTRIES = 250_000
+
+
+def ranks_of(rank_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(t): int(r) for t, r in map(bytes.split, rank_file.splitlines())}
+
+
 class Vocabulary:
     """Ranks of byte strings, with the perfect hash over them."""
 
     def __init__(self, rank_file: bytes):
-        self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, rank_file.splitlines())}
+        self.ranks = ranks_of(rank_file)
         tokens = sorted(self.ranks, key=self.ranks.__getitem__)
-        self.by_id = {self.ranks[t]: t for t in tokens}
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
         self.perfect = PerfectHash.build(hashes)
         slots = self.perfect.slots(hashes)
@@ -115,6 +122,17 @@ def _encoder(rank_file: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
+_TOKENS: dict[int, dict[int, bytes]] = {}
+
+
+def _tokens(rank_file: bytes) -> dict[int, bytes]:
+    """Bytes by id; one table a worker process."""
+    key = hash(rank_file)
+    if key not in _TOKENS:
+        _TOKENS[key] = {i: t for t, i in ranks_of(rank_file).items()}
+    return _TOKENS[key]
+
+
 def _sent(df: DataFrame, rank_path: str):
     """The rank file, read on the driver: one vocabulary, whose size does not follow the data."""
     with open(rank_path, "rb") as f:
@@ -147,7 +165,7 @@ def decode(tokens: DataFrame, rank_path: str, *, ids: str = "ids", out: str = "d
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields] + [f"`{out}` binary"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = _encoder(sent.value, "").vocabulary.by_id
+        by_id = _tokens(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, chunk):
                 part = batch.slice(at, chunk)
