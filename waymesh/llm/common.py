@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 #: Entries that a worker's memo of words holds before it is emptied.
 MEMO_ENTRIES = 400_000
+#: Hashes are made faster than a large memo is searched.
+HASH_MEMO_ENTRIES = 120_000
 #: Bytes of an Arrow batch; a longer row is a batch by itself.
 BATCH_BYTES = 8 << 20
 
@@ -59,7 +61,7 @@ def _bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Freed memory back to the system: workers outlive their tasks, and an executor holds several."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -76,7 +78,7 @@ def map_batches(
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
-        _give_back()
+        give_back()
 
     return df.mapInArrow(bounded, schema)
 
@@ -95,10 +97,10 @@ def crc_split(column: str, mod: int):
 
 
 class HashMemo(dict):
-    """Word (bytes) -> 64-bit hash, remembered up to ``MEMO_ENTRIES`` words."""
+    """Word (bytes) -> 64-bit hash, remembered up to ``HASH_MEMO_ENTRIES`` words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
+        if len(self) >= HASH_MEMO_ENTRIES:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

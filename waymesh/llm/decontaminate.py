@@ -40,7 +40,7 @@ _TO_WORDS = bytes(
     c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)
 )
 _FACTORS = mixed(np.arange(1, SIZE + 1, dtype=np.uint64)) | np.uint64(1)
-_BITS = 22
+_BITS = 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, crc_split, map_batches, utf8
+from .common import MEMO_ENTRIES, crc_split, give_back, map_batches, utf8
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 16, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6, 7)
@@ -283,7 +283,10 @@ def fit_net(
     sample = docs.sparkSession.createDataFrame([(i, t) for i, t, _ in picked], "doc_id long, toxic int")
     # sample_rows rows at most: a proven bound
     got = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return train([(r.text or "").encode() for r in got], np.array([r.toxic for r in got]))
+    net = train([(r.text or "").encode() for r in got], np.array([r.toxic for r in got]))
+    del got
+    give_back()
+    return net
 
 
 def calibrate(scored: DataFrame, labels: DataFrame, net: ConvNet | None, *, held_out: tuple[int, int] | None = (4, 2), cut: float = 0.3) -> ToxicityModel:
