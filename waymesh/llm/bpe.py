@@ -29,7 +29,7 @@ from .perfect_hash import PerfectHash
 
 
 #: Pre-tokens whose ids a worker remembers before it forgets them all.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 300_000
 
 
 def ranks_of(rank_file: bytes) -> dict[bytes, int]:
@@ -61,37 +61,44 @@ class Vocabulary:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece by merging the adjacent pair of least rank, leftmost first, until none is left."""
-        ranks = self.ranks
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        n = len(parts)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = [(r, i, p) for i in range(n - 1) if (r := ranks.get(p := parts[i] + parts[i + 1])) is not None]
+        get, n = self.ranks.get, len(piece)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part is named by its first byte
+        at = [get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]  # rank of the part and the next one together
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        heap = [r << shift | i for i, r in enumerate(at) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
-            left = parts[i]
-            if not left or (j := after[i]) >= n or len(left) + len(parts[j]) != len(pair):
+            entry = heapq.heappop(heap)
+            i = entry & mask
+            if at[i] != entry >> shift:
                 continue  # one of the two has been merged since
-            parts[i], parts[j] = pair, b""
-            after[i] = k = after[j]
+            j = end[i]
+            end[i] = k = end[j]
+            at[i] = at[j] = -1
             if k < n:
                 before[k] = i
-                p = pair + parts[k]
-                if (r := ranks.get(p)) is not None:
-                    heapq.heappush(heap, (r, i, p))
-            if (h := before[i]) >= 0:
-                p = parts[h] + pair
-                if (r := ranks.get(p)) is not None:
-                    heapq.heappush(heap, (r, h, p))
-        return [ranks[p] for p in parts if p]
+                at[i] = r = get(piece[i : end[k]], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << shift | i)
+            h = before[i]
+            if h >= 0:
+                at[h] = r = get(piece[h:k], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << shift | h)
+        ids, i = [], 0
+        while i < n:
+            ids.append(get(piece[i : end[i]]))
+            i = end[i]
+        return ids
 
 
 class Encoder:
     """Texts to ids through both tiers; one a worker process."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.split, self.memo = vocabulary, regex.compile(pattern).findall, {}
+        self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
+        self.memo, self.older = {}, {}
 
     def learn(self, pieces: set[str]) -> None:
         strings = list(pieces)
@@ -102,12 +109,13 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.split(t) if t else [] for t in texts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        memo = self.memo
+        if len(self.memo) > MEMO_ENTRIES // 2:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
         own = set().union(*cut)
         if new := {p for p in own if p not in memo}:
-            self.learn(new)
+            memo.update((p, older[p]) for p in new if p in older)  # what is met again stays
+            self.learn({p for p in new if p not in older})
         near = {p: memo[p] for p in own}  # small: most look-ups are of pre-tokens met in the same texts
         return [b"".join(map(near.__getitem__, pieces)) for pieces in cut]
 
