@@ -241,3 +241,36 @@ def test_columns(spark):
     ).first()
     assert (row.mid.x, row.mid.y, row.area, row.cross.x, row.miss, row.clock) == (5, 10, 2, 1, None, "01:01:01")
     assert (row.n, row.whole, row.share, row.flat, row.corner, row.parts) == ("12345678.5", "100", 0.5, 0, True, 2)
+
+
+def test_merged_boxes_reach_the_fixpoint(spark, monkeypatch):
+    """A tall box grows by one small box a round, for more than 20 rounds; two boxes stay apart."""
+
+    def components(edges, a, b):  # in Python: the rounds of Spark's are tested above, and take long
+        top = {}
+        for r in sorted(edges.select(a, b).collect()):
+            x, y = sorted((top.get(r[0], r[0]), top.get(r[1], r[1])))
+            top = {k: x if v == y else v for k, v in (top | {r[0]: top.get(r[0], r[0]), r[1]: top.get(r[1], r[1])}).items()}
+        return spark.createDataFrame(list(top.items()), "id long, component long").coalesce(1)
+
+    monkeypatch.setattr(cluster, "connected_components", components)
+    n = 23
+    own = {0: (0.0, 10.0, 0.0, 1000.0)} | {k: (5.0 * k - 1, 5.0 * k + 9, 20.0 * k, 20.0 * k + 10) for k in range(1, n + 1)}
+    own |= {100: (0.0, 10.0, 2000.0, 2010.0), 101: (6.0, 16.0, 2000.0, 2010.0)}
+    rows = [(k, (*b, 0.0, 1.0)) for k, b in own.items()]
+    boxes = spark.createDataFrame(rows, "node_id long, bbox struct<x1:double,x2:double,y1:double,y2:double,t1:double,t2:double>").coalesce(1)
+    hulls = {(k,): b for k, b in own.items()}
+
+    def pair():
+        for a, (p1, p2, q1, q2) in hulls.items():
+            for b, (r1, r2, s1, s2) in hulls.items():
+                common = max(0, min(p2, r2) - max(p1, r1)) * max(0, min(q2, s2) - max(q1, s1))
+                if a < b and common >= 0.5 * min((p2 - p1) * (q2 - q1), (r2 - r1) * (s2 - s1)):
+                    return a, b
+
+    while found := pair():
+        x, y = (hulls.pop(c) for c in found)
+        hulls[tuple(sorted(sum(found, ())))] = (min(x[0], y[0]), max(x[1], y[1]), min(x[2], y[2]), max(x[3], y[3]))
+    assert sorted(len(c) for c in hulls) == [1, 1, n + 1]
+    got = {r.node_id: (r.cluster_id, tuple(r.bbox)[:4]) for r in cluster.merge_boxes(boxes).collect()}
+    assert got == {k: (c[0], box) for c, box in hulls.items() for k in c}

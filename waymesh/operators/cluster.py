@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bbox, geo
-from ..shared import cut
+from ..shared import written
 from .components import connected_components
 
 
@@ -82,22 +82,23 @@ def overlapping_boxes(boxes: DataFrame, share: float = 0.5, *, cell: float = 100
     return met.withColumn("share", bbox.overlap_share(F.col("a"), F.col("b"))).where(F.col("share") >= share).select("i", "j", "share")
 
 
-def merge_boxes(boxes: DataFrame, share: float = 0.5, *, cell: float = 100.0, max_rounds: int = 20) -> DataFrame:
+def merge_boxes(boxes: DataFrame, share: float = 0.5, *, cell: float = 100.0) -> DataFrame:
     """``node_id, cluster_id, bbox``: boxes that overlap are united, and united boxes again, until none overlap.
 
     Rounds of components over hulls: the fixpoint does not depend on an order of merging.
+    A round with a pair leaves fewer clusters than it found, so the rounds end.
     """
     hulls = boxes.select("node_id", "bbox")
     members = boxes.select("node_id", F.col("node_id").alias("cluster_id"))
-    for _ in range(max_rounds):
-        pairs = cut(overlapping_boxes(hulls, share, cell=cell))
+    while True:
+        pairs = written(overlapping_boxes(hulls, share, cell=cell), "box-pairs")
         if not pairs.limit(1).count():
             break
         found = single_linkage(hulls, pairs, "node_id").withColumnRenamed("cluster_id", "to").withColumnRenamed("node_id", "cluster_id")
-        members = cut(members.join(found, "cluster_id").select("node_id", F.col("to").alias("cluster_id")))
+        members = written(members.join(found, "cluster_id").select("node_id", F.col("to").alias("cluster_id")), "box-members")
         each = boxes.join(members, "node_id").select("cluster_id", "bbox.*")
         ends = {f"{f}{n}": g(f"{f}{n}") for f in "xyt" for n, g in ((1, F.min), (2, F.max))}
-        hulls = cut(each.groupBy("cluster_id").agg(bbox.make(**ends).alias("bbox")).withColumnRenamed("cluster_id", "node_id"))
+        hulls = written(each.groupBy("cluster_id").agg(bbox.make(**ends).alias("bbox")).withColumnRenamed("cluster_id", "node_id"), "box-hulls")
     return members.join(hulls.withColumnRenamed("node_id", "cluster_id"), "cluster_id").select("node_id", "cluster_id", "bbox")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder.
+
+    For loops without a bound: over checkpoints, rounds were seen to take twice as
+    long each as the one before.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame, name: str = "") -> DataFrame:
     """``df`` computed once and kept in the shared folder: short lineage, and a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
