@@ -155,6 +155,30 @@ def test_toxicity(spark, docs, empty):
         assert toxicity.toxicity_filter(d, model).columns == d.columns
 
 
+def by_hash(spark, ids):
+    return [r.id for r in spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("id", "xxhash64(id) h").orderBy("h", "id").collect()]
+
+
+def test_byte_shares():
+    assert common.byte_shares({"a": 1, "b": 50, "c": 2}, 90) == {"b": 50, "c": 20, "a": 20}
+    with pytest.raises(ValueError):
+        common.byte_shares({0: 60, 1: 50}, 100)
+
+
+def test_toxicity_sample_skips_a_large_text(spark):
+    """The first text of a label in the order of hashes exceeds the label's bytes: the others are learned from."""
+    ids = by_hash(spark, range(40))
+    docs = table(spark, [(i, "vile " * 400 if i == ids[0] else ("vile words" if i in ids[:20] else "kind words")) for i in ids])
+    labels = spark.createDataFrame([(i, int(i in ids[:20])) for i in ids], "doc_id long, toxic int")
+    net = toxicity.fit_net(docs, labels, held_out=None, sample_bytes=1000)
+    assert net is not None
+    model = toxicity.calibrate(toxicity.logits(docs, net), labels, net, held_out=None)
+    assert {r.doc_id for r in toxicity.toxicity_filter(docs, model).collect()} == set(ids[20:])
+    none = toxicity.ToxicityModel(toxicity.fit_net(docs, labels.where("toxic = 0"), held_out=None))
+    with pytest.raises(ValueError, match="both labels"):
+        toxicity.toxicity_filter(docs, none)
+
+
 def test_scores_do_not_depend_on_pieces(monkeypatch):
     scorer = toxicity.Scorer(toxicity.ConvNet.fresh(1))
     texts = [LONG.encode(), b"", None, b"one two three"]
@@ -216,6 +240,19 @@ def test_language(spark, docs, empty):
         assert all(r.lang_pred == "und" and r.score == 0 for r in found if r.doc_id in (1, 2, 3))
 
 
+def test_language_sample_skips_a_large_text(spark):
+    """The first text in the order of hashes exceeds the bytes of the sample, and one language is rare: all are learned."""
+    ids = by_hash(spark, range(60))
+    of = {i: "el" if i == ids[-1] else ("en" if k % 2 else "de") for k, i in enumerate(ids)}
+    text = {"en": "the house with the garden", "de": "der hund und die katze", "el": "\u03bb\u03cc\u03b3\u03bf\u03c2 \u03ba\u03b1\u03b9 \u03c6\u03c9\u03c2"}
+    docs = spark.createDataFrame([(i, text[of[i]] * (400 if i == ids[0] else 1), of[i]) for i in ids], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, held_out=None, sample_rows=60, sample_bytes=3000)
+    assert model.langs == ["de", "el", "en"]
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()} == of
+    with pytest.raises(ValueError):
+        language_id.fit(docs, held_out=None, sample_bytes=60)
+
+
 def test_language_pieces(monkeypatch):
     points = language_id.letters_of(LONG[:5000].encode())
     whole = np.bincount(language_id.buckets_of(points), minlength=language_id.BUCKETS)

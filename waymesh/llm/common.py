@@ -96,6 +96,27 @@ def crc_split(column: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def byte_shares(least: dict, total: int) -> dict:
+    """``total`` bytes dealt to classes in equal shares, but to each no less than its smallest text (``least``) takes."""
+    if sum(least.values()) > total:
+        raise ValueError(f"a sample of {total} bytes has no room for a text of each of {len(least)} classes; smallest texts: {dict(sorted(least.items(), key=lambda x: -x[1])[:10])}")
+    shares, left = {}, total
+    for name in sorted(least, key=lambda k: (-least[k], k)):
+        shares[name] = max(least[name], left // (len(least) - len(shares)))
+        left -= shares[name]
+    return shares
+
+
+def fitting(rows: list, share: int) -> list:
+    """Of ``rows`` in their order those that ``share`` has room for; one that doesn't fit is skipped."""
+    found = []
+    for r in rows:
+        if r.size <= share:
+            found.append(r)
+            share -= r.size
+    return found
+
+
 class HashMemo(dict):
     """Word (bytes) -> 64-bit hash, remembered up to ``HASH_MEMO_ENTRIES`` words."""
 

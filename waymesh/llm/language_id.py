@@ -8,9 +8,13 @@ a blank.  Weights are learned by follow-the-regularised-leader with L1 and L2
 penalties, one document at a time; a slice of the sample that is not learned
 from sets the temperature of the softmax.
 
-Bounds: the regression is fitted on at most ``sample_rows`` training rows, about
-as many of each language, those whose ids have the least hash, and at most
-``sample_bytes`` of their text.  Document counts for the IDF come from every
+Bounds: the regression is fitted on at most ``sample_rows`` training rows (one a
+language if there are more languages), as many of each language as far as there
+are any, and on at most ``sample_bytes`` of their text, which languages share
+equally.  A language's rows are those whose ids have the least hash; a text
+that its share has no room for is skipped.  A language whose texts all exceed
+the equal share is given room for its smallest; if there is none for each
+language, fitting is an error.  Document counts for the IDF come from every
 training row and predictions cover every row, always over whole texts.
 
 Defined cases: null text or text without a letter is ``und`` with score 0, as is
@@ -21,15 +25,16 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_split, map_batches, utf8, written
+from .common import byte_shares, crc_split, fitting, map_batches, utf8, written
 
 BITS, ORDERS = 17, (1, 2, 3)
 BUCKETS = 1 << BITS
@@ -212,25 +217,38 @@ def fit(
     if not n:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     idf = np.log((1 + n) / (1 + df)) + 1
-    # about as many rows of each language: by the hash of the id, at the language's own rate
-    sized = written(own.select("doc_id", "lang", F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("h")), "language-rows")
-    langs = sized.groupBy("lang").agg(F.count("*").alias("n"))
-    each = F.lit(float(sample_rows)) / F.lit(max(1, langs.count()))
-    picked = (
-        sized.join(langs, "lang").where((F.col("h") / F.lit(2.0**63)) < 2 * F.least(F.lit(1.0), each / F.col("n")) - 1)
-        .orderBy("h", "doc_id", "size").limit(sample_rows).select("doc_id", "size").collect()
-    )
-    total = np.cumsum([r.size for r in picked])
-    ids = sorted({r.doc_id for r, t in zip(picked, total, strict=True) if t <= sample_bytes and r.doc_id is not None})
-    sample = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    # sample_rows ids at most: a proven bound
-    rows = own.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    # as many rows and bytes of each language, in its own order of hashes; equal rows of an id count once
+    lettered = own.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.octet_length("text").alias("size"))
+    sized = written(lettered.groupBy("doc_id", "lang", "size").agg(F.xxhash64("doc_id").alias("h")), "language-rows")
+    least = {r.lang: r.size for r in sized.groupBy("lang").agg(F.min("size").alias("size")).collect()}
+    if not least:
+        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    shares = byte_shares(least, sample_bytes)
+    each = max(1, sample_rows // len(shares))
+    room = docs.sparkSession.createDataFrame(list(shares.items()), "lang string, room long")
+    ranked = sized.join(F.broadcast(room), "lang").where("size <= room").withColumn("salt", F.xxhash64("doc_id", "size") % 64)
+    # the first of each part of a language, then of the language
+    for parts in (["lang", "salt"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy("h", "doc_id", "size"))).where(F.col("rank") <= each)
+    of: dict[str, list] = {}
+    for r in ranked.orderBy("lang", "rank").select("lang", "doc_id", "size").collect():
+        of.setdefault(r.lang, []).append(r)
+    picked = [(r.doc_id, lang, r.size) for lang, rows in of.items() for r in fitting(rows, shares[lang])]
+    sample = docs.sparkSession.createDataFrame(picked, "id long, name string, bytes int")
+    # sample_rows rows, or one a language: a proven bound
+    met = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("name")) & (F.octet_length("text") == F.col("bytes"))
+    rows = own.join(F.broadcast(sample), met).dropDuplicates(["id", "name", "bytes"]).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "bytes").collect()
     rows = [(r.lang, p) for r in rows if len(p := letters_of(r.text.encode()))]
     names = sorted({name for name, _ in rows})
     x = [sparse(p, idf) for _, p in rows]
     y = np.array([names.index(name) for name, _ in rows], np.int64)
-    kept = np.arange(len(rows)) % 5 != 0  # the others set the temperature
-    if len(names) < 2 or not kept.any():
+    # the fifth, tenth, ... of each language set the temperature, so every language is learned
+    met_before: Counter = Counter()
+    kept = np.ones(len(rows), bool)
+    for i, (name, _) in enumerate(rows):
+        met_before[name] += 1
+        kept[i] = met_before[name] % 5 != 0
+    if len(names) < 2:
         return LanguageModel(names, np.zeros((BUCKETS, len(names)), np.float32), np.zeros(len(names)))
     learn = np.flatnonzero(kept)
     w, shift = train([x[i] for i in learn], y[learn], len(names))

@@ -13,14 +13,18 @@ verdict ``toxic`` compares the score with the threshold of the row's language.
 
 Bounds: the network is fitted on at most ``sample_rows`` labelled rows (half of
 each label as far as there are any), those whose ids have the least hash, and
-on at most ``sample_bytes`` of their text.  Scores, thresholds and verdicts
+on at most ``sample_bytes`` of their text.  Labels share the bytes equally, a
+text that its label's share has no room for is skipped, and a label whose texts
+all exceed it is given room for its smallest; if there is none for each label,
+fitting is an error.  Scores, thresholds and verdicts
 cover every document and whole texts, in pieces that overlap, so memory is
 bounded by ``PIECE`` words.
 
 Defined cases: null or empty text has no words and gets the score of none; ids
 that repeat are scored row by row; a label counts once an id (the greatest
 where rows disagree, null labels don't count); without both labels in the
-training rows every score is 0; a language without labelled rows of both kinds
+training rows every score is 0, and ``toxicity_filter`` raises an error unless
+there are no rows at all; a language without labelled rows of both kinds
 uses the overall threshold; columns of other names are ignored, and kept by
 ``toxicity_filter``.
 """
@@ -36,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, crc_split, give_back, map_batches, utf8
+from .common import MEMO_ENTRIES, byte_shares, crc_split, fitting, give_back, map_batches, utf8, written
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 16, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6, 7)
@@ -269,18 +273,17 @@ def fit_net(
     own = training_labels(labels, held_out)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     lengths = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
-    picked: list[tuple[int, int, int]] = []
-    for toxic in (0, 1):
-        # an id counts once; at most sample_rows / 2 rows of three numbers
-        rows = (
-            own.where(F.col("toxic") == toxic).join(lengths, "doc_id").groupBy("doc_id").agg(F.max("size").alias("size"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2).collect()
-        )
-        total = np.cumsum([r.size for r in rows])
-        picked += [(r.doc_id, toxic, r.size) for r, t in zip(rows, total, strict=True) if t <= sample_bytes // 2]
-    if len({toxic for _, toxic, _ in picked}) < 2:
+    # an id counts once
+    sized = written(own.join(lengths, "doc_id").groupBy("doc_id", "toxic").agg(F.max("size").alias("size")), "labelled-rows")
+    least = {r.toxic: r.size for r in sized.groupBy("toxic").agg(F.min("size").alias("size")).collect()}
+    if len(least) < 2:
         return None
-    sample = docs.sparkSession.createDataFrame([(i, t) for i, t, _ in picked], "doc_id long, toxic int")
+    picked: list[tuple[int, int]] = []
+    for toxic, share in byte_shares(least, sample_bytes).items():
+        # at most sample_rows / 2 rows of three numbers
+        rows = sized.where(F.col("toxic") == toxic).where(F.col("size") <= share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2).collect()
+        picked += [(r.doc_id, toxic) for r in fitting(rows, share)]
+    sample = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
     # sample_rows rows at most: a proven bound
     got = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     net = train([(r.text or "").encode() for r in got], np.array([r.toxic for r in got]))
@@ -342,6 +345,8 @@ def judge(scored: DataFrame, model: ToxicityModel) -> DataFrame:
 def toxicity_filter(docs: DataFrame, model: ToxicityModel, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not toxic, with their own columns; no shuffle."""
     if model.net is None:
+        if docs.limit(1).count():
+            raise ValueError("toxicity can't be filtered: the training rows don't have both labels")
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at, spoken = docs.columns.index(text), docs.columns.index(lang)
