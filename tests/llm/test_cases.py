@@ -277,6 +277,19 @@ def test_html(spark):
     assert [x.index("|") for x in lines if "|" in x] == [3, 3] and "no" not in text[1].replace("now", "")
 
 
+def test_html_formulas_diagrams_and_choices():
+    math = "<p>So <math><semantics><mrow><mi>x</mi> <mo>=</mo> <mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>tex</annotation></semantics></math> holds."
+    assert html_text.render(math) == "So x= 1 2 holds."
+    svg = '<p>a<svg><title>no</title><defs><text>no</text></defs><style>no</style><rect x=1 /><desc/><g><text>one <tspan>A</tspan></text><text><![CDATA[B < C]]></text></g></svg><p>b'
+    assert html_text.render(svg) == "a\none A\nB < C\n\nb"
+    assert html_text.render("<svg><defs><path><p>left open") == "left open"
+    options = "<option>one<option selected>two<optgroup label=g><option>three"
+    assert html_text.render(f"<p>of <select>{options}</select> it") == "of two it"
+    assert html_text.render("<select><option disabled>no<option label=yes>no</select>") == "yes"
+    assert html_text.render(f"<select multiple>{options}</select>") == "one\ntwo\ng\nthree"
+    assert html_text.render("<select><option>a<input value=b>c") == "a bc"
+
+
 def test_chat(spark):
     calls = spark.createDataFrame(
         [

@@ -2,9 +2,14 @@
 
 A page is cut into tags and text, a tree is built with the implied tags of HTML
 (a list item, paragraph, cell or row ends where the next begins; a table row
-implies its body; void elements have no content), invisible parts are left out
-(head, scripts, styles, templates, ``hidden``, ``aria-hidden="true"``,
-``display:none``, ``visibility:hidden``), and what is left is laid out:
+implies its body; void elements have no content), invisible parts are left out,
+and what is left is laid out.  Invisible are ``hidden``, ``aria-hidden="true"``,
+``display:none`` and ``visibility:hidden``, the head, title, scripts, styles,
+templates and ``datalist``; what only shows where something is not supported
+(``noscript``, ``noembed``, ``noframes``, the content of ``iframe``, ``object``,
+``audio``, ``video`` and ``canvas``); of diagrams all but labels and HTML inside
+them (``defs``, ``symbol``, ``title``, ``desc`` and the like); of formulas
+annotations and ``mphantom``; of a closed ``select`` the options not chosen.
 
 * text flows with white space collapsed, but as it stands in ``pre`` and ``textarea``;
 * blocks begin on a line of their own, and paragraphs, headings, lists, tables
@@ -12,6 +17,10 @@ implies its body; void elements have no content), invisible parts are left out
 * list items carry ``- `` or their number, nested ones are indented by two;
 * table cells are padded to the width of their column and joined by `` | ``;
   a cell that spans columns is padded to them together;
+* each label of an ``svg`` is a line; a ``math`` formula flows, with blanks between
+  the parts of fractions, powers and indices;
+* a ``select`` flows as its chosen option; with ``multiple`` or a size above one
+  it is a line for each option and group;
 * ``br`` ends a line, ``hr`` is a line of dashes, images give their ``alt`` text.
 
 All visible text is given, navigation and footers too.
@@ -39,12 +48,26 @@ DEEPEST = 200
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link datalist iframe object audio video canvas svg math noembed noframes select".split())
+UNSEEN = frozenset("head script style template noscript title meta link datalist iframe object audio video canvas noembed noframes".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup html li main menu nav ol optgroup option p pre search section summary table ul".split()
+    "header hgroup html li main menu nav ol p pre search section summary table ul".split()
 )
 SET_OFF = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table pre blockquote figure article section form fieldset".split())
+#: What holds no text to be seen in diagrams and formulas.
+SVG_UNSEEN = frozenset("style script title desc metadata defs symbol clippath mask marker pattern".split())
+MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
+#: Parts of a formula that stand apart: numerator and denominator, base and index, cells.
+MATH_APART = frozenset("mfrac msup msub msubsup mover munder munderover mroot mmultiscripts mtr mlabeledtr mtable".split())
+#: Inside these, diagrams and formulas hold HTML again.
+HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: A diagram or formula that was left open ends where one of these begins.
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+    "strong strike sub sup table tt u ul var".split()
+)
+#: A choice that was left open ends where one of these begins.
+ENDS_SELECT = frozenset("input keygen textarea select caption table tbody tfoot thead tr td th".split())
 #: A paragraph ends where one of these begins.
 ENDS_P = BLOCKS | {"hr"}
 #: An open element that ends where the given tag begins, up to the element that bounds the search.
@@ -53,6 +76,7 @@ IMPLIED_END = {
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
     "tr": ({"tr", "td", "th", "caption"}, {"table"}),
@@ -64,6 +88,7 @@ IMPLIED_END = {
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _NONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_OPEN_VALUE = re.compile(r"=\s*[^\s\"']*/\s*\Z")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -111,7 +136,11 @@ def build(page: str) -> Node:
             open_.append(node)
             names.append(tag)
 
-    at = 0
+    def foreign() -> bool:
+        """Whether the open element is of a diagram or formula."""
+        return next((n in ("svg", "math") for n in reversed(names) if n in HTML_AGAIN or n in ("svg", "math")), False)
+
+    at, drawn = 0, False
     while True:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -119,6 +148,12 @@ def build(page: str) -> Node:
         if m.start() > at:
             open_[-1].content.append(page[at : m.start()])
         at = m.end()
+        if page.startswith("<![CDATA[", m.start()) and foreign():
+            end = page.find("]]>", m.start() + 9)
+            end = end if end >= 0 else len(page)
+            open_[-1].content.append(html.escape(page[m.start() + 9 : end]))
+            at = min(end + 3, len(page))
+            continue
         tag = (m[2] or "").lower()
         if not tag:
             continue
@@ -135,6 +170,18 @@ def build(page: str) -> Node:
                 if k >= bound or tag in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
                     close(max(k, 1))
             continue
+        given = m[3]
+        drawn = drawn or tag in ("svg", "math")
+        if drawn and tag in ENDS_FOREIGN:
+            while foreign():
+                close(len(open_) - 1)
+        if drawn and (tag in ("svg", "math") or foreign()) and given.rstrip().endswith("/") and not _OPEN_VALUE.search(given):
+            open_[-1].content.append(Node(tag, given.rstrip()[:-1]))
+            continue
+        if tag in ENDS_SELECT and "select" in names:
+            close(len(names) - 1 - names[::-1].index("select"))
+            if tag == "select":
+                continue
         if tag in ("html", "body"):
             if tag == "body" and "head" in names:
                 close(names.index("head"))
@@ -257,6 +304,17 @@ def _flow(node: Node, out: Layout) -> None:
             out.block(_table(part), True)
         elif tag in ("pre", "textarea"):
             out.block(_kept(part), True)
+        elif tag == "select":
+            _choice(part, out)
+        elif tag == "svg":
+            _diagram(part, out)
+        elif tag == "math":
+            if part.attributes().get("display", "").lower() == "block":
+                own = Layout()
+                _formula(part, own)
+                out.block(own.done(), False)
+            else:
+                _formula(part, out)
         elif tag == "dd":
             out.block(["  " + line for line in _lines(part)], False)
         elif tag == "q":
@@ -269,6 +327,79 @@ def _flow(node: Node, out: Layout) -> None:
             _flow(part, out)
 
 
+def _options(node: Node) -> Iterator[Node]:
+    """Groups that are labelled, and options, in their order."""
+    for part in node.content:
+        if isinstance(part, Node) and part.seen():
+            if part.tag == "option":
+                yield part
+            else:
+                if part.tag == "optgroup":
+                    yield part
+                yield from _options(part)
+
+
+def _choice(node: Node, out: Layout) -> None:
+    """A list to choose from shows all it has; a closed one the option chosen: the last selected, or else the first enabled."""
+    given = node.attributes()
+    shown = list(_options(node))
+    whole = "multiple" in given or re.fullmatch(r"0*[2-9]|0*[1-9]\d+", given.get("size", "").strip())
+    if not whole:
+        own = [n for n in shown if n.tag == "option"]
+        chosen = [n for n in own if "selected" in n.attributes()][-1:] or [n for n in own if "disabled" not in n.attributes()][:1]
+        shown = chosen
+    for part in shown:
+        label = part.attributes().get("label", "")
+        lines = [label] if label or part.tag == "optgroup" else _lines(part)
+        if whole:
+            out.block([line for line in lines if line], False)
+        else:
+            out.text(" " + " ".join(lines) + " ")
+
+
+def _diagram(node: Node, out: Layout) -> None:
+    """The labels of a diagram, each on a line of its own, and HTML inside it."""
+    for part in node.content:
+        if isinstance(part, str) or part.tag in SVG_UNSEEN or not part.seen():
+            continue
+        given = part.attributes()
+        if given.get("display", "").strip().lower() == "none" or given.get("visibility", "").strip().lower() in ("hidden", "collapse"):
+            continue
+        if part.tag in ("text", "foreignobject"):
+            own = Layout()
+            _flow(part, own) if part.tag == "foreignobject" else _label(part, own)
+            out.block(own.done(), False)
+        else:
+            _diagram(part, out)
+
+
+def _label(node: Node, out: Layout) -> None:
+    for part in node.content:
+        if isinstance(part, str):
+            out.text(html.unescape(part) if "&" in part else part)
+        elif part.tag not in SVG_UNSEEN and part.seen():
+            _label(part, out)
+
+
+def _formula(node: Node, out: Layout) -> None:
+    """The text of a formula in its order; blanks between its marks are none of it."""
+    for part in node.content:
+        if isinstance(part, str):
+            if part.strip():
+                out.text(html.unescape(part) if "&" in part else part)
+            continue
+        if part.tag in MATH_UNSEEN or not part.seen():
+            continue
+        if node.tag in MATH_APART:
+            out.text(" ")
+        if part.tag in ("mi", "mn", "mo", "ms", "mtext"):
+            _flow(part, out)
+        else:
+            _formula(part, out)
+    if node.tag in MATH_APART:
+        out.text(" ")
+
+
 def _kept(node: Node) -> list[str]:
     """The text of preformatted content, line by line as it stands."""
     parts: list[str] = []
