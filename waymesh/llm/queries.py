@@ -104,6 +104,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "call_id",
         "name",
         "status",
+        "level",
         "seq",
         F.array_join("errors", "; ").alias("errors"),
         "n_results",
@@ -148,27 +149,42 @@ select id as doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_
 from words left join positions on id = positions.doc_id left join items on id = items.doc_id where side = 'd'
 """
 
-#: Chat turns as calls and results, linked by identifier; JSON with sorted keys.
+#: Chat turns as calls and results, linked by identifier; levels by walks of every length; JSON with sorted keys.
 OP10_SQL = """
-with calls as (
-  select conv_id, turn, 'c' || conv_id || '-' || turn as call_id, case role when 'user' then 'ask' else 'configure' end as name, text,
-    case when turn >= 2 then 'c' || conv_id || '-' || (turn - 2) end as dep
-  from conversations where role in ('user', 'system')),
+with recursive turns as (select conv_id, turn, role, text, coalesce(length(text), 0) as n, 'c' || conv_id || '-' as c from conversations),
+calls as (
+  select conv_id, turn, c || turn as call_id, case role when 'user' then 'ask' when 'system' then 'configure' else role end as name, text,
+    (n + turn) % 10 as kind, case conv_id % 4 when 0 then [c || (turn - 2)] when 1 then [c || (turn + 2)]
+      when 2 then case when turn % 4 < 2 then [c || (turn + 2), c || (turn - 4), 'nowhere'] else [] end
+      else case when turn % 4 < 2 then [c || (turn + 2)] else [c || (turn - 2), c || turn] end end as needs
+  from turns where role is distinct from 'assistant'),
+told as (
+  select conv_id, turn, case n % 8 when 1 then 'x' || c || turn when 2 then null else c || (turn - 1) end as call_id, text as content from turns where role = 'assistant'
+  union all select conv_id, turn + 1, c || (turn - 1), 'again: ' || text from turns where role = 'assistant' and n % 8 = 0),
 results as (
-  select conv_id, 'c' || conv_id || '-' || (turn - 1) as call_id, min(turn) as turn, arg_min(text, struct_pack(turn := turn, text := text)) as content, count(*) as n
-  from conversations where role = 'assistant' group by 1, 2),
-known as (select distinct conv_id, call_id from calls),
+  select conv_id, call_id, min(turn) as turn, arg_min(content, struct_pack(turn := turn, content := content)) as content, count(*) as n from told where call_id is not null group by 1, 2),
+asked as (select a.conv_id, a.call_id, a.turn, b.call_id as dep, b.turn as dep_turn from (select conv_id, call_id, turn, unnest(needs) as need from calls) a
+  left join calls b on b.conv_id = a.conv_id and b.call_id = a.need and b.call_id <> a.call_id),
+deep as (select conv_id, count(*) as n from calls where conv_id in (select conv_id from asked where dep is not null and dep_turn >= turn) group by 1),
+walk as (select conv_id, call_id, 0 as len from calls where conv_id in (select conv_id from deep)
+  union select w.conv_id, a.call_id, w.len + 1 from walk w join asked a on a.conv_id = w.conv_id and a.dep = w.call_id join deep d on d.conv_id = w.conv_id where w.len < d.n),
+longest as (select conv_id, call_id, case when max(len) < any_value(n) then max(len) end as level from walk join deep using (conv_id) group by 1, 2),
+checked as (select *, case when kind in (3, 4) then ['arguments: no object'] when name not in ('ask', 'configure') or name is null then ['tool: ' || coalesce(name, '') || ' has no schema']
+  else list_sort(list_filter([case when kind = 1 then 'extra: unknown' end, case when kind = 2 or text is null then 'text: missing' end, case when kind = 0 then 'turn: STRING for BIGINT' end],
+    lambda x: x is not null)) end as errors,
+  case when kind = 3 then '[' || turn || ']' when kind <> 4 then '{' || concat_ws(',', case when kind = 1 then '"extra":true' end,
+    case when kind <> 2 then '"text":' || to_json(text)::varchar end, '"turn":' || case when kind = 0 then '"' || turn || '"' else turn::varchar end) || '}' end as arguments from calls),
 rows as (
-  select c.conv_id, c.call_id, c.name, case when r.n is null then 'pending' else 'linked' end as status, c.turn,
-    case when c.text is null then 'text: missing' else '' end as errors, coalesce(r.n, 0) as n_results,
-    case when c.dep is not null and k.call_id is null then 1 else 0 end as dangling, r.content,
-    json_object('text', c.text, 'turn', c.turn) as arguments
-  from calls c left join results r using (conv_id, call_id) left join known k on k.conv_id = c.conv_id and k.call_id = c.dep
+  select k.conv_id, k.call_id, k.name, case when r.n is null then 'pending' else 'linked' end as status, k.turn, case when d.n is null then k.turn else l.level end as level, errors,
+    coalesce(r.n, 0) as n_results, (select count(*) from asked a where a.conv_id = k.conv_id and a.call_id = k.call_id and a.dep is null) as dangling, r.content, k.arguments, 0 as orphan
+  from checked k left join results r on r.conv_id = k.conv_id and r.call_id = k.call_id left join deep d on d.conv_id = k.conv_id
+    left join longest l on l.conv_id = k.conv_id and l.call_id = k.call_id
   union all
-  select r.conv_id, r.call_id, null, 'orphan', r.turn, '', r.n, 0, r.content, null
-  from results r anti join known using (conv_id, call_id))
-select conv_id, call_id, name, status, row_number() over (partition by conv_id order by turn) - 1 as seq, errors, n_results, dangling,
-  sha256('{' || concat_ws(',', '"arguments":' || arguments::varchar, '"content":' || to_json(content)::varchar, '"id":' || to_json(call_id)::varchar,
+  select r.conv_id, r.call_id, null, 'orphan', r.turn, r.turn, [], r.n, 0, r.content, null, 1 from (select conv_id, call_id, turn, content, n from results
+    union all select conv_id, null, turn, content, 1 from told where call_id is null) r where not exists (select 1 from calls k where k.conv_id = r.conv_id and k.call_id = r.call_id))
+select conv_id, call_id, name, status, level, row_number() over (partition by conv_id order by level nulls last, turn, orphan, call_id nulls first, content) - 1 as seq,
+  array_to_string(errors, '; ') as errors, n_results, dangling,
+  sha256('{' || concat_ws(',', '"arguments":' || arguments, '"content":' || to_json(content)::varchar, '"id":' || to_json(call_id)::varchar,
     '"name":' || to_json(name)::varchar, '"status":' || to_json(status)::varchar) || '}') as json_sha256
 from rows
 """
