@@ -92,6 +92,27 @@ def clock(t) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
 
 
+def advanced(line: Column, p: Column) -> Column:
+    """The line from the end of ``line`` (struct of start and end) to ``p``."""
+    return F.struct(line["end"].alias("start"), p.alias("end"))
+
+
+def line_length(line: Column) -> Column:
+    return distance(line["start"]["x"], line["start"]["y"], line["end"]["x"], line["end"]["y"])
+
+
+def is_monotone(trj: Column) -> Column:
+    """Whether each point of an array is later than the one before; true for none and one."""
+    n = F.size(trj)
+    steps = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: (F.try_element_at(trj, k)["t"] > F.try_element_at(trj, k - 1)["t"]))
+    return (n < 2) | F.forall(steps, lambda x: x)
+
+
+def dimensions(box: Column) -> Column:
+    """A box's width and height, as ``12.30m x 4.00m``."""
+    return F.format_string("%.2fm x %.2fm", box["x2"] - box["x1"], box["y2"] - box["y1"])
+
+
 def plain_number(x) -> Column:
     """A double as digits without exponent and without trailing zeros."""
     return F.regexp_replace(_c(x).cast("decimal(38,9)").cast("string"), r"(\.0+|(\.\d*?)0+)$", "$2")

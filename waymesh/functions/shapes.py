@@ -31,21 +31,28 @@ def without_spikes(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
 
     After each push the corners of the window's hull are taken in stream order;
     an inner one that is farther from either neighbour than those are from each
-    other is a spike, and its position leaves the window.  A full window emits
-    its head.
+    other is a spike.  Each spike takes the first point at its position from the
+    window, behind the one that the spike before it has taken; other points at
+    that position stay.  A full window emits its head.
     """
     keep = np.zeros(len(x), bool)
     window: list[int] = []
     for i in range(len(x)):
         window.append(i)
         corners = [w for w, on in zip(window, hull_members(x[window], y[window]), strict=True) if on]
-        spikes = set()
+        spikes = []
         for p, q, r in zip(corners, corners[1:], corners[2:], strict=False):
             base = np.hypot(x[p] - x[r], y[p] - y[r])
             if np.hypot(x[p] - x[q], y[p] - y[q]) > base or np.hypot(x[q] - x[r], y[q] - y[r]) > base:
-                spikes.add((x[q], y[q]))
+                spikes.append((x[q], y[q]))
         if spikes:
-            window = [w for w in window if (x[w], y[w]) not in spikes]
+            left = []
+            for w in window:
+                if spikes and (x[w], y[w]) == spikes[0]:
+                    spikes.pop(0)
+                else:
+                    left.append(w)
+            window = left
         if len(window) >= size:
             keep[window.pop(0)] = True
     keep[window] = True
@@ -150,6 +157,16 @@ def _over_common_span(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return t, at_times(a, t), at_times(b, t)
 
 
+def hausdorff(a: np.ndarray, b: np.ndarray, piece: int = 1024) -> float:
+    """Symmetric discrete Hausdorff distance in the plane, over pieces of the first trajectory."""
+    there, back = 0.0, np.full(len(b), np.inf)
+    for i in range(0, len(a), piece):
+        d = (a[i : i + piece, None, 0] - b[None, :, 0]) ** 2 + (a[i : i + piece, None, 1] - b[None, :, 1]) ** 2
+        there = max(there, float(d.min(axis=1).max()))
+        np.minimum(back, d.min(axis=0), out=back)
+    return float(np.sqrt(max(there, float(back.max()))))
+
+
 def dissim(a: np.ndarray, b: np.ndarray) -> float:
     """Integral of the distance over the common time span (trapezoid rule over all times of both)."""
     t, p, q = _over_common_span(a, b)

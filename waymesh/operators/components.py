@@ -3,8 +3,9 @@
 Each round points every larger neighbour of a node at the node's least
 neighbour (large star), then every smaller one (small star).  Rounds are joins
 and grouped minima, written to the shared folder between rounds, so lineage
-stays short and a lost executor costs one round at most.  Nothing is collected
-but a count.
+stays short and a lost executor costs one round at most.  A node with many
+neighbours meets them by broadcast of its row, not in one task.  Nothing is
+collected but a count.
 """
 
 from __future__ import annotations
@@ -14,11 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut as _cut
-
-#: Contraction halves path lengths, so this many rounds serve paths of 2^40 edges.
-MAX_ROUNDS = 40
+from ..shared import cut as _cut, hot_join
 
+#: Below so many links a node's neighbours fit a task, whatever node it is.
+FEW_LINKS = 10_000
 
 def connected_components(
     edges: DataFrame, a: str = "a", b: str = "b", *, cut: Callable[[DataFrame, str], DataFrame] = _cut
@@ -26,7 +26,7 @@ def connected_components(
     """``id, component`` for every node of ``edges``; the component is its least node.
 
     Edges with a null end and self-loops are ignored; repeated edges count once.
-    ``cut`` materialises a table (by default a checkpoint).
+    ``cut`` materialises a table (by default a checkpoint).  It halves path lengths, so rounds are few, and goes on until stars are left.
     """
     links = cut(
         edges.where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`")
@@ -35,14 +35,17 @@ def connected_components(
         "links",
     )
     nodes = links.select(F.col("u").alias("id")).union(links.select(F.col("v").alias("id"))).distinct()
-    for _ in range(MAX_ROUNDS):
+    while True:
+        few = links.count() < FEW_LINKS
         # large star: for each node, all larger neighbours point at the least of node and neighbours
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        up = both.where("v > u")
+        large = (up.join(least, "u") if few else hot_join(up, cut(least, "least"), "u", cut=cut)).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: for each node, itself and its smaller neighbours point at the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        large = large if few else cut(large, "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = large.join(least, "u") if few else hot_join(large, cut(least, "least"), "u", cut=cut)
         contracted = (
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(small.select("u", F.col("m").alias("v")))
@@ -56,7 +59,5 @@ def connected_components(
         links = contracted
         if settled:
             break
-    else:
-        raise RuntimeError("components did not settle")
     found = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

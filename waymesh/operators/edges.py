@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import shapes
+from ..functions import bbox, shapes
+from ..shared import hot_join, written
 from .components import connected_components
 
 GROUP = ["src", "dst"]
@@ -24,29 +24,58 @@ def _array(points) -> np.ndarray:
     return np.array([(p["x"], p["y"], p["t"]) for p in points], float).reshape(-1, 3)
 
 
-def edge_pairs(edges: DataFrame) -> DataFrame:
-    """Pairs a < b of edges of one group: equi-join on source and target."""
-    side = lambda c: edges.select(*GROUP, F.col("edge_id").alias(c), F.col("trj").alias(f"trj_{c}"))
-    return side("a").join(side("b"), GROUP).where("a < b")
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Trajectories of an Arrow column as rows x, y, t of one array, and where each begins."""
+    points = column.flatten()
+    offsets = np.asarray(column.offsets, np.int64)
+    return np.stack([np.asarray(points.field(c), float) for c in range(3)], axis=1), offsets - offsets[0]
+
+
+def edge_pairs(edges: DataFrame, group: list[str] = GROUP, *, block: int = 512, near: float | None = None) -> DataFrame:
+    """Pairs a < b of edges of one group, with trj_a and trj_b (in either order): equi-join on the group.
+
+    Groups of more than ``block`` edges are dealt into blocks, each two of which
+    meet under a key of their own, so no task has a whole large group.  ``near``
+    drops pairs before their points are looked at, by a side of their boxes that
+    differs by as much: no such pair has a Hausdorff distance below it.
+    """
+    box = bbox.of_array(F.col("trj"))
+    rows = edges.select(F.struct(*group).alias("g"), *group, "edge_id", "trj", *([box.alias("box")] if near is not None else []))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= block:
+        dealt = rows.withColumn("own", F.lit(0)).withColumn("first", F.lit(0)).withColumn("second", F.lit(0))
+    else:
+        dealt = hot_join(rows, written(sizes, "group-sizes"), "g", keep_n=True).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("edge_id"), "blocks").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("first", F.least("own", "met")).withColumn("second", F.greatest("own", "met"))
+    side = lambda c, own: dealt.where(F.col("own") == F.col(own)).select(
+        *group, "first", "second", F.col("edge_id").alias(c), F.col("trj").alias(f"trj_{c}"), *([F.col("box").alias(f"box_{c}")] if near is not None else [])
+    )
+    met = side("a", "first").join(side("b", "second"), [*group, "first", "second"]).where("first < second or a < b")
+    if near is not None:
+        for s in bbox.SIDES[:4]:
+            met = met.where(F.abs(F.col(f"box_a.{s}") - F.col(f"box_b.{s}")) < near)
+    return met.select(*group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "trj_a", "trj_b")
 
 
-def hausdorff(a: Column, b: Column) -> Column:
-    """Symmetric discrete Hausdorff distance in the plane."""
-    gap = lambda p, q: F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]))
-    way = lambda u, v: F.array_max(F.transform(u, lambda p: F.array_min(F.transform(v, lambda q: gap(p, q)))))
-    return F.greatest(way(a, b), way(b, a))
+def _pair_measure(measure) -> Column:
+    """A measure of two arrays (rows x, y, t) that doesn't depend on their order, as a column function."""
 
+    @F.arrow_udf("double")
+    def over(a: pa.Array, b: pa.Array) -> pa.Array:
+        (p, at), (q, bt) = _flat(a), _flat(b)
+        return pa.array([measure(p[i:j], q[k:m]) for i, j, k, m in zip(at[:-1], at[1:], bt[:-1], bt[1:], strict=True)], pa.float64())
 
-def hausdorff_pairs(edges: DataFrame) -> DataFrame:
-    return edge_pairs(edges).select(*GROUP, "a", "b", hausdorff(F.col("trj_a"), F.col("trj_b")).alias("dist"))
+    return over
 
 
-def _pair_measure(measure) -> Column:
-    @F.pandas_udf("double")
-    def over(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([measure(_array(p), _array(q)) for p, q in zip(a, b, strict=True)])
+def hausdorff(a: Column, b: Column) -> Column:
+    """Symmetric discrete Hausdorff distance in the plane."""
+    return _pair_measure(shapes.hausdorff)(a, b)
 
-    return over
+
+def hausdorff_pairs(edges: DataFrame) -> DataFrame:
+    return edge_pairs(edges).select(*GROUP, "a", "b", hausdorff("trj_a", "trj_b").alias("dist"))
 
 
 def dissim_pairs(edges: DataFrame) -> DataFrame:
@@ -61,19 +90,18 @@ def area_pairs(edges: DataFrame) -> DataFrame:
 
 def shape_clusters(edges: DataFrame, max_meters: float) -> DataFrame:
     """``edge_id, cluster_id``: components of edges of one group closer than ``max_meters``."""
-    near = hausdorff_pairs(edges).where(F.col("dist") < max_meters)
+    near = edge_pairs(edges, near=max_meters).select("a", "b", hausdorff("trj_a", "trj_b").alias("dist")).where(F.col("dist") < max_meters)
     found = connected_components(near).withColumnRenamed("id", "edge_id")
     return edges.select("edge_id").join(found, "edge_id", "left").select("edge_id", F.coalesce("component", "edge_id").alias("cluster_id"))
 
 
 def medoids(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     """The edge of least total dissimilarity in each cluster, with the cluster's size as weight; ties: the least id."""
-    own = edges.join(clusters, "edge_id").withColumn("__c", F.col("cluster_id"))
-    side = lambda c: own.select(*GROUP, "cluster_id", F.col("edge_id").alias(c), F.col("trj").alias(f"trj_{c}"))
-    pairs = side("a").join(side("b"), [*GROUP, "cluster_id"]).where("a < b")
+    own = edges.join(clusters, "edge_id").select("edge_id", *GROUP, "cluster_id", "trj")
+    pairs = edge_pairs(own, [*GROUP, "cluster_id"])
     d = pairs.select("a", "b", _pair_measure(shapes.dissim)("trj_a", "trj_b").alias("d"))
     total = d.select(F.explode(F.array("a", "b")).alias("edge_id"), "d").groupBy("edge_id").agg(F.sum("d").alias("total"))
-    ranked = own.join(total, "edge_id", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    ranked = own.drop("trj").join(total, "edge_id", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
     best = ranked.groupBy(*GROUP, "cluster_id").agg(F.min(F.struct("total", "edge_id")).alias("m"), F.count("*").alias("weight"))
     return best.select(F.col("m.edge_id").alias("edge_id"), F.col("weight").cast("int").alias("weight")).join(edges.select("edge_id", *GROUP, "trj"), "edge_id")
 
@@ -97,18 +125,16 @@ def centroids(edges: DataFrame, clusters: DataFrame, threshold: float) -> DataFr
 
 
 def simplify(edges: DataFrame, threshold: float) -> DataFrame:
-    """Edges with simplified trajectories; nothing is moved between partitions."""
-    schema = edges.schema
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            trips = []
-            for t in batch["trj"]:
-                a = _array(t)
-                trips.append([p for p, k in zip(t, shapes.simplified(a[:, 0], a[:, 1], threshold), strict=True) if k])
-            yield batch.assign(trj=trips)
-
-    return edges.mapInPandas(work, schema)
+    """Edges with simplified trajectories; only these go to Python, and nothing is moved between partitions."""
+
+    @F.arrow_udf("array<boolean>")
+    def kept(column: pa.Array) -> pa.Array:
+        p, at = _flat(column)
+        found = [shapes.simplified(p[i:j, 0], p[i:j, 1], threshold) for i, j in zip(at[:-1], at[1:], strict=True)]
+        return pa.array(found, pa.list_(pa.bool_()))
+
+    both = F.arrays_zip(F.col("trj").alias("p"), kept("trj").alias("k"))
+    return edges.withColumn("trj", F.transform(F.filter(both, lambda z: z["k"]), lambda z: z["p"])).select(*edges.columns)
 
 
 def merge_pair(threshold: float) -> Column:

@@ -40,7 +40,8 @@ class Box:
         return float((self.high - self.low)[:2].max())
 
     def holds(self, p: np.ndarray) -> bool:
-        return bool((self.low[:2] <= p[:2]).all() and (p[:2] <= self.high[:2]).all())
+        """In space and time."""
+        return bool((self.low <= p).all() and (p <= self.high).all())
 
     def at_one_time(self) -> bool:
         return bool(self.low[2] == self.high[2])
@@ -95,6 +96,9 @@ def raw_path(points: np.ndarray, stop: np.ndarray, meters: float) -> list:
     if box is None:
         _push(path, points[start:])
         box = Box.of(points[-1])
+    elif len(path) > 1 and not isinstance(path[-1], Box) and box.holds(path[-1][0]) and box.holds(path[-1][-1]):
+        path.pop()  # the last route lies within the open stop, in space and time: it goes, and the path ends with the stop before
+        return path
     _push(path, box)
     return path
 
@@ -135,15 +139,12 @@ def without_single_points(path: list) -> list:
 
 
 def merged_stops(path: list, meters: float) -> list:
-    """A stop whose box can take the whole next route takes it, and the stop after it."""
-    out = list(path[:1])
-    for i in range(1, len(path) - 1, 2):
-        route, stop = path[i], path[i + 1]
-        grown = out[-1].with_points(route).united(stop)
+    """A stop whose box can take the whole next route takes it; route and next stop go (from the last to the first, each by its own box)."""
+    out = list(path)
+    for i in range(len(path) - 3, -1, -2):
+        grown = path[i].with_points(path[i + 1])
         if grown.side() < meters:
-            out[-1] = grown
-        else:
-            out += [route, stop]
+            out[i : i + 3] = [grown]
     return out
 
 

@@ -37,27 +37,51 @@ def monotonicity_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(to, "dst").where(F.col("trj")[0]["t"] >= F.col("opens")).select("edge_id", "src", "dst", F.col("trj")[0]["t"].alias("starts"), "opens")
 
 
-def reachable(edges: DataFrame, start: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``node_id, steps`` of every node that can be reached from those of ``start``, with the fewest steps.
 
-    A round is a join of the newest nodes with the edges; ``max_rounds`` only guards against a fault.
+    A round is a join of the newest nodes with the edges, and a job: as many rounds as the farthest node has steps.
     """
     ways = cut(edges.select("src", "dst").where("src <> dst").distinct())
     front = cut(start.select("node_id").distinct().withColumn("steps", F.lit(0)))
-    found = front
-    for step in range(1, max_rounds + 1):
+    found, step = front, 0
+    while front.limit(1).count():
+        step += 1
         new = ways.join(front, ways["src"] == front["node_id"]).select(ways["dst"].alias("node_id")).distinct()
         front = cut(new.join(found, "node_id", "left_anti").withColumn("steps", F.lit(step)))
-        if not front.limit(1).count():
-            return found
         found = cut(found.union(front))
-    raise RuntimeError("the search did not end")
+    return found
 
 
-def constraint_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node_id, is_root, is_orphan, is_reachable, is_valid``: roots (nodes marked is_root) are those without incoming edges, and reach all."""
+def reachable_in_time(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``node_id, opens`` of the nodes that ``start`` reaches by ways none of whose nodes begins after the node itself has ended.
+
+    ``opens`` is the latest beginning on the way where that is earliest; roots are always reached.
+    Each round improves what the last one has changed, so it ends when nothing changes.
+    """
+    own = nodes.select("node_id", F.col("bbox.t1").alias("t1"), F.col("bbox.t2").alias("t2"))
+    ways = edges.select("src", "dst").where("src <> dst").distinct()
+    ways = cut(ways.join(own.select(F.col("node_id").alias("dst"), "t1"), "dst").select("src", "dst", "t1"))
+    low = F.lit(float("-inf"))
+    front = cut(start.select("node_id").distinct().join(own, "node_id").select("node_id", low.alias("opens")))
+    best = front
+    while front.limit(1).count():
+        new = ways.join(front, ways["src"] == front["node_id"]).groupBy(F.col("dst").alias("node_id")).agg(F.min(F.greatest("opens", "t1")).alias("new"))
+        better = new.join(best, "node_id", "left").where("opens is null or new < opens")
+        front = cut(better.select("node_id", F.col("new").alias("opens")))
+        best = cut(best.unionByName(front).groupBy("node_id").agg(F.min("opens").alias("opens")))
+    return best.join(own, "node_id").where("opens <= t2").select("node_id", "opens")
+
+
+def constraint_report(nodes: DataFrame, edges: DataFrame, *, in_time: bool = False) -> DataFrame:
+    """``node_id, is_root, is_orphan, is_reachable, is_valid``: roots (nodes marked is_root) are those without incoming edges, and reach all.
+
+    ``in_time`` takes only ways that a node can lie on by its times (``reachable_in_time``).
+    """
     incoming = edges.where("src <> dst").select(F.col("dst").alias("node_id")).distinct().withColumn("has_incoming", F.lit(True))
-    found = reachable(edges, nodes.where("is_root")).select("node_id", F.lit(True).alias("is_reachable"))
+    first = nodes.where("is_root")
+    found = reachable_in_time(nodes, edges, first) if in_time else reachable(edges, first)
+    found = found.select("node_id", F.lit(True).alias("is_reachable"))
     rows = nodes.join(incoming, "node_id", "left").join(found, "node_id", "left")
     rows = rows.select("node_id", "is_root", F.col("has_incoming").isNull().alias("is_orphan"), F.coalesce("is_reachable", F.lit(False)).alias("is_reachable"))
     return rows.withColumn("is_valid", (F.col("is_root") == F.col("is_orphan")) & F.col("is_reachable"))

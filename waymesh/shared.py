@@ -1,11 +1,19 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, tables written there, and joins whose keys may be hot."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of one key from which a join sends them elsewhere than to the key's task, and how many such keys are broadcast.
+HOT_ROWS, HOT_KEYS = 500, 1000
+
+_SCRATCH: list[list[str]] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -21,19 +29,53 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder.
+def scratch_path(spark: SparkSession, name: str, *, lasting: bool = False) -> str:
+    """A new path in the shared folder; it goes with the ``scratch`` around it, unless it is ``lasting``."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/waymesh/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH and not lasting:
+        _SCRATCH[-1].append(path)
+    return path
 
-    For loops without a bound: over checkpoints, rounds were seen to take twice as
-    long each as the one before.
-    """
+
+def written(df: DataFrame, name: str, *, lasting: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name, lasting=lasting)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at its end, but for those that are ``lasting``: what is returned must not read the others."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _SCRATCH.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def cut(df: DataFrame, name: str = "") -> DataFrame:
     """``df`` computed once and kept in the shared folder: short lineage, and a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, *, n: str = "n", keep_n: bool = False, cut: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """Inner join of ``left`` with ``right``, whose ``key`` is unique and whose ``n`` says how many rows of ``left`` bear it.
+
+    The ``HOT_KEYS`` keys with most rows (``HOT_ROWS`` at least) meet their rows by
+    broadcast, where these are: so many narrow rows at most, whatever the data.
+    The others are joined by the key, and none of their groups is larger than a
+    thousandth of ``left`` or ``HOT_ROWS``.  ``right`` should be a written table.
+    """
+    out = right if keep_n else right.drop(n)
+    top = cut(right.where(F.col(n) >= HOT_ROWS).orderBy(F.desc(n), key).limit(HOT_KEYS), "hot")
+    if not top.limit(1).count():
+        return left.join(out, key)
+    names = F.broadcast(top.select(key))
+    cool = left.join(names, key, "left_anti").join(out.join(names, key, "left_anti"), key)
+    return left.join(F.broadcast(top if keep_n else top.drop(n)), key).unionByName(cool)
