@@ -17,20 +17,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from waymesh.llm import decontaminate, near_dedup, quality, toxicity
-from waymesh.llm.common import scratch_path, table, written
+from waymesh.llm.common import scratch_path, table
 from waymesh.llm.queries import bpe_digests
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stats = written(quality.statistics_of(docs), "statistics")
-    return quality.quality_filter(docs, quality.fit(stats, table(spark, sf_dir, "labels")))
+    return quality.fit_and_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels")
-    net = toxicity.fit_net(docs, labels)
-    scored = written(toxicity.logits(docs, net), "toxicity")
-    return toxicity.toxicity_filter(docs, toxicity.calibrate(scored, labels, net))
+    return toxicity.fit_and_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import kept, map_batches
 from .perfect_hash import PerfectHash
 
 
@@ -51,6 +51,8 @@ class Vocabulary:
             self.stored[slot] = token
             self.slot_id[slot] = self.ranks[token]
 
+        self.by_id = {i: t for t, i in self.ranks.items()}
+
     def whole(self, pieces: list[bytes]) -> list[int]:
         """The id of each piece that is a token, else -1."""
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
@@ -120,25 +122,13 @@ class Encoder:
         return [b"".join(map(near.__getitem__, pieces)) for pieces in cut]
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def _encoder(rank_file: bytes, pattern: str) -> Encoder:
-    key = (hash(rank_file), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(Vocabulary(rank_file), pattern)
-    return _ENCODERS[key]
-
-
-_TOKENS: dict[int, dict[int, bytes]] = {}
+    """One encoder a worker process."""
+    return kept("bpe", (hash(rank_file), pattern), lambda: Encoder(Vocabulary(rank_file), pattern))
 
 
-def _tokens(rank_file: bytes) -> dict[int, bytes]:
-    """Bytes by id; one table a worker process."""
-    key = hash(rank_file)
-    if key not in _TOKENS:
-        _TOKENS[key] = {i: t for t, i in ranks_of(rank_file).items()}
-    return _TOKENS[key]
+def decoded(ids: bytes, by_id: dict[int, bytes]) -> bytes:
+    return b"".join(map(by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def _sent(df: DataFrame, rank_path: str):
@@ -147,23 +137,39 @@ def _sent(df: DataFrame, rank_path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(
-    docs: DataFrame, rank_path: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk: int = 64
+def _coded(
+    docs: DataFrame, rank_path: str, pattern: str, text: str, keep: tuple[str, ...], chunk: int, out: str | None
 ) -> DataFrame:
-    """``keep`` columns and ``ids``: the token ids of each whole text as little-endian uint32."""
     sent = _sent(docs, rank_path)
     source = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["ids binary"])
+    names = [*keep, "ids", *([out] if out else [])]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{n}` binary" for n in names[len(keep) :]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value, pattern)
+        by_id = encoder.vocabulary.by_id
         for batch in batches:
             for at in range(0, batch.num_rows, chunk):
                 part = batch.slice(at, chunk)
                 ids = encoder.encode(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=[*keep, "ids"])
+                columns = [ids, [decoded(v, by_id) for v in ids]] if out else [ids]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, pa.binary()) for c in columns)], names=names)
+
+    return map_batches(source, work, schema, keeps="bpe")
 
-    return map_batches(source, work, schema)
+
+def encode(
+    docs: DataFrame, rank_path: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk: int = 64
+) -> DataFrame:
+    """``keep`` columns and ``ids``: the token ids of each whole text as little-endian uint32."""
+    return _coded(docs, rank_path, pattern, text, keep, chunk, None)
+
+
+def round_trip(
+    docs: DataFrame, rank_path: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "decoded", chunk: int = 64
+) -> DataFrame:
+    """``encode``, and ``out``: the bytes that the ids stand for, decoded by the worker that encoded them."""
+    return _coded(docs, rank_path, pattern, text, keep, chunk, out)
 
 
 def decode(tokens: DataFrame, rank_path: str, *, ids: str = "ids", out: str = "decoded", chunk: int = 64) -> DataFrame:
@@ -173,12 +179,11 @@ def decode(tokens: DataFrame, rank_path: str, *, ids: str = "ids", out: str = "d
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields] + [f"`{out}` binary"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = _tokens(sent.value)
+        by_id = kept("tokens", hash(sent.value), lambda: {i: t for t, i in ranks_of(sent.value).items()})
         for batch in batches:
             for at in range(0, batch.num_rows, chunk):
                 part = batch.slice(at, chunk)
-                values = part.column(names.index(ids)).to_pylist()
-                text = [b"".join(map(by_id.__getitem__, np.frombuffer(v or b"", "<u4").tolist())) for v in values]
+                text = [decoded(v or b"", by_id) for v in part.column(names.index(ids)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.binary())], names=[*names, out])
 
-    return map_batches(tokens, work, schema)
+    return map_batches(tokens, work, schema, keeps="tokens")

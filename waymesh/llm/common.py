@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,45 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shared import hot_join, scratch, scratch_path, written  # noqa: F401  (operators take them from here)
+
 #: Entries that a worker's memo of words holds before it is emptied.
 MEMO_ENTRIES = 400_000
 #: Hashes are made faster than a large memo is searched.
 HASH_MEMO_ENTRIES = 120_000
 #: Bytes of an Arrow batch; a longer row is a batch by itself.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session without one gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="waymesh-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/waymesh/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's bound on an Arrow batch to ``BATCH_BYTES``: two tasks an executor hold a few batches each."""
     found = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
@@ -70,19 +43,50 @@ def give_back() -> None:
         trim(0)
 
 
+#: What this worker process keeps from task to task: at most one value, (name, key, value).
+_KEPT: list[tuple[str, object, object]] = []
+
+
+def kept(name: str, key: object, make: Callable[[], object]):
+    """The value of ``make``, kept by the worker for its next tasks of the same name and key."""
+    if not _KEPT or _KEPT[0][:2] != (name, key):
+        _KEPT.clear()
+        _KEPT.append((name, key, make()))
+    return _KEPT[0][2]
+
+
 def map_batches(
-    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
+    df: DataFrame,
+    work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str | StructType,
+    *,
+    keeps: str | None = None,
 ) -> DataFrame:
-    """``mapInArrow`` over batches of bounded size; a worker gives back what a task has freed."""
+    """``mapInArrow`` over batches of bounded size; a worker gives back what a task has freed.
+
+    Workers outlive their tasks: what other operators left in one (``kept``) goes
+    when a task begins that doesn't name it with ``keeps``.
+    """
     _bounded_batches(df.sparkSession)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _KEPT and _KEPT[0][0] != keeps:
+            _KEPT.clear()
+            give_back()
         yield from work(batches)
         give_back()
 
     return df.mapInArrow(bounded, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` bears it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def utf8(column: pa.Array) -> Iterator[bytes | None]:
     """The values of a string column as UTF-8 bytes, null as None, without Python strings between."""
     if pa.types.is_null(column.type):
@@ -91,6 +95,11 @@ def utf8(column: pa.Array) -> Iterator[bytes | None]:
     yield from column.cast(pa.binary()).to_pylist()
 
 
+def small_table(spark: SparkSession, columns: dict[str, tuple[list, pa.DataType]]) -> DataFrame:
+    """A table from values of the driver (name -> values and type), sent as Arrow: no Python worker reads it."""
+    return spark.createDataFrame(pa.table({name: pa.array(values, kind) for name, (values, kind) in columns.items()}))
+
+
 def crc_split(column: str, mod: int):
     """crc32 of a column written as text, modulo ``mod``: the folds of the contracts (null ids: fold of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(mod))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_shares, crc_split, fitting, map_batches, utf8, written
+from .common import byte_shares, crc_split, fitting, map_batches, small_table, utf8, written
 
 BITS, ORDERS = 17, (1, 2, 3)
 BUCKETS = 1 << BITS
@@ -225,7 +225,7 @@ def fit(
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     shares = byte_shares(least, sample_bytes)
     each = max(1, sample_rows // len(shares))
-    room = docs.sparkSession.createDataFrame(list(shares.items()), "lang string, room long")
+    room = small_table(docs.sparkSession, {"lang": (list(shares), pa.string()), "room": (list(shares.values()), pa.int64())})
     ranked = sized.join(F.broadcast(room), "lang").where("size <= room").withColumn("salt", F.xxhash64("doc_id", "size") % 64)
     # the first of each part of a language, then of the language
     for parts in (["lang", "salt"], ["lang"]):
@@ -234,7 +234,8 @@ def fit(
     for r in ranked.orderBy("lang", "rank").select("lang", "doc_id", "size").collect():
         of.setdefault(r.lang, []).append(r)
     picked = [(r.doc_id, lang, r.size) for lang, rows in of.items() for r in fitting(rows, shares[lang])]
-    sample = docs.sparkSession.createDataFrame(picked, "id long, name string, bytes int")
+    ids, names, sizes = (list(c) for c in zip(*picked, strict=True)) if picked else ([], [], [])
+    sample = small_table(docs.sparkSession, {"id": (ids, pa.int64()), "name": (names, pa.string()), "bytes": (sizes, pa.int32())})
     # sample_rows rows, or one a language: a proven bound
     met = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("name")) & (F.octet_length("text") == F.col("bytes"))
     rows = own.join(F.broadcast(sample), met).dropDuplicates(["id", "name", "bytes"]).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "bytes").collect()

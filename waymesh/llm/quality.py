@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_batches, utf8
+from .common import map_batches, utf8, written
 
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 _UPPER = bytes(range(65, 91))
@@ -172,16 +173,22 @@ def _batch_statistics(column: pa.Array) -> np.ndarray:
     return np.array([statistics(t) for t in utf8(column)], np.int64).reshape(-1, len(STATISTICS))
 
 
-def statistics_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and the rule statistics of every row, in one pass over the texts."""
+def with_statistics(docs: DataFrame, *, text: str = "text", prefix: str = "") -> DataFrame:
+    """The rows of ``docs`` with their own columns and the rule statistics, in one pass over the texts; no shuffle."""
+    at, names = docs.columns.index(text), [prefix + c for c in STATISTICS]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = _batch_statistics(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, stats.T)], names=["doc_id", *STATISTICS])
+            stats = _batch_statistics(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, stats.T)], names=[*batch.schema.names, *names])
+
+    return map_batches(docs, work, StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)]))
 
+
+def statistics_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` and the rule statistics of every row."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(source, work, f"doc_id long, {_SCHEMA}")
+    return with_statistics(source).drop("text")
 
 
 def base_failed() -> Column:
@@ -246,13 +253,38 @@ def fit(
     return QualityModel(forest, float(threshold))
 
 
+def _kept(model: QualityModel, names: list[str]) -> Column:
+    """The verdict on columns of statistics: only these go to Python, texts stay where they are."""
+
+    @F.arrow_udf("boolean")
+    def verdict(*columns: pa.Array) -> pa.Array:
+        score, failed = model.rejects(np.stack([np.asarray(c, np.int64) for c in columns], axis=1))
+        return pa.array(~failed & (score <= model.threshold))
+
+    return verdict(*(F.col(n) for n in names))
+
+
+def _prefix(docs: DataFrame) -> str:
+    prefix = "stat_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def quality_filter(docs: DataFrame, model: QualityModel, *, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns; no shuffle."""
-    at = docs.columns.index(text)
+    """The rows of ``docs`` that a fitted model keeps, with their own columns; no shuffle."""
+    prefix = _prefix(docs)
+    names = [prefix + c for c in STATISTICS]
+    return with_statistics(docs, text=text, prefix=prefix).where(_kept(model, names)).drop(*names)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score, failed = model.rejects(_batch_statistics(batch.column(at)))
-            yield batch.filter(pa.array(~failed & (score <= model.threshold)))
 
-    return map_batches(docs, work, docs.schema)
+def fit_and_filter(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", **fitting_options) -> DataFrame:
+    """The rows of ``docs`` that a model fitted on them keeps; statistics are made once.
+
+    The rows are written with their statistics, the forest and its threshold come from that table, and so do the rows that stay.
+    """
+    prefix = _prefix(docs)
+    names = [prefix + c for c in STATISTICS]
+    counted = written(with_statistics(docs, text=text, prefix=prefix), "statistics")
+    stats = counted.select(F.col(key).cast("long").alias("doc_id"), *(F.col(n).alias(c) for n, c in zip(names, STATISTICS, strict=True)))
+    return counted.where(_kept(fit(stats, labels, **fitting_options), names)).drop(*names)

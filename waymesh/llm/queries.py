@@ -42,9 +42,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path(BYTE_BPE)
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    return bpe.decode(ids, path).select(
+    return bpe.round_trip(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -104,7 +102,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "call_id",
         "name",
         "status",
-        "level",
+        F.coalesce("level", F.lit(-1)).alias("level"),
         "seq",
         F.array_join("errors", "; ").alias("errors"),
         "n_results",
@@ -182,7 +180,7 @@ rows as (
   union all
   select r.conv_id, r.call_id, null, 'orphan', r.turn, r.turn, [], r.n, 0, r.content, null, 1 from (select conv_id, call_id, turn, content, n from results
     union all select conv_id, null, turn, content, 1 from told where call_id is null) r where not exists (select 1 from calls k where k.conv_id = r.conv_id and k.call_id = r.call_id))
-select conv_id, call_id, name, status, level, row_number() over (partition by conv_id order by level nulls last, turn, orphan, call_id nulls first, content) - 1 as seq,
+select conv_id, call_id, name, status, coalesce(level, -1) as level, row_number() over (partition by conv_id order by level nulls last, turn, orphan, call_id nulls first, content) - 1 as seq,
   array_to_string(errors, '; ') as errors, n_results, dangling,
   sha256('{' || concat_ws(',', '"arguments":' || arguments, '"content":' || to_json(content)::varchar, '"id":' || to_json(call_id)::varchar,
     '"name":' || to_json(name)::varchar, '"status":' || to_json(status)::varchar) || '}') as json_sha256

@@ -31,21 +31,22 @@ uses the overall threshold; columns of other names are ignored, and kept by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import MEMO_ENTRIES, byte_shares, crc_split, fitting, give_back, map_batches, utf8, written
+from .common import MEMO_ENTRIES, byte_shares, crc_split, fitting, give_back, map_batches, small_table, unused, utf8, written
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 16, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6, 7)
 #: Words of a text that are in memory at once.
-PIECE = 100_000
+PIECE = 1 << 15
 _PAD = max(WIDTHS) - 1
 #: ASCII letters and all bytes of other characters; the rest separates words.
 _TO_WORDS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -110,13 +111,16 @@ def _laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return ids, starts[:-1], real
 
 
-def train(texts: list[bytes | None], labels: np.ndarray, *, epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 7) -> ConvNet:
+def train(texts: Iterable[bytes | None], labels: Sequence[int], *, epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 7) -> ConvNet:
     """Logistic loss with both labels weighing the same; Adam, on the embedding rows of the greatest positions only."""
     net = ConvNet.fresh(seed)
     number: dict[bytes, int] = {}
-    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in texts]
-    buckets = np.array([buckets_of(w) for w in number] + [[0] * (1 + len(PREFIXES))], np.int64)
-    labels = labels.astype(np.float32)
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
+    buckets = np.zeros((len(number) + 1, 1 + len(PREFIXES)), np.int32)  # the last row stays nought: padding
+    for k, w in enumerate(number):
+        buckets[k] = buckets_of(w)
+    del number
+    labels = np.asarray(labels, np.float32)
     weight = np.where(labels > 0, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)).astype(np.float32)
     rng = np.random.default_rng(seed)
     dense = [*net.filters, *net.bias, net.out]
@@ -241,20 +245,26 @@ def _chunks(column: pa.Array) -> Iterator[list[bytes | None]]:
         yield own
 
 
-def logits(docs: DataFrame, net: ConvNet | None, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, lang and the logit of every row."""
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+def with_logits(docs: DataFrame, net: ConvNet | None, *, text: str = "text", out: str = "logit") -> DataFrame:
+    """The rows of ``docs`` with their own columns and the logit; no shuffle."""
     if net is None:
-        return source.select("doc_id", "lang", F.lit(-60.0).alias("logit"))
+        return docs.withColumn(out, F.lit(-60.0))
     sent = docs.sparkSession.sparkContext.broadcast(net)  # a network of fixed size
+    at, names = docs.columns.index(text), [*docs.columns, out]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            found = [np.zeros(0)] + [scorer.logits(texts) for texts in _chunks(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(found).astype(float))], names=["doc_id", "lang", "logit"])
+            found = [np.zeros(0)] + [scorer.logits(texts) for texts in _chunks(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found).astype(float))], names=names)
+
+    return map_batches(docs, work, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
-    return map_batches(source, work, "doc_id long, lang string, logit double")
+
+def logits(docs: DataFrame, net: ConvNet | None, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """doc_id, lang and the logit of every row."""
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    return with_logits(source, net).drop("text")
 
 
 def training_labels(labels: DataFrame, held_out: tuple[int, int] | None) -> DataFrame:
@@ -283,11 +293,18 @@ def fit_net(
         # at most sample_rows / 2 rows of three numbers
         rows = sized.where(F.col("toxic") == toxic).where(F.col("size") <= share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2).collect()
         picked += [(r.doc_id, toxic) for r in fitting(rows, share)]
-    sample = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
+    sample = small_table(docs.sparkSession, {"doc_id": ([i for i, _ in picked], pa.int64()), "toxic": ([t for _, t in picked], pa.int32())})
     # sample_rows rows at most: a proven bound
-    got = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    net = train([(r.text or "").encode() for r in got], np.array([r.toxic for r in got]))
-    del got
+    got = written(texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")), "training-texts")
+    toxic_of = dict(picked)
+    met: list[int] = []
+
+    def each() -> Iterator[bytes]:
+        for r in got.orderBy("doc_id").select("doc_id", "text").toLocalIterator():  # a partition at a time
+            met.append(toxic_of[r.doc_id])
+            yield (r.text or "").encode()
+
+    net = train(each(), met)
     give_back()
     return net
 
@@ -332,32 +349,46 @@ def calibrate(scored: DataFrame, labels: DataFrame, net: ConvNet | None, *, held
     return model
 
 
+def _score_and_threshold(model: ToxicityModel, logit: Column, lang: Column) -> tuple[Column, Column]:
+    score = 1 / (1 + F.exp(-F.least(F.greatest(logit + model.shift, F.lit(-60.0)), F.lit(60.0))))
+    threshold = F.lit(model.thresholds.get(None, model.cut))
+    for name, value in model.thresholds.items():
+        if name is not None:
+            threshold = F.when(lang == name, value).otherwise(threshold)
+    return score, threshold
+
+
 def judge(scored: DataFrame, model: ToxicityModel) -> DataFrame:
     """``scored`` with score, the threshold of the row's language, and toxic."""
-    score = 1 / (1 + F.exp(-F.least(F.greatest(F.col("logit") + model.shift, F.lit(-60.0)), F.lit(60.0))))
-    threshold = F.lit(model.thresholds.get(None, model.cut))
-    for lang, value in model.thresholds.items():
-        if lang is not None:
-            threshold = F.when(F.col("lang") == lang, value).otherwise(threshold)
+    score, threshold = _score_and_threshold(model, F.col("logit"), F.col("lang"))
     return scored.withColumn("score", score).withColumn("threshold", threshold).withColumn("toxic", F.col("score") >= F.col("threshold"))
 
 
-def toxicity_filter(docs: DataFrame, model: ToxicityModel, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with their own columns; no shuffle."""
-    if model.net is None:
-        if docs.limit(1).count():
-            raise ValueError("toxicity can't be filtered: the training rows don't have both labels")
-        return docs
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    at, spoken = docs.columns.index(text), docs.columns.index(lang)
+def _must_have_both_labels(docs: DataFrame, model: ToxicityModel) -> None:
+    if model.net is None and docs.limit(1).count():
+        raise ValueError("toxicity can't be filtered: the training rows don't have both labels")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        scorer = Scorer(model.net)
-        overall = model.thresholds.get(None, model.cut)
-        for batch in batches:
-            found = [np.zeros(0)] + [scorer.logits(texts) for texts in _chunks(batch.column(at))]
-            limits = np.array([model.thresholds.get(v, overall) for v in batch.column(spoken).to_pylist()])
-            yield batch.filter(pa.array(model.score(np.concatenate(found)) < limits))
 
-    return map_batches(docs, work, docs.schema)
+def toxicity_filter(docs: DataFrame, model: ToxicityModel, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that a fitted model doesn't find toxic, with their own columns; no shuffle."""
+    _must_have_both_labels(docs, model)
+    out = unused(docs, "logit")
+    score, threshold = _score_and_threshold(model, F.col(out), F.col(lang).cast("string"))
+    return with_logits(docs, model.net, text=text, out=out).where(score < threshold).drop(out)
+
+
+def fit_and_filter(
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", **fitting_options
+) -> DataFrame:
+    """The rows of ``docs`` that are not toxic by a network and thresholds fitted on them; texts are scored once.
+
+    The rows are written with their logits, the thresholds come from that table, and so do the rows that stay.
+    """
+    net = fit_net(docs, labels, key=key, text=text, **fitting_options)
+    out = unused(docs, "logit")
+    scored = written(with_logits(docs, net, text=text, out=out), "toxicity")
+    narrow = scored.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(out).alias("logit"))
+    model = calibrate(narrow, labels, net)
+    _must_have_both_labels(docs, model)
+    score, threshold = _score_and_threshold(model, F.col(out), F.col(lang).cast("string"))
+    return scored.where(score < threshold).drop(out)
