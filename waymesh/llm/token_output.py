@@ -22,7 +22,13 @@ Defined cases: null or empty text is the end id alone; null keys come first, in
 the order of their text's hash, as do the rows of a repeated key, which are told
 apart by their occurrence number (0, 1, ...); an empty table gives no files and
 no rows; other columns are ignored, whatever their names.  Tasks write to a
-name of their own and rename, so a repeated task replaces equal bytes.
+name of their own and rename it; a repeated task makes equal bytes, and leaves
+the file that an earlier attempt has put there.  ``path`` must be a new folder.
+
+Sizes: shards follow the counted bytes and rows (``SHARD_BYTES``, ``SHARD_ROWS``),
+so a task holds the footer of one shard (25 bytes a document), the index of as
+many keys, and ``_CHUNK_BYTES`` of text, or one text if that is longer, with some
+60 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -41,12 +47,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, mixed, written
+from .common import kept, map_batches, mixed, small_table, written
 from .perfect_hash import PerfectHash
 
 #: Words whose ids a worker remembers before it forgets them all.
 MEMO_ENTRIES = 500_000
-_CHUNK_BYTES = 8 << 20
+_CHUNK_BYTES = 4 << 20
+#: Text and documents that a shard holds at most, as far as ranges are even; with more shuffle partitions shards are smaller, down to ``SMALL_SHARD`` bytes.
+SHARD_BYTES, SHARD_ROWS, SMALL_SHARD = 256 << 20, 1_000_000, 4 << 20
 MAGIC = 0x4B4F5459414D5741
 _MANIFEST = (
     "shard int, n_docs long, n_tokens long, first_key long, first_null boolean, n_first long, "
@@ -180,17 +188,11 @@ def _chunks(column: pa.Array) -> Iterator[pa.Array]:
         at = end
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
 def _encoder(spec: bytes, dtype) -> WordEncoder:
     """One encoder a worker process, kept from task to task."""
     from tokenizers import Tokenizer
 
-    key = (hash(spec), np.dtype(dtype).str)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(Tokenizer.from_buffer(spec), dtype)
-    return _ENCODERS[key]
+    return kept("words", (hash(spec), np.dtype(dtype).str), lambda: WordEncoder(Tokenizer.from_buffer(spec), dtype))
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -203,7 +205,23 @@ def _publish(fs: pafs.FileSystem, folder: str, name: str, write) -> None:
     own = f"{folder}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(own) as out:
         write(out)
-    fs.move(own, f"{folder}/{name}")
+    there = lambda: fs.get_file_info(f"{folder}/{name}").type == pafs.FileType.File
+    if not there():
+        try:
+            fs.move(own, f"{folder}/{name}")
+            return
+        except OSError:  # some file systems don't replace what another attempt has just put there
+            if not there():
+                raise
+    fs.delete_file(own)
+
+
+def _shards(docs: DataFrame, text: str) -> int:
+    """As many as shuffle partitions, unless shards get too large or small by the counted bytes and rows."""
+    row = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
+    most = max(1, -(-row.size // SMALL_SHARD), -(-row.n // SHARD_ROWS))
+    least = max(1, -(-row.size // SHARD_BYTES), -(-row.n // SHARD_ROWS))
+    return min(most, max(least, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 @dataclass(frozen=True)
@@ -236,7 +254,10 @@ def write_tokens(
         spec = f.read()
     vocabulary = Tokenizer.from_buffer(spec).get_vocab_size(with_added_tokens=True)
     dtype = np.uint16 if max(vocabulary - 1, end_id) < 1 << 16 else np.uint32
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise ValueError(f"{path} exists")
+    shards = shards or _shards(docs, text)
     sent = spark.sparkContext.broadcast(spec)  # one tokenizer file: its size does not follow the data
     width = np.dtype(dtype).itemsize
 
@@ -289,7 +310,7 @@ def write_tokens(
         .sortWithinPartitions("key", "tie", "row")
         .select("key", "text")
     )
-    manifest = written(map_batches(ordered, write_shard, _MANIFEST), "token-manifest")
+    manifest = written(map_batches(ordered, write_shard, _MANIFEST, keeps="words"), "token-manifest")
     # one row a shard: as many rows as files, never as many as documents
     rows = manifest.orderBy("shard").collect()
     base, carried, total, run, last = {}, {}, 0, 0, None
@@ -349,7 +370,7 @@ def entries(spark: SparkSession, files: TokenFiles) -> DataFrame:
                         names=[c.split()[0] for c in _ENTRY.split(", ")],
                     )
 
-    numbers = spark.createDataFrame([(s,) for s in shards], "shard int")
+    numbers = small_table(spark, {"shard": (shards, pa.int32())})
     return map_batches(numbers.repartition(len(shards), "shard"), read, _ENTRY)
 
 
