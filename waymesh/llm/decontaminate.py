@@ -8,31 +8,36 @@ around it.  Training and test fingerprints are joined, and each hit is extended
 to the windows around it, which are compared word by word.  Windows of short
 items are fingerprinted whole.
 
-The benchmark is the side that is held in memory, in blocks of at most
-``block_bytes`` of text (one item at least); the blocks' sizes are counted
-before anything is sent.  A benchmark of one block is matched in one pass over
-the documents.  A larger one takes a pass a block, and the passes' results are
-put together by document, so no size is left out.
+The benchmark's bytes are counted first.  Up to ``block_bytes`` of text its
+index is sent to the tasks, and the documents are matched in one pass.  A larger
+one stays a table: a bitmap of its fingerprints (``_MAP_BITS`` bits, whatever
+its size) goes to the tasks, which put out the fingerprints that it lets pass;
+these are joined with the benchmark's, the windows around those that are left are
+joined with the benchmark's windows, and rows are put together again.  A
+fingerprint or window that many documents hold meets them by broadcast of its row.
+
+Memory: a task holds texts of about a million bytes (one text, if that is longer)
+with some 150 bytes for each of their words.
 
 Defined cases: null or empty texts have no words, no hits and no windows; rows
 with the same key are matched each for itself (rows equal in key and text give
 equal results, one each); an item with a null id is named by the empty text;
-repeated item ids are one item with all its windows; an empty benchmark leaves
+repeated item ids are one item with all its windows; equal fingerprints that are
+least of a span (ties) are all kept; an empty benchmark leaves
 every document clean; other columns are ignored, and kept by ``clean_only``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashMemo, map_batches, mixed, utf8
+from .common import HashMemo, hot_join, map_batches, mixed, scratch, unused, utf8, written
 
 SIZE, GRAM, SPAN = 10, 5, 6
 #: Keeps digits, letters and all bytes of non-ASCII characters, in lower case; the rest separates words.
@@ -120,16 +125,16 @@ class BenchmarkIndex:
 
     def __init__(self, rows: list[tuple]):
         memo = HashMemo()
-        self.names = sorted({"" if i is None else str(i) for i, _ in rows})
+        self.names = sorted({i for i, _ in rows})
         number = {name: k for k, name in enumerate(self.names)}
         prints, by_size = [np.empty(0, np.uint64)], {}
         for item, text in rows:
-            words = memo.of(words_of(text.encode() if text is not None else None))
+            words = memo.of(words_of(text.encode()))
             if not len(words):
                 continue
             size = min(SIZE, len(words))
             windows = np.lib.stride_tricks.sliding_window_view(words, size).reshape(-1)
-            by_size.setdefault(size, []).append((windows, number["" if item is None else str(item)]))
+            by_size.setdefault(size, []).append((windows, number[item]))
             if size == SIZE:
                 g = grams(words, GRAM)
                 prints.append(g[winnowed(g)])
@@ -215,16 +220,10 @@ def _chunks(column: pa.Array) -> Iterator[list[bytes | None]]:
         yield own
 
 
-def benchmark_blocks(
-    benchmark: DataFrame, *, item: str = "item_id", text: str = "text", block_bytes: int = 4 << 20
-) -> Iterator[tuple[BenchmarkIndex, int]]:
-    """Indexes of the benchmark, each over a block of about ``block_bytes`` of text, and the number of blocks."""
-    rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / block_bytes))
-    for b in range(blocks):
-        # one block at a time: about block_bytes, which is what was counted
-        yield BenchmarkIndex([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]), blocks
+def small_index(rows: DataFrame, block_bytes: int) -> BenchmarkIndex | None:
+    """The index over (item, text), if their text takes ``block_bytes`` at most (counted before anything is gathered)."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
+    return BenchmarkIndex([tuple(r) for r in rows.collect()]) if total <= block_bytes else None
 
 
 _SPANS = "array<struct<start:int,end:int>>"
@@ -269,39 +268,168 @@ def covered(spans: Column) -> Column:
     )["n"]
 
 
-def match(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+_MAP_BITS = 1 << 26
+_SECOND = mixed(np.arange(101, 101 + SIZE, dtype=np.uint64)) | np.uint64(1)
+
+
+def window_hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each run of ``size`` words, as two arrays."""
+    n = max(0, len(words) - size + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(n, np.uint64)
+        for j in range(size):
+            total += words[j : j + n] * _SECOND[j]
+    return grams(words, size), mixed(total)
+
+
+def _prints(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of texts one after another, for windows of one length: their places and hashes."""
+    if size == SIZE:
+        g = grams(words, GRAM)
+        at = np.flatnonzero(winnowed(g))
+        return at, g[at]
+    g = grams(words, size)
+    with np.errstate(over="ignore"):
+        return np.arange(len(g)), mixed(g + np.uint64(size))
+
+
+def _benchmark_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (size, h1, h2, item) and fingerprints (fp, size) of a benchmark of any size."""
+    names = ["item", "size", "h1", "h2", "fp"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = HashMemo()
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                words = memo.of(words_of(text))
+                if not len(words):
+                    continue
+                size = min(SIZE, len(words))
+                h1, h2 = window_hashes(words, size)
+                fp = np.unique(_prints(words, size)[1])
+                n = max(len(h1), len(fp))
+                padded = lambda x: pa.array(x.view(np.int64).tolist() + [None] * (n - len(x)), pa.int64())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array([item] * n), pa.array(np.full(n, size, np.int32)), padded(h1), padded(h2), padded(fp)], names=names)
+
+    both = written(map_batches(rows, work, "item string, size int, h1 long, h2 long, fp long"), "benchmark-windows")
+    return both.where("h1 is not null").select("size", "h1", "h2", "item").distinct(), both.where("fp is not null").select("size", "fp").distinct()
+
+
+def _print_map(prints: DataFrame) -> np.ndarray:
+    """One bit for each possible head of a fingerprint: ``_MAP_BITS`` of them, gathered in pieces of 4 KB."""
+    head = F.shiftrightunsigned("fp", 64 - (_MAP_BITS.bit_length() - 1)) + 1
+    pieces = prints.select(F.bitmap_bucket_number(head).alias("piece"), F.bitmap_bit_position(head).alias("at")).groupBy("piece").agg(F.bitmap_construct_agg("at").alias("bits"))
+    bits = np.zeros(_MAP_BITS // 8, np.uint8)
+    for r in pieces.collect():  # _MAP_BITS / 32768 rows at most
+        bits[(r.piece - 1) * 4096 : r.piece * 4096] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(64 - (_MAP_BITS.bit_length() - 1))).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _by_tables(held: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """row, n_words, spans, items of every row of the written table ``held`` (row, text); ``rows`` are the benchmark's."""
+    windows, prints = _benchmark_tables(rows)
+    windows, prints = written(windows, "windows"), written(prints, "prints")
+    sizes = sorted(r[0] for r in prints.select("size").distinct().collect())  # SIZE numbers at most
+    bits = held.sparkSession.sparkContext.broadcast(_print_map(prints))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = HashMemo()
+        for batch in batches:
+            counts, found = [], []
+            for value in utf8(batch.column(1)):
+                words = memo.of(words_of(value))
+                own = [(size, h[_passes(bits.value, h)]) for size in sizes for h in [_prints(words, size)[1]]]
+                counts.append(len(words))
+                found.append([{"size": size, "fp": x} for size, h in own for x in np.unique(h).view(np.int64).tolist()])
+            kind = pa.list_(pa.struct([("size", pa.int32()), ("fp", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["row", "n_words", "prints"])
+
+    source = held.select("row", F.col(text).alias("text"))
+    said = written(map_batches(source, told, "row long, n_words long, prints array<struct<size:int,fp:long>>"), "told")
+    each = said.select("row", F.explode("prints").alias("print"))
+    met = each.groupBy("print").agg(F.count("*").alias("n")).join(prints.select(F.struct("size", "fp").alias("print")), "print")
+    hits = hot_join(each, written(met, "met-prints"), "print").groupBy("row").agg(F.collect_set("print").alias("prints"))  # as many as the text has
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = HashMemo()
+        for batch in batches:
+            for row, value, own in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                words = memo.of(words_of(value))
+                for size in sorted({p["size"] for p in own}):
+                    at, h = _prints(words, size)
+                    at = at[np.isin(h.view(np.int64), [p["fp"] for p in own if p["size"] == size])]
+                    starts = np.unique((at[:, None] - np.arange(SPAN)[None, :]).ravel()) if size == SIZE else at
+                    starts = starts[(starts >= 0) & (starts <= len(words) - size)]
+                    h1, h2 = (x[starts].view(np.int64) for x in window_hashes(words, size))
+                    for a in range(0, len(starts), 50_000):
+                        s = slice(a, a + 50_000)
+                        n = len(starts[s])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(n, row, np.int64)), pa.array(starts[s].astype(np.int32)), pa.array(np.full(n, size, np.int32)), pa.array(h1[s]), pa.array(h2[s])],
+                            names=["row", "start", "size", "h1", "h2"],
+                        )
+
+    asked = source.join(hits, "row").select("row", "text", "prints")
+    near = map_batches(asked, around, "row long, start int, size int, h1 long, h2 long")
+    near = written(near.select("row", "start", "size", F.struct("size", "h1", "h2").alias("window")), "near-windows")
+    known = windows.select(F.struct("size", "h1", "h2").alias("window")).distinct()
+    counted = written(near.groupBy("window").agg(F.count("*").alias("n")).join(known, "window"), "met-windows")
+    found = written(hot_join(near, counted, "window"), "found-windows")
+
+    ordered = Window.partitionBy("row").orderBy("start", "size")
+    reach = F.max(F.col("start") + F.col("size")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    islands = found.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(0))).withColumn("island", F.sum("new").over(ordered))
+    spans = islands.groupBy("row", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
+    spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    # a row for each document and item that it holds: the result itself
+    of_items = found.select("row", "window").distinct().join(windows.select(F.struct("size", "h1", "h2").alias("window"), "item"), "window")
+    items = of_items.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = said.select("row", "n_words").join(spans, "row", "left").join(items, "row", "left")
+    return out.select("row", "n_words", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _benchmark(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    return benchmark.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
+
+
+def match(
+    docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", block_bytes: int = 4 << 20
+) -> DataFrame:
     """``doc_id``, n_words, spans of hit words (start, end), and items (sorted as texts) of every document."""
+    rows = _benchmark(benchmark, item, "text")
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    told = source.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")
-    parts = []
-    for index, n_blocks in benchmark_blocks(benchmark, block_bytes=block_bytes):
-        if n_blocks == 1:
-            return _one_block(source, index)
-        parts.append(_one_block(told, index))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    # rows equal in id and text are equal in each pass: sets hold one entry a pass at most
-    merged = union.groupBy("doc_id", "digest", "n_words").agg(
-        F.count("*").alias("rows"),
-        F.flatten(F.collect_set("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    copies = F.explode(F.sequence(F.lit(1), (F.col("rows") / len(parts)).cast("int"))).alias("copy")
-    return merged.select("doc_id", "n_words", "spans", "items", copies).drop("copy")
-
-
-def clean_only(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, with their own columns; no shuffle."""
+    index = small_index(rows, block_bytes)
+    if index is not None:
+        return _one_block(source, index)
+    with scratch(docs.sparkSession):
+        held = written(source.withColumn("row", F.monotonically_increasing_id()), "held", lasting=True)
+        found = written(_by_tables(held, rows, "text"), "matched", lasting=True)
+    return held.select("row", "doc_id").join(found, "row").drop("row")
+
+
+def clean_only(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, with their own columns; no shuffle up to ``block_bytes`` of benchmark."""
+    rows = _benchmark(benchmark, item, "text")
+    index = small_index(rows, block_bytes)
+    if index is None:
+        name = unused(docs, "row")
+        with scratch(docs.sparkSession):
+            held = written(docs.withColumn(name, F.monotonically_increasing_id()), "held", lasting=True)
+            found = _by_tables(held.select(F.col(name).alias("row"), F.col(text).alias("text")), rows, "text")
+            hit = written(found.where(F.size("spans") > 0).select(F.col("row").alias(name)), "hit", lasting=True)
+        return held.join(hit, name, "left_anti").drop(name)
     at, schema = docs.columns.index(text), docs.schema
-    for index, _ in benchmark_blocks(benchmark, block_bytes=block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            memo = HashMemo()
-            for batch in batches:
-                clean = [not s for texts in _chunks(batch.column(at)) for _, s, _ in _matched(iter(texts), sent.value, memo)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = HashMemo()
+        for batch in batches:
+            clean = [not s for texts in _chunks(batch.column(at)) for _, s, _ in _matched(iter(texts), sent.value, memo)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = map_batches(docs, work, schema)
-    return docs
+    return map_batches(docs, work, schema)
