@@ -8,16 +8,27 @@ the pair reaches the threshold, and the pair is dropped once that is below
 ``miss``.  Pairs that are left are compared on their full shingle sets, and
 only those that reach the threshold link.
 
-Buckets of any size cost linear work where they agree.  First every member is
-compared with its bucket's least row alone, and each row's best pair is
-verified; the links' components are contracted.  Then only buckets that still
-hold two or more components are looked at again: all their pairs across
-components are compared inside tasks, in blocks of ``block`` rows, first on
-signatures, then on full sets, so no pair of a bucket goes untested and only
-links are written out.
+Equal sets are one class: the least row stands for it in the search, and the
+graph's nodes are classes.  First every member of a bucket is compared with the
+bucket's least row alone, and each row's best pair is verified; the links'
+components are contracted.  Then only buckets that still hold two or more
+components are looked at again, by their least row: the rows of such a group are
+compared across components, first on signatures, then on full sets.  A group of
+more than ``large`` rows is first cut by ``sub_bands`` further bands of
+``sub_rows`` signature values each, so rows that only share a common passage
+part again; a row is written once a sub-band, whatever the group's size.  What
+is left is compared inside tasks, in blocks of ``block`` rows, and only links
+are written out.
+
+Classes, components, least rows and buckets that hold many rows meet them by
+broadcast of their own narrow row (``hot_join``), not in one task.
 
 Bands (``bands`` x ``rows``) miss a pair of similarity 0.8 with probability
-(1 - 0.8^6)^40 = 5e-6; pruning adds ``miss`` a batch at most.
+(1 - 0.8^6)^40 = 5e-6; pruning adds ``miss`` a batch at most, and sub-bands of
+large groups (1 - 0.8^8)^96 = 2e-8 for a pair whose signature agrees as expected.
+
+Memory: a task holds the texts of an Arrow batch (one text, if that is longer)
+with some 100 bytes for each of its words, and two blocks of rows with their sets.
 
 Defined cases: null or empty text has no shingles and links with nothing; a
 text of fewer words than a shingle is one shingle; equal sets always link, and
@@ -39,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import HashMemo, map_batches, mixed, utf8, written
+from .common import HashMemo, hot_join, map_batches, mixed, scratch, unused, utf8, written
 
 #: Hashes compared between two looks at the posterior.
 BATCH = 16
@@ -54,6 +65,9 @@ class Plan:
     rows: int = 6
     miss: float = 1e-6
     block: int = 512
+    large: int = 2048
+    sub_bands: int = 96
+    sub_rows: int = 8
 
     @property
     def hashes(self) -> int:
@@ -254,9 +268,9 @@ def _doubtful(members: DataFrame, plan: Plan) -> DataFrame:
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / plan.block).cast("int").alias("blocks"))
+    blocks = written(members.groupBy("pivot").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / plan.block).cast("int")), "blocks")
     dealt = (
-        members.join(blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("row_id"), "blocks").cast("int"))
+        hot_join(members, blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("row_id"), "blocks").cast("int"))
         .withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("pivot", F.least("own", "met").alias("first"), F.greatest("own", "met").alias("second"), "own", "row_id", "component", "n_shingles", "sig")
         .repartition(*_HEAD).sortWithinPartitions(*_HEAD)
@@ -264,6 +278,28 @@ def _doubtful(members: DataFrame, plan: Plan) -> DataFrame:
     return map_batches(dealt, work, "pivot long, first int, second int, own int, row_id long")
 
 
+def _sub_banded(rows: DataFrame, plan: Plan) -> DataFrame:
+    """pivot, row_id of large groups' rows (pivot, row_id, component, sig), cut by bands of further signature values; those of one component go."""
+    rng = np.random.default_rng(88)
+    chosen = np.stack([rng.choice(plan.hashes, plan.sub_rows, replace=False) for _ in range(plan.sub_bands)])
+    factors = mixed(np.arange(1, plan.sub_rows + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, plan.hashes)
+                with np.errstate(over="ignore"):
+                    own = (sig[:, chosen].astype(np.uint64) * factors).sum(axis=2, dtype=np.uint64) + mixed(np.arange(plan.sub_bands, dtype=np.uint64))
+                    keys = mixed(mixed(own) + np.asarray(part.column("pivot")).view(np.uint64)[:, None]).view(np.int64)
+                each = lambda c: pa.array(np.repeat(np.asarray(part.column(c)), plan.sub_bands))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), each("row_id"), each("component")], names=["pivot", "row_id", "component"])
+
+    cut = written(map_batches(rows.select("pivot", "row_id", "component", "sig"), work, "pivot long, row_id long, component long"), "sub-bands")
+    mixed_ones = cut.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    return hot_join(cut, written(mixed_ones.select("pivot", "n"), "sub-groups"), "pivot").select("pivot", "row_id")
+
+
 def _late_links(doubtful: DataFrame, sketched: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """Links between components among the doubtful rows of each group, confirmed on full sets inside the task."""
     least = plan.least_matches()
@@ -327,50 +363,40 @@ def _full_sets(ids: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key
     return wanted.join(sets, ["doc_id", "digest"]).select("row_id", "shingles").dropDuplicates(["row_id"])
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
-    """Links among ``pairs`` (a, b, family) whose full shingle sets reach the threshold.
+def _verify(stars: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
+    """Links among ``stars`` (a, b; a b has one a) whose full shingle sets reach the threshold.
 
-    Sets travel to their family's groups, not to their pairs: a family of up to
-    ``block`` rows is one group, a larger one is dealt into blocks of which each
-    two that share a pair meet.  A group skips pairs that it has already joined.
+    A star's members are dealt into blocks of about ``block``; the set of its
+    centre goes to each block once, and members' sets pass it one after another.
     """
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            sets = {a: np.frombuffer(s, np.uint64) for *_, a, b, s in group if b is None}
-            root = {a: a for a in sets}
-
-            def top(x: int) -> int:
-                while root[x] != x:  # noqa: B023
-                    root[x] = x = root[root[x]]  # noqa: B023
-                return x
-
+        head, centre = None, np.empty(0, np.uint64)
+        for batch in batches:
             found = []
-            for *_, a, b, _ in group:
-                if b is None or (ra := top(a)) == (rb := top(b)):
+            columns = [batch.column(c).to_pylist() for c in ("a", "part", "b", "shingles")]
+            for a, part, b, shingles in zip(*columns, strict=True):
+                own = np.frombuffer(shingles, np.uint64)
+                if b is None:
+                    head, centre = (a, part), own
                     continue
-                x, y = sorted((sets[a], sets[b]), key=len)
+                if head != (a, part):
+                    raise ValueError("a star's part lacks its centre")
+                x, y = sorted((own, centre), key=len)
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 if 100 * both >= plan.percent * (len(x) + len(y) - both):
-                    root[ra] = rb
                     found.append((a, b))
             if found:
                 yield _pairs_batch(found, ["a", "b"])
 
-    ends = pairs.select("family", F.col("a").alias("row_id")).union(pairs.select("family", F.col("b").alias("row_id"))).distinct()
-    ends = written(ends, "ends")
-    sets = _full_sets(ends.select("row_id").distinct(), docs, rows, plan, key, text)
-
-    blocks = ends.groupBy("family").agg(F.ceil(F.count("*") / plan.block).cast("int").alias("blocks"))
-    dealt = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
-    asked = pairs.join(blocks, "family").select("family", F.least(dealt("a"), dealt("b")).alias("first"), F.greatest(dealt("a"), dealt("b")).alias("second"), "a", "b")
-    asked = written(asked, "asked")
-    met = asked.select("family", "first", "second").distinct()
-    met = met.select("*", F.explode(F.array_distinct(F.array("first", "second"))).alias("own"))
-    placed = ends.join(blocks, "family").select("family", dealt("row_id").alias("own"), "row_id").join(met, ["family", "own"])
-    held = placed.join(sets, "row_id").select("family", "first", "second", F.col("row_id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    both = held.union(asked.withColumn("shingles", F.lit(None).cast("binary"))).repartition("family", "first", "second")
-    return map_batches(both.sortWithinPartitions("family", "first", "second"), confirm, "a long, b long")
+    parts = stars.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / plan.block).cast("int"))
+    parts = written(parts, "star-parts")
+    members = hot_join(stars, parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b", F.col("b").alias("row_id"))
+    centres = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), F.col("a").alias("row_id"))
+    asked = written(members.unionByName(centres), "asked")
+    sets = _full_sets(asked.select("row_id").distinct(), docs, rows, plan, key, text)
+    dealt = asked.join(sets, "row_id").select("a", "part", "b", "shingles").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return map_batches(dealt, confirm, "a long, b long")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -379,58 +405,89 @@ def _components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id of the component) and kept, for every row of ``docs``."""
-    rows = written(sketches(docs, plan, key=key, text=text), "sketches")
-    known = rows.where("doc_id is not null")
-    # equal sets are linked as they are, and compared with others once
-    classes = known.where("n_shingles > 0").groupBy("digest").agg(F.min("row_id").alias("row_id"))
-    equal = known.select("digest", F.col("row_id").alias("b")).join(classes.withColumnRenamed("row_id", "a"), "digest").where("a <> b").select("a", "b")
-    first = written(known.join(classes.select("row_id"), "row_id", "left_semi"), "first")
+    with scratch(docs.sparkSession):
+        sketched = written(sketches(docs, plan, key=key, text=text), "sketches")
+        # rows of equal sets are a class; those without words only with rows of their own id
+        of_id = F.concat("digest", F.col("doc_id").cast("string").cast("binary"))
+        own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("digest")).otherwise(of_id))
+        rows = written(sketched.select("row_id", "doc_id", "n_shingles", "digest", own.alias("class")), "rows", lasting=True)
+        known = rows.where("class is not null")
+        classes = known.groupBy("class").agg(
+            F.min("row_id").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles")
+        )
+        classes = written(classes, "classes")
+        components = _class_components(docs, sketched, rows, classes, plan, key, text)
+        placed = classes.join(components.select(F.col("id").alias("node"), "component"), "node", "left")
+        placed = written(placed.select("class", "least", "n", F.coalesce("component", "node").alias("component")), "placed")
+        ids = written(placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "component-ids")
+        found = written(hot_join(placed, ids, "component", n="m").select("class", "component_id", "n"), "found", lasting=True)
+    last = lambda df, name: written(df, name, lasting=True)
+    in_component = hot_join(known, found, "class", cut=last).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    alone = rows.where("class is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return in_component.unionByName(alone)
+
+
+def _same_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that rows of one id lie in."""
+    pairs = written(rows.where("class is not null").select("doc_id", "class").distinct(), "id-classes")
+    several = pairs.groupBy("doc_id").agg(F.min("class").alias("first"), F.count("*").alias("n")).where("n > 1")
+    linked = hot_join(pairs, written(several, "repeated-ids"), "doc_id").where("class <> first").select("first", "class")
+    node = lambda c, name: classes.select(F.col("class").alias(c), F.col("node").alias(name))
+    return linked.join(node("first", "a"), "first").join(node("class", "b"), "class").select("a", "b")
+
+
+def _class_components(docs: DataFrame, sketched: DataFrame, rows: DataFrame, classes: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
+    """id, component of the classes' nodes that are linked with any other."""
+    first = written(sketched.join(classes.where("n_shingles > 0").select(F.col("node").alias("row_id")), "row_id", "left_semi"), "first")
     sig = first.select("row_id", "sig", "n_shingles")
-    of = lambda c: sig.select(F.col("row_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"size_{c}"))
+    named = lambda df, c: df.withColumnsRenamed({"row_id": c, "sig": f"sig_{c}", "n_shingles": f"size_{c}"})
 
     bands = first.select("row_id", F.explode("keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("row_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = written(bands.join(buckets, "key"), "members")
+    members = written(hot_join(bands, written(buckets, "buckets"), "key", keep_n=True), "members")
 
-    stars = members.where("row_id <> pivot").select(F.col("pivot").alias("a"), F.col("row_id").alias("b")).distinct()
-    alike = written(_prune(stars.join(of("b"), "b").join(of("a"), "a"), plan), "alike")
+    stars = written(members.where("row_id <> pivot").select(F.col("pivot").alias("a"), F.col("row_id").alias("b")).distinct(), "stars")
+    centres = written(stars.groupBy("a").agg(F.count("*").alias("n")).join(named(sig, "a"), "a"), "centres")
+    alike = written(_prune(hot_join(stars, centres, "a").join(named(sig, "b"), "b"), plan), "alike")
     best = alike.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
     best = written(best, "best")
-    repeated = known.groupBy("doc_id").agg(F.min("row_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    links = written(
-        equal.union(_verify(best.withColumn("family", F.col("a")), docs, rows, plan, key, text))
-        .union(known.select("doc_id", F.col("row_id").alias("b")).join(repeated, "doc_id").where("a <> b").select("a", "b")),
-        "links",
-    )
+    links = written(_verify(best, docs, rows, plan, key, text).union(_same_ids(rows, classes)), "links")
     components = _components(links)
 
     # what may still join two components: rows of one bucket, and pairs with a pivot that was not the best
     part = components.withColumnRenamed("id", "row_id")
     placed = members.where("n > 2").join(part, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    ends = lambda c: part.select(F.col("row_id").alias(c), F.col("component").alias(f"component_{c}"))
+    placed = written(placed.select("key", "pivot", "row_id", "component"), "placed-members")
+    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    split = written(split.select("key", "n"), "split")
+    other = written(alike.join(best, ["a", "b"], "left_anti").select("a", "b"), "other")
+    of_a = other.groupBy("a").agg(F.count("*").alias("n")).join(part.withColumnRenamed("row_id", "a"), "a", "left").select("a", "n", F.coalesce("component", "a").alias("component_a"))
+    of_b = part.select(F.col("row_id").alias("b"), F.col("component").alias("component_b"))
     rest = (
-        alike.join(best, ["a", "b"], "left_anti").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
-        .where("coalesce(component_a, a) <> coalesce(component_b, b)").select(F.col("a").alias("pivot"), F.explode(F.array("a", "b")).alias("row_id"))
+        hot_join(other, written(of_a, "centre-components"), "a").join(of_b, "b", "left").where("component_a <> coalesce(component_b, b)")
+        .select(F.col("a").alias("pivot"), F.explode(F.array("a", "b")).alias("row_id"))
     )
-    open_rows = placed.join(split, "key").select("pivot", "row_id").union(rest).distinct()
-    sketched = sig.join(part, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
-    doubtful = written(_doubtful(open_rows.join(sketched, "row_id"), plan), "doubtful")
-    if doubtful.limit(1).count():
-        sets = _full_sets(doubtful.select("row_id").distinct(), docs, rows, plan, key, text)
-        late = written(_late_links(doubtful, sketched, sets, plan), "late-links")
-        if late.limit(1).count():
-            components = _components(links.union(late))
-
-    found = components.withColumnRenamed("id", "row_id")
-    placed = rows.select("row_id", "doc_id", "n_shingles").join(found, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "component").select(
-        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
-    )
+    open_rows = written(hot_join(placed, split, "key").select("pivot", "row_id").union(rest).distinct(), "open-rows")
+    if not open_rows.limit(1).count():
+        return components
+    known = sig.join(part, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
+    known = written(known.join(open_rows.select("row_id").distinct(), "row_id", "left_semi"), "open-sketches")
+    sizes = written(open_rows.groupBy("pivot").agg(F.count("*").alias("n")), "group-sizes")
+    if sizes.where(F.col("n") > plan.large).limit(1).count():
+        sized = written(hot_join(open_rows, sizes, "pivot", keep_n=True), "sized")
+        held = sized.where(F.col("n") > plan.large).join(known, "row_id")
+        open_rows = sized.where(F.col("n") <= plan.large).select("pivot", "row_id").unionByName(_sub_banded(held, plan))
+    doubtful = written(_doubtful(written(open_rows.join(known, "row_id"), "open-members"), plan), "doubtful")
+    if not doubtful.limit(1).count():
+        return components
+    sets = _full_sets(doubtful.select("row_id").distinct(), docs, rows, plan, key, text)
+    late = written(_late_links(doubtful, known, sets, plan), "late-links")
+    return _components(links.union(late)) if late.limit(1).count() else components
 
 
 def drop_duplicates(docs: DataFrame, plan: Plan = Plan(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document is the least of its component, with their own columns."""
-    gone = written(near_duplicates(docs, plan, key=key, text=text).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs[key].cast("long") == gone["__gone"], "left_anti")
+    name = unused(docs, "gone")
+    gone = near_duplicates(docs, plan, key=key, text=text).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    gone = written(gone, "gone", lasting=True)
+    return docs.join(gone, docs[key].cast("long") == gone[name], "left_anti")
