@@ -14,9 +14,10 @@ annotations and ``mphantom``; of a closed ``select`` the options not chosen.
 * text flows with white space collapsed, but as it stands in ``pre`` and ``textarea``;
 * blocks begin on a line of their own, and paragraphs, headings, lists, tables
   and the like are set off by an empty line;
-* list items carry ``- `` or their number, nested ones are indented by two;
+* list items carry ``- `` or their number (``start``, ``value``, ``reversed``), nested ones are indented by two;
 * table cells are padded to the width of their column and joined by `` | ``;
-  a cell that spans columns is padded to them together;
+  a cell that spans columns is padded to them together, and below one that spans
+  rows its columns are blank;
 * each label of an ``svg`` is a line; a ``math`` formula flows, with blanks between
   the parts of fractions, powers and indices;
 * a ``select`` flows as its chosen option; with ``multiple`` or a size above one
@@ -28,14 +29,19 @@ All visible text is given, navigation and footers too.
 Defined cases: null html gives null text, an empty page empty text; unclosed and
 misnested tags, stray ends, and a page cut off inside a tag or comment are read
 to the end; unknown tags flow with the text; repeated rows are rendered alike;
-other columns are ignored.  Nesting beyond ``DEEPEST`` is flattened, which keeps
-all its text.
+other columns are ignored.  Elements nested more than ``DEEPEST`` deep lie flat in
+the last one above: their text stays, each block on a line of its own, and what is
+invisible stays so; only their lists, tables and choices lose their layout.
+
+Memory: a page's tree takes some 30 bytes for each of its characters at most,
+while that page is rendered; pages are held an Arrow batch at a time.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -126,13 +132,46 @@ def build(page: str) -> Node:
     open_: list[Node] = [root]
     names: list[str] = ["html"]
 
+    # what is open below the deepest element of the tree: its name, and whether it is unseen
+    flat: list[tuple[str, bool]] = []
+    flat_names: Counter = Counter()
+
     def close(at: int) -> None:
         del open_[at:], names[at:]
+        flat.clear()
+        flat_names.clear()
+
+    def told(text: str) -> None:
+        if not (flat and flat[-1][1]):
+            open_[-1].content.append(text)
+
+    def close_flat(tag: str) -> None:
+        while flat:
+            name, _ = flat.pop()
+            flat_names[name] -= 1
+            if name == tag:
+                return
+
+    def push_flat(tag: str, given: str) -> None:
+        """A start tag below the deepest element: nothing is opened there, but what is unseen is known."""
+        node = Node(tag, given)
+        inside = drawn and (flat_names["svg"] or flat_names["math"] or foreign())
+        unseen = flat and flat[-1][1] or not node.seen() or inside and tag in SVG_UNSEEN | MATH_UNSEEN
+        if tag in VOID:
+            if not unseen:
+                open_[-1].content.append(node)
+            return
+        if inside and given.rstrip().endswith("/") and not _OPEN_VALUE.search(given):
+            return
+        if not unseen and (tag in BLOCKS or tag in ("tr", "td", "th", "option", "textarea")):
+            open_[-1].content.append(Node("div"))
+        flat.append((tag, bool(unseen)))
+        flat_names[tag] += 1
 
     def push(tag: str, given: str = "") -> None:
         node = Node(tag, given)
         open_[-1].content.append(node)
-        if tag not in VOID and len(open_) < DEEPEST:
+        if tag not in VOID:
             open_.append(node)
             names.append(tag)
 
@@ -146,23 +185,36 @@ def build(page: str) -> Node:
         if m is None:
             break
         if m.start() > at:
-            open_[-1].content.append(page[at : m.start()])
+            told(page[at : m.start()])
         at = m.end()
         if page.startswith("<![CDATA[", m.start()) and foreign():
             end = page.find("]]>", m.start() + 9)
             end = end if end >= 0 else len(page)
-            open_[-1].content.append(html.escape(page[m.start() + 9 : end]))
+            told(html.escape(page[m.start() + 9 : end]))
             at = min(end + 3, len(page))
             continue
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if flat_names[tag] and m[1]:
+            close_flat(tag)
+            continue
+        drawn = drawn or not m[1] and tag in ("svg", "math")
+        if not m[1] and len(open_) >= DEEPEST:
+            push_flat(tag, m[3])
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                told(page[at : end.start() if end else len(page)])
+                at = end.end() if end else len(page)
+                close_flat(tag)
+            continue
         if m[1]:  # an end tag
             if tag == "br":
                 push("br")
             elif tag == "p" and "p" not in names:
-                push("p")
-                close(len(open_) - 1)
+                if len(open_) < DEEPEST:
+                    push("p")
+                    close(len(open_) - 1)
             elif tag in names[1:]:
                 k = len(names) - 1 - names[::-1].index(tag)
                 # a cell or a table bounds what an end tag of something inside or outside it can close
@@ -171,7 +223,6 @@ def build(page: str) -> Node:
                     close(max(k, 1))
             continue
         given = m[3]
-        drawn = drawn or tag in ("svg", "math")
         if drawn and tag in ENDS_FOREIGN:
             while foreign():
                 close(len(open_) - 1)
@@ -213,7 +264,7 @@ def build(page: str) -> Node:
             at = end.end() if end else len(page)
             close(len(open_) - 1)
     if at < len(page):
-        open_[-1].content.append(page[at:])
+        told(page[at:])
     return root
 
 
@@ -425,8 +476,12 @@ def _kept(node: Node) -> list[str]:
 def _list(node: Node) -> list[str]:
     """Items with their marks; what else a list holds flows between them."""
     out: list[str] = []
-    given = node.attributes().get("start", "")
-    number = int(given) if re.fullmatch(r"-?\d{1,9}", given) else 1
+    given = node.attributes()
+    whole = lambda text: int(text) if re.fullmatch(r"\s*[+-]?\d{1,9}\s*", text) else None
+    step = -1 if node.tag == "ol" and "reversed" in given else 1
+    number = whole(given.get("start", ""))
+    if number is None:
+        number = 1 if step > 0 else sum(isinstance(n, Node) and n.tag == "li" and n.seen() for n in node.content)
     loose = Node("div")
 
     def flush() -> None:
@@ -439,8 +494,10 @@ def _list(node: Node) -> list[str]:
             flush()
             if not part.seen():
                 continue
+            own = whole(part.attributes().get("value", ""))
+            number = number if own is None else own
             mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
+            number += step
             lines = _lines(part)
             if lines:
                 out.append(mark + lines[0])
@@ -451,20 +508,25 @@ def _list(node: Node) -> list[str]:
     return out
 
 
-def _rows(node: Node) -> Iterator[Node]:
-    for part in node.content:
+def _rows(node: Node, section: int = 0) -> Iterator[tuple[int, Node]]:
+    """Rows with the number of their section (rows of the table itself: 0)."""
+    for k, part in enumerate(node.content, 1):
         if isinstance(part, Node) and part.seen():
             if part.tag == "tr":
-                yield part
+                yield section, part
             elif part.tag in ("tbody", "thead", "tfoot"):
-                yield from _rows(part)
+                yield from _rows(part, section or k)
+
+
+def _span(cell: Node, name: str, most: int, zero: int = 1) -> int:
+    given = cell.attributes().get(name, "1").strip()
+    return (min(int(given), most) or zero) if re.fullmatch(r"\d{1,9}", given) else 1
 
 
 def _table(node: Node) -> list[str]:
     """Rows of aligned cells; captions above, and what stands between rows and cells before the table."""
     before: list[str] = []
     loose = Node("div")
-    grid: list[list[tuple[int, list[str]]]] = []
 
     def stray(n: Node, cells: frozenset) -> None:
         for part in n.content:
@@ -481,30 +543,50 @@ def _table(node: Node) -> list[str]:
 
     stray(node, frozenset())
     before += _lines(loose)
-    for row in _rows(node):
-        cells: list[tuple[int, list[str]]] = []
+    # a row's cells: (first column, columns, lines); cells from above that reach into the row have no lines
+    grid: list[list[tuple[int, int, list[str]]]] = []
+    carried: dict[int, tuple[int, int]] = {}  # first column -> columns, rows still to come
+    last = None
+    for section, row in _rows(node):
+        if section != last:
+            carried, last = {}, section
+        cells = [(at, span, []) for at, (span, _) in carried.items()]
+        taken = {c for at, span, _ in cells for c in range(at, at + span)}
+        carried = {at: (span, more - 1) for at, (span, more) in carried.items() if more > 1}
+        at, own = 0, False
         for part in row.content:
             if isinstance(part, Node) and part.tag in ("td", "th") and part.seen():
-                span = part.attributes().get("colspan", "1")
-                cells.append((min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1, _lines(part) or [""]))
-        if cells:
-            grid.append(cells)
+                own = True
+                while at in taken:
+                    at += 1
+                span, rows = _span(part, "colspan", 1000), _span(part, "rowspan", 65534, 65534)
+                cells.append((at, span, _lines(part) or [""]))
+                taken.update(range(at, at + span))
+                if rows > 1:
+                    carried[at] = (span, rows - 1)
+                at += span
+        if own or cells:
+            grid.append(sorted(cells, key=lambda c: c[0]))
     widths: list[int] = []
     for cells in grid:
-        at = 0
-        for span, lines in cells:
+        for at, span, lines in cells:
             widths += [0] * (at + 1 - len(widths))
             if span == 1:
-                widths[at] = max(widths[at], *(len(x) for x in lines))
-            at += span
+                widths[at] = max(widths[at], *(len(x) for x in lines), 0)
+    together = lambda at, span: sum(widths[at : at + span]) + 3 * (len(widths[at : at + span]) - 1)
+    for cells in grid:
+        for at, span, lines in cells:
+            reach = min(span, len(widths) - at)
+            if span > 1 and (short := max(map(len, lines), default=0) - together(at, reach)) > 0:
+                widths[at + reach - 1] += short
     out = before
     for cells in grid:
-        for k in range(max(len(lines) for _, lines in cells)):
+        for k in range(max(1, *(len(lines) for *_, lines in cells))):
             at, parts = 0, []
-            for span, lines in cells:
-                width = sum(widths[at : at + span]) + 3 * (len(widths[at : at + span]) - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(width))
-                at += span
+            for first, span, lines in cells:
+                parts += [" " * w for w in widths[at:first]]
+                parts.append((lines[k] if k < len(lines) else "").ljust(together(first, span)))
+                at = first + span
             out.append(" | ".join(parts).rstrip(" "))
     return out
 
