@@ -96,12 +96,15 @@ def shape_clusters(edges: DataFrame, max_meters: float) -> DataFrame:
 
 
 def medoids(edges: DataFrame, clusters: DataFrame) -> DataFrame:
-    """The edge of least total dissimilarity in each cluster, with the cluster's size as weight; ties: the least id."""
+    """The edge of least total dissimilarity in each cluster, with the cluster's size as weight; ties: the least id.
+
+    Totals are compared as whole metre milliseconds, so the order in which they are summed up decides nothing.
+    """
     own = edges.join(clusters, "edge_id").select("edge_id", *GROUP, "cluster_id", "trj")
     pairs = edge_pairs(own, [*GROUP, "cluster_id"])
     d = pairs.select("a", "b", _pair_measure(shapes.dissim)("trj_a", "trj_b").alias("d"))
     total = d.select(F.explode(F.array("a", "b")).alias("edge_id"), "d").groupBy("edge_id").agg(F.sum("d").alias("total"))
-    ranked = own.drop("trj").join(total, "edge_id", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    ranked = own.drop("trj").join(total, "edge_id", "left").withColumn("total", F.round(F.coalesce("total", F.lit(0.0))))
     best = ranked.groupBy(*GROUP, "cluster_id").agg(F.min(F.struct("total", "edge_id")).alias("m"), F.count("*").alias("weight"))
     return best.select(F.col("m.edge_id").alias("edge_id"), F.col("weight").cast("int").alias("weight")).join(edges.select("edge_id", *GROUP, "trj"), "edge_id")
 

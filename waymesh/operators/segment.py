@@ -56,10 +56,12 @@ def endpoints(trips: DataFrame) -> DataFrame:
 
 def path_stats(trips: DataFrame) -> DataFrame:
     """Number of trips, and least, upper median and greatest number of points, in one row."""
-    w = Window.orderBy("n")
     counts = trips.groupBy("n").agg(F.count("*").alias("k"))  # as many rows as there are lengths
-    running = counts.withColumn("upto", F.sum("k").over(w)).crossJoin(counts.agg(F.sum("k").alias("total")))
-    return running.agg(
-        F.max("total").alias("trips"), F.min("n").alias("shortest"),
-        F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("n"))).alias("median"), F.max("n").alias("longest"),
-    )
+    lengths = F.array_sort(F.collect_list(F.struct("n", "k")))
+    rows = counts.agg(lengths.alias("lengths"), F.sum("k").alias("trips"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("int").alias("n"))
+    median = F.aggregate(
+        "lengths", start,
+        lambda acc, x: F.struct((acc["upto"] + x["k"]).alias("upto"), F.when(acc["n"].isNull() & (acc["upto"] + x["k"] > F.floor(F.col("trips") / 2)), x["n"]).otherwise(acc["n"]).alias("n")),
+    )["n"]
+    return rows.select(F.coalesce("trips", F.lit(0)).cast("long").alias("trips"), "shortest", median.alias("median"), "longest")

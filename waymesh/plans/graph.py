@@ -10,6 +10,8 @@ united into places, then the same split and medoids.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,17 @@ def build_graph(points: DataFrame, keys: list[str], order: list[str], config: Co
     return nodes, representatives(cut(edges), config)
 
 
+def counters(places: DataFrame, edges: DataFrame, slices: DataFrame, representatives: DataFrame) -> DataFrame:
+    """One row: places found, trip ends that were merged into them, slices that places were split into, and edges merged into representatives."""
+    tables = {"spatial_clusters": places, "edges": edges, "slices": slices, "kept": representatives}
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    rows = reduce(DataFrame.unionByName, counts).agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in tables))
+    return rows.select(
+        "spatial_clusters", (2 * F.col("edges") - F.col("spatial_clusters")).alias("node_merges"), (F.col("slices") - F.col("spatial_clusters")).alias("node_splits"),
+        (F.col("edges") - F.col("kept")).alias("edge_merges"),
+    )
+
+
 def stop_points(points: DataFrame, keys: list[str], order: list[str], config: Config) -> DataFrame:
     """Segmented points with velocity, motion and stop state."""
     parts = segment.timeout_segments(clean.time_guard(points, keys, order), keys, order, config.connection_timeout)

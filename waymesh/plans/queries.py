@@ -15,7 +15,7 @@ from ..config import Config
 from ..functions import bbox, geo
 from ..operators import clean, cluster, edges as edge_ops, motion, segment, split, verify
 from ..shared import cut
-from ..sources import readers
+from ..sources import readers, sinks
 from . import graph
 
 KEYS, ORDER = ["stream_id", "day"], ["seq"]
@@ -146,8 +146,9 @@ def roots(spark, sf_dir):
 
 
 def isolated_nodes(spark, sf_dir):
+    """Places that no trip leaves for another of a lesser number."""
     nodes, edges = _places(spark, sf_dir)
-    return verify.isolated(nodes, graph.lasting(edges)).select("node_id", "weight")
+    return verify.isolated(nodes, graph.lasting(edges).where("dst < src")).select("node_id", "weight")
 
 
 def loops(spark, sf_dir):
@@ -159,12 +160,96 @@ def monotonicity_violations(spark, sf_dir):
 
 
 def split_violations(spark, sf_dir):
-    """Loops and edges that don't lead to a later slice: none."""
-    _, edges = _split_graph(spark, sf_dir)
-    starts = edges.select("edge_id", "src", "dst", F.col("trj")[0]["t"].alias("starts"))
-    # the next edge of a path always starts later
-    follow = starts.select(F.col("src").alias("dst"), F.col("starts").alias("next")).groupBy("dst").agg(F.min("next").alias("next"))
-    return starts.join(follow, "dst").where("next <= starts or src = dst").select("edge_id")
+    """Loops and edges that another edge leaves their target before, by graph: of the places there are some, of their slices none."""
+    _, edges = _places(spark, sf_dir)
+    edges = cut(graph.lasting(edges))
+    _, slices = split.make_monotone(_places(spark, sf_dir)[0], edges)
+    rows = None
+    for name, own in (("places", edges), ("slices", slices)):
+        starts = own.select("edge_id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("trj")[0]["t"].alias("starts"))
+        # the next edge of a path always starts later
+        follow = starts.select(F.col("src").alias("dst"), F.col("starts").alias("next")).groupBy("dst").agg(F.min("next").alias("next"))
+        found = starts.join(follow, "dst").where("next <= starts or src = dst").select(F.lit(name).alias("graph"), "edge_id")
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
+def reachability_in_time(spark, sf_dir):
+    nodes, edges = _places(spark, sf_dir)
+    edges = cut(edges)
+    return verify.reachable_in_time(cut(nodes), edges, edges.agg(F.min("src").alias("node_id")))
+
+
+def constraint_report(spark, sf_dir):
+    """Roots are the two places of least number, as it were."""
+    nodes, edges = _places(spark, sf_dir)
+    nodes = cut(nodes)
+    first = nodes.select("node_id").orderBy("node_id").limit(2).withColumn("is_root", F.lit(True))
+    marked = nodes.join(first, "node_id", "left").withColumn("is_root", F.coalesce("is_root", F.lit(False)))
+    return verify.constraint_report(marked, cut(edges.where("src < dst")), in_time=True)
+
+
+def pruned_graph(spark, sf_dir):
+    """The graph without places of fewer than 40 trip ends, and its roots by trips to greater numbers."""
+    nodes, edges = _places(spark, sf_dir)
+    nodes, left = verify.remove_nodes(cut(nodes), cut(edges.where("src < dst")), nodes.where("weight < 40"))
+    return nodes.select("node_id", "weight", "is_root")
+
+
+def minimal_boxes(spark, sf_dir):
+    nodes, edges = _places(spark, sf_dir)
+    members = nodes.select("node_id", F.col("node_id").alias("cluster_id"), "bbox")
+    return cluster.minimal_boxes(members, edges).select("node_id", *_sides())
+
+
+def edge_boxes(spark, sf_dir):
+    """What boxes say of each other and of points: the boxes of an edge's two places, and its first point."""
+    nodes, edges = _places(spark, sf_dir)
+    at = lambda c: nodes.select(F.col("node_id").alias(c), F.col("bbox").alias(f"{c}_box"))
+    rows = edges.join(at("src"), "src").join(at("dst"), "dst").withColumn("p", F.element_at("trj", -1))
+    a, b, p = F.col("src_box"), F.col("dst_box"), F.col("p")
+    both, grown, parts = bbox.union(a, b), bbox.with_point(a, p), bbox.split_at(a, p["t"])
+    three = lambda c: F.round(c, 3)
+    return rows.select(
+        "edge_id", bbox.contains(a, p).alias("contains"), bbox.in_temporal(a, p).alias("in_time"), bbox.in_spatial(a, p).alias("in_space"),
+        bbox.is_before(a, b).alias("before"), bbox.is_single_point(a).alias("single"), bbox.fits_spatially(both, 5000.0).alias("fits_space"),
+        bbox.fits_temporally(a, 600.0).alias("fits_time"), bbox.can_contain(a, F.col("trj"), 5000.0).alias("can_contain"), (bbox.time_order(a) < bbox.time_order(b)).alias("sooner"),
+        three(both["x1"]).alias("union_x1"), three(both["t2"]).alias("union_t2"), three(grown["x2"]).alias("grown_x2"), three(grown["y1"]).alias("grown_y1"),
+        three(bbox.longest_side(both)).alias("longest"), three(bbox.longest_side(both, shorter=True)).alias("shortest"), three(bbox.area(both)).alias("area"),
+        three(parts[0]["t2"]).alias("first_t2"), three(parts[1]["t1"]).alias("second_t1"), geo.is_monotone(F.col("trj")).alias("monotone"), geo.clock(p["t"]).alias("clock"),
+    )
+
+
+def graph_dot(spark, sf_dir):
+    nodes, edges = _places(spark, sf_dir)
+    return sinks.dot_lines(nodes, edges)
+
+
+def graph_json(spark, sf_dir):
+    """What readers of the JSON lines get back."""
+    nodes, edges = _places(spark, sf_dir)
+    kind = "kind string, id string, src string, dst string, weight int, bbox struct<x1:double,t2:double>, trj array<struct<x:double>>"
+    rows = sinks.json_lines(nodes, edges).select(F.from_json("value", kind).alias("o")).select("o.*")
+    return rows.select("kind", "id", "src", "dst", "weight", F.round("bbox.x1", 3).alias("x1"), F.coalesce(F.size("trj"), F.lit(-1)).alias("n")).na.fill("", ["src", "dst"]).na.fill(0.0, ["x1"])
+
+
+def nodes_csv(spark, sf_dir):
+    """Numbers as plain digits, read back."""
+    rows = sinks.node_table(_places(spark, sf_dir)[0])
+    return rows.select("label", "weight", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("x1", "y1", "t1", "x2", "y2", "t2")), F.concat("x1", "t2").rlike("[eE]").alias("has_exponent"))
+
+
+def edges_csv(spark, sf_dir):
+    rows = sinks.edge_table(_places(spark, sf_dir)[1])
+    return rows.select("edge_id", "src", "dst", "weight", "pos", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in "xyt"))
+
+
+def run_counters(spark, sf_dir):
+    nodes, edges = _places(spark, sf_dir)
+    nodes, edges = cut(nodes), cut(edges)
+    slices, moved = split.make_monotone(nodes, graph.lasting(edges))
+    clusters = edge_ops.shape_clusters(edges, CONFIG.max_hausdorff_meters)
+    return graph.counters(nodes, edges, slices, clusters.select("cluster_id").distinct())
 
 
 def reachability(spark, sf_dir):
@@ -192,12 +277,12 @@ def hausdorff_pairs(spark, sf_dir):
 
 def dissim_pairs(spark, sf_dir):
     _, edges = _places(spark, sf_dir)
-    return edge_ops.dissim_pairs(edges).select("a", "b", F.round("dissim", 1).alias("dissim"))
+    return edge_ops.dissim_pairs(edges).select("a", "b", F.round(F.col("dissim") / 1e6, 3).alias("dissim"))  # km s
 
 
 def area_pairs(spark, sf_dir):
     _, edges = _places(spark, sf_dir)
-    return edge_ops.area_pairs(edges).select("a", "b", F.round("area", 1).alias("area"))
+    return edge_ops.area_pairs(edges).select("a", "b", F.round(F.col("area") / 1e6, 3).alias("area"))  # km s
 
 
 def bbox_overlap(spark, sf_dir):
@@ -275,6 +360,12 @@ def read_gpx(spark, sf_dir):
     return _read(readers.read_points(_texts(spark, sf_dir, "<gpx><trk><trkseg>\n", line, tail="\n</trkseg></trk></gpx>")))
 
 
+def read_gpx_strict(spark, sf_dir):
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    line = F.concat(F.lit('<trkpt lat="'), "lat", F.lit('" lon="'), "lon", F.lit('"><ele>1.5</ele><time>'), stamp, F.lit("Z</time></trkpt>"))
+    return _read(readers.read_points(_texts(spark, sf_dir, "<gpx><trk><trkseg>\n", line), strict_gpx=True))
+
+
 def read_plt(spark, sf_dir):
     day = F.datediff("day", F.lit("1899-12-30"))
     line = F.concat_ws(",", "lat", "lon", F.lit("0"), F.lit("99"), day, F.col("day").cast("string"), F.date_format("ts", "HH:mm:ss.SSS"))
@@ -298,6 +389,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         endpoint_clusters, node_table, edge_table, edge_groups, temporal_splits, split_edges, split_nodes, roots, isolated_nodes, loops,
         monotonicity_violations, split_violations, reachability, motion_velocity, stop_epochs, hausdorff_pairs, dissim_pairs, area_pairs,
         bbox_overlap, merged_boxes, medoid_edges, shape_clusters, centroid_edges, simplified_edges, ch_filtered, paths, movement_graph,
-        path_movement_graph, read_gpx, read_plt, read_ais, read_synthetic,
+        path_movement_graph, read_gpx, read_plt, read_ais, read_synthetic, read_gpx_strict, reachability_in_time, constraint_report, pruned_graph,
+        minimal_boxes, edge_boxes, graph_dot, graph_json, nodes_csv, edges_csv, run_counters,
     )
 }
