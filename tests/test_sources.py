@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from waymesh import cli
 from waymesh.sources import readers, sinks
 from waymesh.streaming import forms
 
@@ -73,3 +74,49 @@ def test_streams(spark, tmp_path):
     finally:
         query.stop()
     assert sorted(seen) == [(1, 2), (1, 4)]
+
+
+def test_lines_of_large_files(spark, tmp_path):
+    """Read in small splits, each format gives the same points in the same order as read whole."""
+    at = lambda i: dt.datetime(2020, 1, 1) + dt.timedelta(seconds=7 * i)
+    texts = {
+        "gpx": "<gpx>\n" + "\n".join(f'<trkpt lat="{55 + i / 1e4}" lon="10.5">\n<ele>1.0</ele><time>{at(i).isoformat()}.000Z</time></trkpt>' for i in range(400)) + "\n</gpx>",
+        "plt": PLT + "".join(f"{39 + i / 1e4},116.3,0,492,{39744 + i // 300},x,{at(i):%H:%M:%S}\n" for i in range(400)),
+        "ais": AIS + "".join(f"{i % 3},{at(i):%Y-%m-%d %H:%M:%S},-4.5,{48 + i / 1e4},1,1,1,1,1\r\n" for i in range(400)),
+        "synthetic": SYN + "".join(f"{at(i):%Y-%m-%d %H:%M:%S},{1 + i / 1e4},2.5,u{i % 2},\n" for i in range(400)),
+    }
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    try:
+        for kind, text in texts.items():
+            folder = tmp_path / kind
+            folder.mkdir()
+            for name in ("a", "b"):
+                (folder / name).write_text(text)
+            key = lambda rows: [(r.source[-1], r.stream_id[-1], str(r.day), r.lat, r.lon, r.t_ms) for r in sorted(rows, key=lambda r: (r.source, r.seq))]
+            lines = readers.read_lines(spark, str(folder), kind)
+            assert lines.rdd.getNumPartitions() > 4
+            assert key(lines.collect()) == key(readers.read_points(readers.text_files(spark, str(folder))).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(ValueError):
+        readers.read_lines(spark, str(tmp_path), "pdf")
+
+
+def test_command_line(spark, tmp_path):
+    """Two trips each way between two places."""
+    lines = [readers.AIS_HEADER]
+    for vessel in range(4):
+        for k in range(6):
+            lon = -4.5 + (0.01 * k if vessel % 2 else 0.05 - 0.01 * k)
+            lines.append(f"{vessel},2009-02-01 {vessel + 1:02d}:{k:02d}:00,{lon},48.3,1,1,1,1,1")
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "config.json").write_text('{"connection_timeout": 600000, "unknown": 1}')
+    path = str(tmp_path / "in.csv")
+    with pytest.raises(SystemExit):
+        cli.main([path, "--nodes"], spark)
+    for more in ([], ["--format", "ais"]):
+        out = str(tmp_path / f"out{len(more)}")
+        nodes, edges = cli.main([path, "-o", out, "-n", "-e", "-d", "-j", "-p", "-c", str(tmp_path / "config.json"), "-t", "24h", "-M", *more], spark)
+        assert edges.count() == 4 and edges.agg(F.sum("weight")).first()[0] == 4
+        assert spark.read.parquet(f"{out}/edges").count() == 4 and spark.read.text(f"{out}/graph_dot").count() == nodes.count() + 6
+    assert cli.config_of(spark, cli.parser().parse_args([path, "-t", "15m", "-C", "--clustering-threshold", "20"])).temporal_slack_ms == 900_000

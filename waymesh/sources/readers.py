@@ -28,8 +28,12 @@ _STRICT_TRKPT = (
 )
 
 
-def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """``source, value``: one row a file with its whole text."""
+#: Formats that ``read_lines`` takes: files are read by line, or by track point, and large ones are split.
+LINE_FORMATS = ("gpx", "plt", "ais", "synthetic")
+
+
+def text_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``source, value``: one row a file with its whole text, for files of mixed formats that fit a row each; ``read_lines`` takes larger ones."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value")
 
 
@@ -61,6 +65,34 @@ def _lines(files: DataFrame) -> DataFrame:
     return lines.where("seq > 0").select("source", F.col("seq").cast("bigint").alias("seq"), F.split("line", ",").alias("f"))
 
 
+def _split_lines(spark: SparkSession, paths: str | list[str], separator: str | None = None) -> DataFrame:
+    """``source, seq, value`` of each line of files of any size, which are read in splits.
+
+    ``seq`` grows along a file: the first byte of the split plus the row in its
+    task, which can't pass the next split's first byte, as every line has one byte
+    at least and a split that is not its file's last is alone in its task.
+    """
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return reader.text(paths).select(F.col("_metadata.file_path").alias("source"), (F.col("_metadata.file_block_start") + row).alias("seq"), "value")
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], format: str, *, ignore_ids: bool = False, strict_gpx: bool = False) -> DataFrame:
+    """The points of files that are all of one of ``LINE_FORMATS``; ``seq`` orders a file's points, but doesn't count them.
+
+    Header lines go by themselves: they hold no position.
+    """
+    if format == "gpx":
+        parts = _split_lines(spark, paths, "</trkpt>").withColumn("value", F.concat("value", F.lit("</trkpt>")))
+        own = read_gpx(parts.withColumn("source", F.struct("source", F.col("seq").alias("part"))), strict=strict_gpx)
+        named = own.withColumn("seq", F.col("source.part")).withColumn("source", F.col("source.source"))
+        return named.withColumn("stream_id", F.col("source")).select(*COLUMNS)
+    if format not in LINE_FORMATS:
+        raise ValueError(f"unknown format: {format}")
+    lines = _split_lines(spark, paths).select("source", "seq", F.split(F.regexp_replace("value", r"\r$", ""), ",").alias("f"))
+    return _plt_points(lines) if format == "plt" else _stamped_points(lines, format, ignore_ids)
+
+
 def _field(k: int) -> Column:
     return F.trim(F.try_element_at("f", F.lit(k + 1)))
 
@@ -88,31 +120,40 @@ def read_gpx(files: DataFrame, *, strict: bool = False) -> DataFrame:
     return _points(found)
 
 
-def read_plt(files: DataFrame) -> DataFrame:
-    """Fields 0 latitude, 1 longitude, 4 day number since 1899-12-30, 6 time of day."""
+def _plt_points(lines: DataFrame) -> DataFrame:
     day = F.date_add(F.lit("1899-12-30").cast("date"), _field(4).try_cast("double").cast("int"))
-    return _points(_lines(files).select("source", F.col("source").alias("stream_id"), day.alias("day"), "seq", _field(0).try_cast("double").alias("lat"), _field(1).try_cast("double").alias("lon"), _clock_ms(_field(6)).alias("t_ms")))
+    return _points(lines.select("source", F.col("source").alias("stream_id"), day.alias("day"), "seq", _field(0).try_cast("double").alias("lat"), _field(1).try_cast("double").alias("lon"), _clock_ms(_field(6)).alias("t_ms")))
+
+
+#: Fields of id, time, latitude and longitude.
+_FIELDS = {"ais": (0, 1, 3, 2), "synthetic": (3, 0, 1, 2)}
 
 
-def _with_stamp(files: DataFrame, id: int, stamp: int, lat: int, lon: int, ignore_ids: bool) -> DataFrame:
+def _stamped_points(lines: DataFrame, format: str, ignore_ids: bool) -> DataFrame:
+    id, stamp, lat, lon = _FIELDS[format]
     parts = F.split(_field(stamp), r"[ T]")
     stream = F.col("source") if ignore_ids else F.concat_ws("#", "source", _field(id))
     return _points(
-        _lines(files).select(
+        lines.select(
             "source", stream.alias("stream_id"), F.try_element_at(parts, F.lit(1)).try_cast("date").alias("day"), "seq",
             _field(lat).try_cast("double").alias("lat"), _field(lon).try_cast("double").alias("lon"), _clock_ms(F.try_element_at(parts, F.lit(2))).alias("t_ms"),
         )
     )
 
 
+def read_plt(files: DataFrame) -> DataFrame:
+    """Fields 0 latitude, 1 longitude, 4 day number since 1899-12-30, 6 time of day."""
+    return _plt_points(_lines(files))
+
+
 def read_ais(files: DataFrame, *, ignore_ids: bool = False) -> DataFrame:
     """Fields 0 vessel, 1 time, 2 longitude, 3 latitude."""
-    return _with_stamp(files, 0, 1, 3, 2, ignore_ids)
+    return _stamped_points(_lines(files), "ais", ignore_ids)
 
 
 def read_synthetic(files: DataFrame, *, ignore_ids: bool = False) -> DataFrame:
     """Fields 0 time, 1 latitude, 2 longitude, 3 user."""
-    return _with_stamp(files, 3, 0, 1, 2, ignore_ids)
+    return _stamped_points(_lines(files), "synthetic", ignore_ids)
 
 
 def read_points(files: DataFrame, *, ignore_ids: bool = False, strict_gpx: bool = False) -> DataFrame:

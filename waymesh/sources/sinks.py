@@ -43,7 +43,7 @@ def json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, formats: tuple[str, ...] = ("parquet",), mode: str = "error") -> None:
-    """Writes each of ``formats`` below ``path``; edges as CSV are parted by source, DOT lines are sorted by part."""
+    """Writes each of ``formats`` below ``path``; DOT lines are sorted by part."""
     unknown = set(formats) - set(FORMATS)
     if unknown:
         raise ValueError(f"unknown formats: {sorted(unknown)}")
