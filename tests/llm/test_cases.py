@@ -7,7 +7,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
+from waymesh import shared
 from waymesh.llm import bpe, chat_format, common, decontaminate, html_text, language_id, near_dedup, quality, sharding, token_output, toxicity
 
 LONG = " ".join(f"word{i % 997} stone{i}" for i in range(60_000))
@@ -83,6 +85,21 @@ def test_quality(spark, docs, empty):
     assert {r.doc_id for r in quality.quality_filter(docs, quality.QualityModel(None, np.inf)).collect()} == {6}
 
 
+def test_forest_matches_a_walk():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (300, 4))
+    forest = quality.IsolationForest.fit(x, trees=20, size=64, seed=5)
+    mean = 2 * (np.log(63) + 0.5772156649015329) - 2 * 63 / 64
+    for row, score in zip(x[:50], forest.score(x[:50])):
+        total = 0.0
+        for t in range(20):
+            at = 0
+            while np.isfinite(forest.value[t, at]):
+                at = int(forest.left[t, at]) + int(row[forest.column[t, at]] >= forest.value[t, at])
+            total += forest.length[t, at]
+        assert score == pytest.approx(2 ** (-total / 20 / mean))
+
+
 def test_forest_isolates_outliers():
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (2000, 3))
@@ -100,6 +117,13 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty, 4).count() == 0
 
 
+def test_sharding_keeps_columns(docs):
+    found = sharding.shard_documents(docs, 2, keep=("key", "n_words", "hash"))
+    assert found.columns[:3] == ["key", "n_words", "hash"] and found.first()[:3] == ("k", 3, "h")
+    with pytest.raises(ValueError, match="shard"):
+        sharding.shard_documents(docs, 2, keep=("shard", "lang"))
+
+
 def test_sharding_splits_a_hot_text(spark):
     rng = random.Random(1)
     own = table(spark, [(7 if i % 2 else i, "hot text" if i % 3 else "x" * rng.randrange(50)) for i in range(3000)])
@@ -125,12 +149,17 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.match(empty, bench).count() == 0 and decontaminate.clean_only(docs, bench.limit(0)).count() == len(TEXTS)
 
 
-def test_decontaminate_matches_brute_force(spark):
+@pytest.mark.parametrize("block_bytes", [4 << 20, 1])
+def test_decontaminate_matches_brute_force(spark, block_bytes):
+    """With the benchmark sent to the tasks, and joined as a table."""
     rng = random.Random(8)
     text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
     items = [(str(i), text(rng.choice([3, 9, 10, 11, 14]))) for i in range(40)]
     own = [(i, text(300)) for i in range(40)]
-    got = {r.doc_id: r for r in decontaminate.match(table(spark, own), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    got = {r.doc_id: r for r in decontaminate.match(table(spark, own), spark.createDataFrame(items, "item_id string, text string"), block_bytes=block_bytes).collect()}
+    clean = decontaminate.clean_only(table(spark, own), spark.createDataFrame(items[:3], "item_id string, text string"), block_bytes=block_bytes)
+    some = decontaminate.match(table(spark, own), spark.createDataFrame(items[:3], "item_id string, text string")).where("size(spans) = 0")
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in some.collect())
     for i, t in own:
         words, hit, names = t.split(), set(), set()
         for name, item in items:
@@ -179,6 +208,22 @@ def test_toxicity_sample_skips_a_large_text(spark):
         toxicity.toxicity_filter(docs, none)
 
 
+def test_scores_match_a_plain_convolution():
+    net = toxicity.ConvNet.fresh(3)
+    net.bias = [np.full(toxicity.FILTERS, 0.1 * k, np.float32) for k in range(len(toxicity.WIDTHS))]
+    texts = ["Some words, and SOME more: words again \u00c9t\u00e9", "one", "", None]
+    for text, got in zip(texts, toxicity.Scorer(net).logits([t.encode() if t is not None else None for t in texts])):
+        words = "".join(c if c.isalpha() and (c.isascii() or ord(c) > 127) else " " for c in (text or "").lower()).split()
+        vectors = [sum(net.table[b] for b in toxicity.buckets_of(w.encode())) for w in words] + [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)
+        logit, k = net.shift, 0
+        for width, weight, bias in zip(toxicity.WIDTHS, net.filters, net.bias):
+            for f in range(toxicity.FILTERS):
+                values = [bias[f] + sum(vectors[i + j] @ weight[j * toxicity.DIM : (j + 1) * toxicity.DIM, f] for j in range(width)) for i in range(max(1, len(words)))]
+                logit += max(0.0, max(values)) * net.out[k]
+                k += 1
+        assert got == pytest.approx(logit, abs=1e-4)
+
+
 def test_scores_do_not_depend_on_pieces(monkeypatch):
     scorer = toxicity.Scorer(toxicity.ConvNet.fresh(1))
     texts = [LONG.encode(), b"", None, b"one two three"]
@@ -200,7 +245,7 @@ def test_near_dedup(spark, docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 6, 7, None}
 
 
-def test_near_dedup_of_a_hot_family(spark):
+def test_near_dedup_of_a_hot_family(spark, monkeypatch):
     """A chain of edits, a large group of near copies and of equal ones: every link is found, in blocks smaller than the group."""
     rng = random.Random(6)
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]
@@ -215,7 +260,14 @@ def test_near_dedup_of_a_hot_family(spark):
         w[rng.randrange(120)] = f"m{i}"
         own.append((2000 + i, " ".join(w)))
     rng.shuffle(own)
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, own), near_dedup.Plan(shingle=2, block=16)).collect()}
+    own += [(3000 + i, " ".join(base[:70] + [f"x{i}.{k}" for k in range(50)])) for i in range(60)]  # a shared passage, and nothing else
+    own += [(5, "again an id, " + " ".join(base)), (5, ""), (3001, "")]
+    plan = near_dedup.Plan(shingle=2, block=16, large=40, sub_bands=64)
+    monkeypatch.setattr(shared, "HOT_ROWS", 20)
+    found = near_dedup.near_duplicates(table(spark, own), plan).collect()
+    assert len(found) == len(own)
+    got = {r.doc_id: r.component_id for r in found}
+    own = [(i, t) for i, t in own if t and not t.startswith("again")]
     sets = {i: {(a, b) for a, b in zip(t.split(), t.split()[1:])} for i, t in own}
     root = {i: i for i in sets}
 
@@ -229,7 +281,9 @@ def test_near_dedup_of_a_hot_family(spark):
             if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((top(a), top(b)))
                 root[y] = x
-    assert got == {i: top(i) for i in sets}
+    joined = {i: top(i) for i in sets}
+    by_id = {joined[5], joined[1000]}  # rows of one id are one document, and one of them equals the family all but for a few words
+    assert got == {i: min(by_id) if c in by_id else c for i, c in joined.items()}
 
 
 def test_language(spark, docs, empty):
@@ -253,6 +307,25 @@ def test_language_sample_skips_a_large_text(spark):
         language_id.fit(docs, held_out=None, sample_bytes=60)
 
 
+def test_language_matches_a_dictionary(spark):
+    """Probabilities from n-grams counted in a dictionary."""
+    rng = np.random.default_rng(1)
+    model = language_id.LanguageModel(["a", "b", "c"], rng.normal(0, 0.1, (language_id.BUCKETS, 3)), rng.normal(0, 1, 3), 1.7)
+    text = "Der Hund, 2 K\u00e4fer"
+    letters = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    counts = {}
+    for n in language_id.ORDERS:
+        for i in range(len(letters) - n + 1):
+            gram = letters[i : i + n]
+            counts[gram] = counts.get(gram, 0) + 1
+    bucket = {g: int(language_id.buckets_of(np.array([ord(c) for c in g], np.uint64))[-1]) for g in counts}  # the last is the longest n-gram
+    total = sum(counts.values())
+    logits = sum(n / (total + 60) * 100 * model.weights[bucket[g]] for g, n in counts.items()) + model.shift
+    p = np.exp(logits / 1.7) / np.exp(logits / 1.7).sum()
+    (lang,), (score,) = model.predict([text.encode()])
+    assert lang == "abc"[int(p.argmax())] and score == pytest.approx(p.max())
+
+
 def test_language_pieces(monkeypatch):
     points = language_id.letters_of(LONG[:5000].encode())
     whole = np.bincount(language_id.buckets_of(points), minlength=language_id.BUCKETS)
@@ -277,6 +350,29 @@ def test_html(spark):
     assert [x.index("|") for x in lines if "|" in x] == [3, 3] and "no" not in text[1].replace("now", "")
 
 
+WHOLE = [
+    ("a<br>b", "a\nb"), ("<p>a<p>b", "a\n\nb"), ("<div>a</div>b<div>c</div>", "a\nb\nc"), ("  a \n b  ", "a b"), ("<b>a</b><i>b</i> c", "ab c"),
+    ("<h1>a</h1>b", "a\n\nb"), ("<ul><li>a<li>b</ul>", "- a\n- b"), ("<ol><li>a<ul><li>b</ul><li>c</ol>", "1. a\n  - b\n2. c"),
+    ("<ol start=5><li>a<li value=9>b<li>c</ol>", "5. a\n9. b\n10. c"), ("<ol reversed><li>a<li>b<li hidden>x</ol>", "2. a\n1. b"),
+    ("<ol reversed start=7><li>a<li value=-1>b<li>c</ol>", "7. a\n-1. b\n-2. c"), ("<dl><dt>a<dd>b</dl>", "a\n  b"), ("a<hr>b", "a\n---\nb"),
+    ("<pre>a\n  b</pre>", "a\n  b"), ("<img alt='x y'>z", "x yz"), ("a<script>b</script>c", "ac"), ("a<style>b</style>c", "ac"), ("a<!-- b -->c", "ac"),
+    ("<p hidden>a</p>b", "b"), ("<p style='display: none'>a</p>b", "b"), ("<p aria-hidden=true>a</p>b", "b"), ("<noscript>a</noscript>b", "b"),
+    ("<template>a</template>b", "b"), ("<q>a</q>", '"a"'), ("&lt;a&gt; &eacute;&#65;", "<a> \u00e9A"), ("a&nbsp;b", "a\u00a0b"),
+    ("<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>", "a   | bb\nccc | d"), ("<table><td rowspan=2>A<td>B<tr><td>C<td>D</table>", "A | B\n  | C | D"),
+    ("<table><tr><td colspan=2>wide one<td>z<tr><td>a<td>b<td>c</table>", "wide one | z\na | b    | c"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>", "a | b\n  | c\nd"), ("<table><caption>t</caption><tr><td>a</table>", "t\na"),
+    ("<table><tr><td>a<br>b<td>c</table>", "a | c\nb |"), ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c</table>", "a   | b\n    | c"),
+    ("<textarea> a <b></textarea>", " a <b>"), ("<title>a</title><body>b", "b"), ("<head><meta x><title>t</title></head>a", "a"), ("a<wbr>b", "ab"),
+    ("<blockquote>a</blockquote>b", "a\n\nb"), ("</p>a</div>b", "ab"), ("<a href=x>a</a", "a"), ("<input type=hidden value=a><input value=b>", "b"), ("<b><p>a</b>b", "ab"), ("<span>a<div>b</span>c</div>d", "a\nbc\nd"),
+    ("<div>" * 250 + "<script>no</script><p hidden>no<b>no</b></p><style>no</style>a<p>b</p><svg><title>no</title></svg>c" + "</div>" * 250 + "<ul><li>d</ul>", "a\nbc\n\n- d"),
+]
+
+
+@pytest.mark.parametrize("page, text", WHOLE)
+def test_html_whole_pages(page, text):
+    assert html_text.render(page) == text
+
+
 def test_html_formulas_diagrams_and_choices():
     math = "<p>So <math><semantics><mrow><mi>x</mi> <mo>=</mo> <mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>tex</annotation></semantics></math> holds."
     assert html_text.render(math) == "So x= 1 2 holds."
@@ -315,6 +411,37 @@ def test_chat(spark):
     assert chat_format.link_calls(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_chat_without_schemas_and_turns(spark):
+    calls = spark.createDataFrame([(1, None, "a", "f", "{}", None, 1), (1, 2, "b", "f", '{"a":1,"a":2}', ["a"], 2)], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>, row long")
+    results = spark.createDataFrame([(1, None, "a", None, "x"), (1, 3, None, "t", "x"), (1, 3, None, "t", "x")], "conv_id long, turn long, call_id string, content string, level string")
+    schemas = spark.createDataFrame([], "name string, param string, type string, required boolean, row long")
+    found = chat_format.link_calls(calls, results, schemas).collect()
+    by = {(r.call_id, r.status): r for r in found}
+    assert len(found) == 4 and sorted(r.seq for r in found) == [0, 1, 2, 3] and sum(r.status == "orphan" for r in found) == 2
+    assert by["a", "linked"].errors == ["tool: f has no schema"] and by["b", "pending"].errors == ["arguments: no object"]
+
+
+@pytest.mark.parametrize("folded", [256, 3])
+def test_chat_levels_match_a_walk(spark, monkeypatch, folded):
+    """Chains against the turns, layers of several dependencies, and cycles, inside rows and by doubling."""
+    monkeypatch.setattr(chat_format, "FOLDED", folded)
+    rng = random.Random(2)
+    needs = {}
+    for conv in range(8):
+        for k in range(12):
+            needs[conv, k] = sorted({rng.randrange(12) for _ in range(rng.choice([0, 1, 1, 2]))} - {k})
+    needs |= {(9, k): [k + 1] for k in range(40)} | {(9, 40): []}
+    needs |= {(10, k): [k + 1, k + 2] for k in range(6)} | {(10, 6): [], (10, 7): [6]}
+    rows = [(c, k, f"t{k}", "f", "{}", [f"t{d}" for d in own]) for (c, k), own in needs.items()]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>").withColumn("row", F.monotonically_increasing_id())
+    got = {(r.conv_id, r.turn): r.level for r in chat_format.levels(calls).join(calls, "row").collect()}
+    level = {}
+    while free := [x for x, own in needs.items() if x not in level and all((x[0], d) in level for d in own)]:
+        level |= {x: max((level[x[0], d] for d in needs[x]), default=-1) + 1 for x in free}
+    turns = {c for c in {c for c, _ in needs} if all(d < k for (e, k), own in needs.items() if e == c for d in own)}
+    assert got == {x: x[1] if x[0] in turns else level.get(x) for x in needs} and len(level) < len(needs)
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([(5,), (77,), (None,)], "doc_id long").select("doc_id", common.crc_split("doc_id", 4).alias("f")).collect()
     assert [r.f for r in rows] == [zlib.crc32(b"5") % 4, zlib.crc32(b"77") % 4, 0]

@@ -8,7 +8,11 @@ Both run on the distinct new pre-tokens of a batch; a memo of bounded size keeps
 their ids, and a text's ids are the memo's entries one after another.
 
 Defined cases: null or empty text has no ids and decodes to no bytes; repeated
-rows are encoded alike; other columns are ignored unless named in ``keep``.
+rows are encoded alike; of pairs of equal rank the leftmost merges first; other
+columns are ignored unless named in ``keep``.
+
+Memory: a task holds an Arrow batch of texts, or one text if that is longer, with
+some 80 bytes for each of its pre-tokens.
 """
 
 from __future__ import annotations

@@ -76,6 +76,10 @@ ENDS_FOREIGN = frozenset(
 ENDS_SELECT = frozenset("input keygen textarea select caption table tbody tfoot thead tr td th".split())
 #: A paragraph ends where one of these begins.
 ENDS_P = BLOCKS | {"hr"}
+#: Ends of these close no block that began after them.
+INLINE = frozenset(
+    "a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark nobr q ruby s samp small span strike strong sub sup time tt u var".split()
+)
 #: An open element that ends where the given tag begins, up to the element that bounds the search.
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -217,6 +221,8 @@ def build(page: str) -> Node:
                     close(len(open_) - 1)
             elif tag in names[1:]:
                 k = len(names) - 1 - names[::-1].index(tag)
+                if tag in INLINE and any(n in BLOCKS for n in names[k + 1 :]):
+                    continue
                 # a cell or a table bounds what an end tag of something inside or outside it can close
                 bound = max((i for i, n in enumerate(names) if n in ("td", "th", "caption", "table")), default=0)
                 if k >= bound or tag in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):

@@ -64,7 +64,7 @@ class Plan:
     bands: int = 40
     rows: int = 6
     miss: float = 1e-6
-    block: int = 512
+    block: int = 256
     large: int = 2048
     sub_bands: int = 96
     sub_rows: int = 8

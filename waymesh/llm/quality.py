@@ -11,8 +11,11 @@ Bounds: the forest is fitted on at most ``sample_rows`` labelled good documents
 and ``contamination`` times as many bad ones, those whose ids have the least
 hash.  Statistics, threshold and verdicts cover every document and whole texts.
 
-Defined cases: null or empty text has no words and fails the base rules; ids
-that repeat are scored row by row; a label counts once an id (the least where
+Memory: a task holds an Arrow batch of texts, or one text if that is longer, with
+some 150 bytes for each word of the text at hand.
+
+Defined cases: null or empty text has no words and fails the base rules; a score
+at the threshold is kept; ids that repeat are scored row by row; a label counts once an id (the least where
 rows disagree, null labels don't count); without labelled good documents the
 forest is not fitted and only the base rules decide; columns of other names are
 ignored, and kept as they are by ``quality_filter``.

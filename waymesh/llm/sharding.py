@@ -20,7 +20,8 @@ inside their piece.
 Defined cases: null text counts one byte, as does empty text; rows with a null
 or a repeated id are rows like others; fewer rows than shards leave shards
 empty; an empty table gives no rows; columns of other names are kept if
-``keep`` names them.
+``keep`` names them, and a name that the result has itself is an error.  A text
+of any length is one value of one row; nothing but its size and checksum is kept.
 """
 
 from __future__ import annotations
@@ -165,13 +166,17 @@ def shard_documents(
     docs: DataFrame, shards: int = 16, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), tolerance: float = 0.002
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row, with the columns of ``keep``."""
-    rows = written(keyed(docs, key=key, text=text, keep=keep), "keyed")
+    if clash := set(keep) & {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}:
+        raise ValueError(f"the result has columns of its own of these names: {sorted(clash)}")
+    own = {c: f"keep_{k}" for k, c in enumerate(keep)}
+    kept = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(n) for c, n in own.items()))
+    rows = written(keyed(kept, keep=tuple(own.values())), "keyed")
     cuts = splitters(rows, shards, tolerance=tolerance)
     n = rows.count()
     bits = max(0, math.ceil(math.log2(max(1, n / shards / PIECE_ROWS))))
     placed = rows.withColumn("shard", shard_of(cuts)).withColumn("piece", F.shiftright("key_row", 63 - bits) if bits else F.lit(0).cast("long"))
     numbered = gapless(placed, ["shard"], "piece", [*_PARTS], "slot")
     return numbered.select(
-        *keep, "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+        *(F.col(n).alias(c) for c, n in own.items()), "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -17,12 +17,16 @@ on at most ``sample_bytes`` of their text.  Labels share the bytes equally, a
 text that its label's share has no room for is skipped, and a label whose texts
 all exceed it is given room for its smallest; if there is none for each label,
 fitting is an error.  Scores, thresholds and verdicts
-cover every document and whole texts, in pieces that overlap, so memory is
-bounded by ``PIECE`` words.
+cover every document and whole texts.
+
+Memory: a text is held whole with some 60 bytes for each of its words; their
+vectors are made for pieces of ``PIECE`` words, which overlap.
 
 Defined cases: null or empty text has no words and gets the score of none; ids
-that repeat are scored row by row; a label counts once an id (the greatest
-where rows disagree, null labels don't count); without both labels in the
+that repeat are scored row by row, and the network learns from the greatest of
+their texts; a label counts once an id (the greatest where rows disagree, null
+labels don't count); a score at the threshold is toxic; equal F1 takes the
+greater threshold; without both labels in the
 training rows every score is 0, and ``toxicity_filter`` raises an error unless
 there are no rows at all; a language without labelled rows of both kinds
 uses the overall threshold; columns of other names are ignored, and kept by
