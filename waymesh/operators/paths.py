@@ -155,6 +155,13 @@ def build_path(points: np.ndarray, stop: np.ndarray, meters: float) -> list:
     return path
 
 
+def item_columns(item) -> tuple[str, dict | None, list | None]:
+    """kind, bbox and trj of an item of a path."""
+    if isinstance(item, Box):
+        return "stop", item.as_dict(), None
+    return "route", None, [dict(zip("xyt", p, strict=True)) for p in item.tolist()]
+
+
 def paths(points: DataFrame, keys: list[str], order: list[str], meters: float, t: str = "t_ms", *, min_items: int = 2) -> DataFrame:
     """``keys``, pos, kind (stop, route), bbox and trj of every item of each segment's path; ``points`` have ``stop``."""
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
@@ -166,9 +173,7 @@ def paths(points: DataFrame, keys: list[str], order: list[str], meters: float, t
         own = build_path(rows[["x", "y", t]].to_numpy(float), rows["stop"].to_numpy(), meters)
         out = []
         for pos, item in enumerate(own if len(own) >= min_items else []):
-            is_stop = isinstance(item, Box)
-            trj = None if is_stop else [dict(zip("xyt", p, strict=True)) for p in item.tolist()]
-            out.append((*(rows[k].iloc[0] for k in keys), pos, "stop" if is_stop else "route", item.as_dict() if is_stop else None, trj))
+            out.append((*(rows[k].iloc[0] for k in keys), pos, *item_columns(item)))
         return pd.DataFrame(out, columns=names)
 
     return points.groupBy(*keys).applyInPandas(run, schema)

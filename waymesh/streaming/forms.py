@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import bbox
+from ..config import Config
+from ..functions import bbox, detect, shapes
+from ..operators import paths
 
 
 def time_guard_stream(events: DataFrame, key: str = "stream_id", t: str = "t_ms", order: str = "seq") -> DataFrame:
@@ -42,6 +45,54 @@ def timeout_segments_stream(events: DataFrame, timeout_ms: int, *, key: str = "s
     return found.select(key, "first_ts", "last_ts", "n", "bbox")
 
 
+def paths_stream(
+    events: DataFrame, config: Config, *, key: str = "stream_id", ts: str = "ts", t: str = "t_ms", order: str = "seq", late: str = "10 minutes", spikes: bool = False
+) -> DataFrame:
+    """Stops and routes of closed segments: key, first_t, pos, kind, bbox and trj, as ``operators.paths`` finds them.
+
+    The state of a stream is its open segment, which a gap closes, or the watermark
+    once it is ``connection_timeout`` past the segment's last row.  The time guard, the
+    spike filter (if asked for), motion, stops and the path run when it is closed.
+    """
+    names = [key, "first_t", "pos", "kind", "bbox", "trj"]
+    schema = f"{key} {events.schema[key].dataType.simpleString()}, first_t double, pos int, kind string, bbox {paths._BOX}, trj {paths._TRJ}"
+    held = "x array<double>, y array<double>, t array<double>"
+
+    def items(name, x: np.ndarray, y: np.ndarray, time: np.ndarray) -> pd.DataFrame:
+        if spikes:
+            kept = shapes.without_spikes(x, y, config.window_size)
+            x, y, time = x[kept], y[kept], time[kept]
+        motion = detect.motion_states(detect.velocities(x, y, time, config.motion_detector_timespan), config.minimum_velocity + config.epsilon_velocity)
+        stop = detect.stop_states(x, y, time, motion, config.bbox_max_meters, config.bbox_min_minutes)
+        path = paths.build_path(np.stack([x, y, time], axis=1), stop, config.bbox_max_meters)
+        rows = [(name, float(time[0]), pos, *paths.item_columns(item)) for pos, item in enumerate(path if len(path) > 1 else [])]
+        return pd.DataFrame(rows, columns=names)
+
+    def run(name, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_ = [np.asarray(v, float) for v in state.get] if state.exists else [np.empty(0)] * 3
+        if state.hasTimedOut:
+            state.remove()
+            yield items(name[0], *open_)
+            return
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        rows = rows[rows[t].notna()]
+        x, y, time = (np.concatenate([v, rows[c].to_numpy(float)]) for v, c in zip(open_, ("x", "y", t), strict=True))
+        if not len(time):
+            return
+        kept = time >= np.maximum.accumulate(time)
+        x, y, time = x[kept], y[kept], time[kept]
+        cuts = [0, *(np.flatnonzero(np.diff(time) > config.connection_timeout) + 1).tolist(), len(time)]
+        for a, z in zip(cuts[:-2], cuts[1:-1], strict=True):
+            yield items(name[0], x[a:z], y[a:z], time[a:z])
+        state.update(tuple(v[cuts[-2] :].tolist() for v in (x, y, time)))
+        if len(rows):
+            last = int(rows[ts].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last + config.connection_timeout, state.getCurrentWatermarkMs() + 1))
+
+    rows = events.withWatermark(ts, late).groupBy(key)
+    return rows.applyInPandasWithState(run, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def refresh_graph(segments: DataFrame, build: Callable[[DataFrame], None], checkpoint: str):
     """Starts a query that hands each batch of closed segments to ``build``, which refreshes the graph's tables."""
     return segments.writeStream.foreachBatch(lambda batch, _id: build(batch)).option("checkpointLocation", checkpoint).outputMode("append").start()
