@@ -13,8 +13,8 @@ graph's nodes are classes.  First every member of a bucket is compared with the
 bucket's least row alone, and each row's best pair is verified; the links'
 components are contracted.  Then only buckets that still hold two or more
 components are looked at again, by their least row: the rows of such a group are
-compared across components, first on signatures, then on full sets.  A group of
-more than ``large`` rows is first cut by ``sub_bands`` further bands of
+compared across components, first on signatures, then on full sets: those of its
+largest component only with the others.  A group with more than ``large`` others is first cut by ``sub_bands`` further bands of
 ``sub_rows`` signature values each, so rows that only share a common passage
 part again; a row is written once a sub-band, whatever the group's size.  What
 is left is compared inside tasks, in blocks of ``block`` rows, and only links
@@ -226,32 +226,38 @@ _HEAD = ["pivot", "first", "second"]
 
 
 def _alive_across(rows: list[tuple], plan: Plan, least: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of a group the later rows of another component that no batch prunes.
+    """For each row of a group the rows of another component that it is to meet there and that no batch prunes.
 
-    Rows are (pivot, first, second, own, row_id, component, n_shingles, sig, ...).
+    Rows are (pivot, first, second, own, row_id, component, n_shingles, sig, ...), see ``_doubtful``.
     """
     first, second = rows[0][1:3]
     own, comps, sizes = (np.array([r[k] for r in rows]) for k in (3, 5, 6))
     sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, plan.hashes)
-    for i in range(len(rows)):
-        other = comps != comps[i]
-        if first == second:
-            other[: i + 1] = False
-        elif own[i] == first:
-            other &= own == second
-        else:
-            continue
-        j = np.flatnonzero(other)
+    for i in np.flatnonzero(own == first).tolist():
+        other = own == second
+        if second == -1:
+            other[i + 1 :] |= own[i + 1 :] == first
+        j = np.flatnonzero(other & (comps != comps[i]))
         if len(j):
             yield i, j[_survives(np.broadcast_to(sig[i], (len(j), plan.hashes)), sig[j], np.full(len(j), sizes[i]), sizes[j], plan, least)]
 
 
+def _sized(members: DataFrame) -> DataFrame:
+    """``members`` (pivot, component, ...) with n, main and others: rows of the group, its largest component, and rows outside of that."""
+    each = members.groupBy("pivot", "component").agg(F.count("*").alias("k"))
+    sizes = each.groupBy("pivot").agg(F.sum("k").alias("n"), F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("k"))
+    sizes = written(sizes.select("pivot", "n", "main", (F.col("n") - F.col("k")).alias("others")).where("others > 0"), "group-sizes")
+    return hot_join(members, sizes, "pivot", keep_n=True)
+
+
 def _doubtful(members: DataFrame, plan: Plan) -> DataFrame:
     """The rows of each group that agree with a row of another component: pivot, first, second, own, row_id.
 
-    Rows that share a pivot are a group; a larger one than ``block`` is dealt into
-    blocks, and each two blocks meet in a group of their own, so no task holds more
-    than two blocks.  Pairs stay inside the task.
+    Rows of a group's largest component meet those outside of it, and these each
+    other.  Both are dealt into blocks (own: 0, 1, ... outside, -1, -2, ... inside)
+    and each two blocks that are to meet do so in a task of their own; a block
+    outside meets itself where it meets -1.  So a large component that a few
+    others touch costs a row for each of its rows.  Pairs stay inside the task.
     """
     least = plan.least_matches()
     names = [*_HEAD, "own", "row_id"]
@@ -268,11 +274,18 @@ def _doubtful(members: DataFrame, plan: Plan) -> DataFrame:
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    blocks = written(members.groupBy("pivot").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / plan.block).cast("int")), "blocks")
+    outside, inside = F.ceil(F.col("others") / plan.block).cast("int"), F.ceil((F.col("n") - F.col("others")) / plan.block).cast("int")
+    of = lambda n: F.pmod(F.xxhash64("row_id"), n).cast("int")
+    is_main = F.col("component") == F.col("main")
+    own = F.when(is_main, -1 - of(inside)).otherwise(of(outside))
+    below = F.transform(F.sequence(F.lit(0), inside - 1), lambda k: -1 - k)
+    beside = F.filter(F.sequence(F.lit(0), outside - 1), lambda k: k != of(outside))
+    met = F.when(is_main, F.sequence(F.lit(0), outside - 1)).otherwise(F.concat(below, beside))
     dealt = (
-        hot_join(members, blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("row_id"), "blocks").cast("int"))
-        .withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("pivot", F.least("own", "met").alias("first"), F.greatest("own", "met").alias("second"), "own", "row_id", "component", "n_shingles", "sig")
+        members.withColumn("own", own).withColumn("met", F.explode(met))
+        .select("pivot", F.when(F.col("met") < 0, F.col("own")).when(F.col("own") < 0, F.col("met")).otherwise(F.least("own", "met")).alias("first"),
+                F.when(F.col("met") < 0, F.col("met")).when(F.col("own") < 0, F.col("own")).otherwise(F.greatest("own", "met")).alias("second"),
+                "own", "row_id", "component", "n_shingles", "sig")
         .repartition(*_HEAD).sortWithinPartitions(*_HEAD)
     )
     return map_batches(dealt, work, "pivot long, first int, second int, own int, row_id long")
@@ -296,8 +309,7 @@ def _sub_banded(rows: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), each("row_id"), each("component")], names=["pivot", "row_id", "component"])
 
     cut = written(map_batches(rows.select("pivot", "row_id", "component", "sig"), work, "pivot long, row_id long, component long"), "sub-bands")
-    mixed_ones = cut.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    return hot_join(cut, written(mixed_ones.select("pivot", "n"), "sub-groups"), "pivot").select("pivot", "row_id")
+    return _sized(cut).select("pivot", "row_id")
 
 
 def _late_links(doubtful: DataFrame, sketched: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -472,12 +484,13 @@ def _class_components(docs: DataFrame, sketched: DataFrame, rows: DataFrame, cla
         return components
     known = sig.join(part, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
     known = written(known.join(open_rows.select("row_id").distinct(), "row_id", "left_semi"), "open-sketches")
-    sizes = written(open_rows.groupBy("pivot").agg(F.count("*").alias("n")), "group-sizes")
-    if sizes.where(F.col("n") > plan.large).limit(1).count():
-        sized = written(hot_join(open_rows, sizes, "pivot", keep_n=True), "sized")
-        held = sized.where(F.col("n") > plan.large).join(known, "row_id")
-        open_rows = sized.where(F.col("n") <= plan.large).select("pivot", "row_id").unionByName(_sub_banded(held, plan))
-    doubtful = written(_doubtful(written(open_rows.join(known, "row_id"), "open-members"), plan), "doubtful")
+    sized = written(_sized(open_rows.join(known, "row_id")), "sized")
+    held = sized.where(F.col("others") > plan.large)
+    members = sized.where(F.col("others") <= plan.large)
+    if held.limit(1).count():
+        apart = _sub_banded(held, plan).join(known, "row_id")
+        members = members.unionByName(_sized(written(apart, "sub-members")))
+    doubtful = written(_doubtful(members, plan), "doubtful")
     if not doubtful.limit(1).count():
         return components
     sets = _full_sets(doubtful.select("row_id").distinct(), docs, rows, plan, key, text)
