@@ -36,8 +36,9 @@ from __future__ import annotations
 import json
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -177,15 +178,23 @@ class WordEncoder:
         return np.diff(upto[bounds[1:] + np.arange(len(texts))], prepend=0), ids
 
 
-def _chunks(column: pa.Array) -> Iterator[pa.Array]:
-    """Slices of about ``_CHUNK_BYTES`` of text: bounded memory, whatever the texts' lengths."""
-    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
-    at = 0
-    while at < len(column):
-        before = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, before + _CHUNK_BYTES, "right")))
-        yield column.slice(at, end - at)
-        at = end
+def _chunks(columns: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    """The texts of batches in runs of about ``_CHUNK_BYTES``: long enough that words repeat in one, and bounded, whatever the texts' lengths."""
+    held, total = [], 0
+    for column in columns:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+        at = 0
+        while at < len(column):
+            before = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + _CHUNK_BYTES - total, "right")))
+            held.append(column.slice(at, end - at))
+            total += int(size[end - 1] - before)
+            at = end
+            if total >= _CHUNK_BYTES or at < len(column):
+                yield pa.concat_arrays(held)
+                held, total = [], 0
+    if held:
+        yield pa.concat_arrays(held)
 
 
 def _encoder(spec: bytes, dtype) -> WordEncoder:
@@ -271,18 +280,17 @@ def write_tokens(
         fs, folder = _open(path)
 
         def body(out) -> None:
-            def take(batch: pa.RecordBatch) -> None:
-                column = batch.column("key")
-                nulls.append(np.asarray(column.is_null()))
-                keys.append(np.asarray(column.fill_null(0)))
-                for texts in _chunks(batch.column("text")):
-                    n_ids, ids = encoder.encode(texts, end_id)
-                    counts.append(n_ids)
-                    out.write(ids.tobytes())
-
-            take(first)
-            for batch in batches:
-                take(batch)
+            def told() -> Iterator[pa.Array]:
+                for batch in chain([first], batches):
+                    column = batch.column("key")
+                    nulls.append(np.asarray(column.is_null()))
+                    keys.append(np.asarray(column.fill_null(0)))
+                    yield batch.column("text")
+
+            for texts in _chunks(told()):
+                n_ids, ids = encoder.encode(texts, end_id)
+                counts.append(n_ids)
+                out.write(ids.tobytes())
             firsts = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.uint64)
             out.write(np.concatenate(keys).astype(np.int64).tobytes())
             out.write(np.concatenate(nulls).astype(np.uint8).tobytes())
