@@ -10,6 +10,13 @@ as Parquet and rereads it as the next one's docs.  Stages fit what they need
    0.8 or more) the one with the least id stays.
 4. decontaminate: documents with any window of a benchmark item go.
 5. encode: byte-level BPE; returns the digests of ids and decoded bytes.
+
+Defined cases: rows with null or empty text fail the quality rules, whatever
+their id; rows of one id are judged each for itself, and near-dedup keeps or
+drops them together; a row with a null id is never a copy; columns besides those
+of documents stay with their rows up to the last stage, whatever their names; no
+rows give no rows.  Documents without both toxicity labels among the training
+rows are an error, as nothing could be filtered.
 """
 
 from __future__ import annotations
