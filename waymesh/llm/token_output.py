@@ -505,4 +505,5 @@ _TYPES = [pa.int64()] * 4 + [pa.binary()]
 def read_all(spark: SparkSession, files: TokenFiles) -> DataFrame:
     """Every stored document: the keys come from the shards' footers, their places from the index."""
     keys = entries(spark, files).select(F.when(~F.col("key_null"), F.col("key")).alias("key"), "occurrence")
-    return lookup(keys, files)
+    # written, so that a task has one worker at a time: a second one would keep a tokenizer of its own from the encoding
+    return lookup(written(keys, "token-keys", lasting=True), files)
