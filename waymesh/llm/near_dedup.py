@@ -40,8 +40,10 @@ other columns are ignored, and kept by ``drop_duplicates``.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,15 +77,21 @@ class Plan:
 
     def least_matches(self) -> np.ndarray:
         """For each batch, the fewest matches with which a pair stays a candidate."""
-        j = (np.arange(20_000) + 0.5) / 20_000
-        found = []
-        for n in range(BATCH, self.hashes + 1, BATCH):
-            m = np.arange(n + 1)[:, None]
-            log = m * np.log(j) + (n - m) * np.log1p(-j)
-            density = np.exp(log - log.max(axis=1, keepdims=True))
-            reaches = density[:, j >= self.percent / 100].sum(axis=1) / density.sum(axis=1)
-            found.append(int(np.argmax(reaches >= self.miss)))
-        return np.array(found)
+        return _least_matches(self)
+
+
+@cache
+def _least_matches(plan: Plan) -> np.ndarray:
+    j = (np.arange(20_000) + 0.5) / 20_000
+    log_j, log_not = np.log(j), np.log1p(-j)
+
+    def stays(m: int, n: int) -> bool:
+        log = m * log_j + (n - m) * log_not
+        density = np.exp(log - log.max())
+        return bool(density[j >= plan.percent / 100].sum() / density.sum() >= plan.miss)
+
+    # more matches make the threshold likelier
+    return np.array([bisect_left(range(n + 1), True, key=lambda m: stays(m, n)) for n in range(BATCH, plan.hashes + 1, BATCH)])  # noqa: B023
 
 
 def shingle_sets(texts: list[bytes | None], size: int, memo: HashMemo) -> list[np.ndarray]:
