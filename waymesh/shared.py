@@ -30,10 +30,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str, *, lasting: bool = False) -> str:
-    """A new path in the shared folder; it goes with the ``scratch`` around it, unless it is ``lasting``."""
+    """A new path in the shared folder; it goes with the ``scratch`` around it, or if it is ``lasting`` with the one around that."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/waymesh/{name}-{uuid.uuid4().hex}"
-    if _SCRATCH and not lasting:
-        _SCRATCH[-1].append(path)
+    around = _SCRATCH[: len(_SCRATCH) - lasting]
+    if around:
+        around[-1].append(path)
     return path
 
 
