@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from waymesh.llm import decontaminate, near_dedup, quality, toxicity
-from waymesh.llm.common import scratch_path, table
+from waymesh.llm.common import scratch, table, written
 from waymesh.llm.queries import bpe_digests
 
 
@@ -62,8 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    with scratch(spark):
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", lasting=name == STAGES[-1][0])
     return docs

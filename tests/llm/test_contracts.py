@@ -87,6 +87,7 @@ def test_op5(spark, docs):
         of_text.setdefault(raw, set()).add(r.shard)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert set(size) <= set(range(16))
+    assert all(len(shards) == 1 for shards in of_text.values())  # equal texts stay together: no group here is larger than a shard's tolerance
     largest = max(r.size for r in found)
     assert max(size.values()) - min(size.values()) <= 2 * largest + 0.01 * sum(size.values())
 

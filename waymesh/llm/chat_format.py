@@ -42,7 +42,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import scratch, scratch_path, written
 
 #: Calls of a conversation whose levels are found inside a row.
 FOLDED = 256
@@ -190,7 +190,7 @@ def levels(calls: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
     """``rows`` numbered from 0 without gaps in each group: ranges of rows are numbered by themselves, so a group may hold any share of them."""
     piece, before, base = "__piece", "__before", "__base"
-    ranged = written(rows.repartitionByRange(group, *order).withColumn(piece, F.spark_partition_id()), "ranged")
+    ranged = written(rows.repartitionByRange(group, *order).withColumn(piece, F.spark_partition_id()), "ranged", lasting=True)
     counts = ranged.groupBy(group, piece).agg(F.count("*").alias(before))
     upto = Window.partitionBy(group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(group, piece, F.coalesce(F.sum(before).over(upto), F.lit(0)).alias(base))
@@ -200,6 +200,14 @@ def numbered(rows: DataFrame, group: str, order: list[str], out: str) -> DataFra
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, call_id, name, status, seq, level, errors, n_results, dangling and canonical JSON of every call and orphan result."""
+    with scratch(calls.sparkSession):
+        found = _linked(calls, results, schemas)
+    return found.select(
+        "conv_id", "call_id", "name", "status", F.col("seq").cast("long").alias("seq"), "level", "errors", "n_results", "dangling", canonical_json().alias("json")
+    )
+
+
+def _linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     calls = written(
         calls.select(
             F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("call_id").cast("string").alias("call_id"),
@@ -235,10 +243,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     # null conversations are no group: their rows are told apart by their row, or what they hold
     own = F.when(F.col("row") < _LAST, F.col("row")).otherwise(F.xxhash64("call_id", "content"))
     group = F.struct(F.col("conv_id").alias("conv"), F.when(F.col("conv_id").isNull(), own).otherwise(F.lit(0)).alias("own"))
-    found = numbered(rows.withColumn("group", group), "group", ["place", "turn", "row", "call_id", "content"], "seq")
-    return found.select(
-        "conv_id", "call_id", "name", "status", F.col("seq").cast("long").alias("seq"), "level", "errors", "n_results", "dangling", canonical_json().alias("json")
-    )
+    return numbered(rows.withColumn("group", group), "group", ["place", "turn", "row", "call_id", "content"], "seq")
 
 
 def canonical_json() -> Column:

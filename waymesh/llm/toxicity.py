@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import MEMO_ENTRIES, byte_shares, crc_split, fitting, give_back, map_batches, small_table, unused, utf8, written
+from .common import MEMO_ENTRIES, byte_shares, crc_split, fitting, give_back, map_batches, scratch, small_table, unused, utf8, written
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 16, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6, 7)
@@ -284,6 +284,11 @@ def fit_net(
     key: str = "doc_id", text: str = "text",
 ) -> ConvNet | None:
     """The network from a bounded sample of labelled rows."""
+    with scratch(docs.sparkSession):
+        return _fitted(docs, labels, held_out, sample_rows, sample_bytes, key, text)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None, sample_rows: int, sample_bytes: int, key: str, text: str) -> ConvNet | None:
     own = training_labels(labels, held_out)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     lengths = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
