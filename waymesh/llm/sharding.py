@@ -7,11 +7,12 @@ interval that holds the splitter's target is probed again, more finely, until a
 probe is within ``tolerance`` of it.  Then each row's shard follows from its
 key and the splitters, and rows are exchanged once.
 
-A group of equal texts stays in one shard unless it holds a splitter's target
-and is larger than the tolerance: only then do the probes go on into the ids
-of that group, and into the rows of an id.  So a hot text or id is split, and no
-shard outgrows the others because of it.  Each round collects at most
-2^``DIGIT`` sums a splitter, whatever the number of rows.
+A group of equal texts of at most ``WHOLE`` of a shard's bytes always stays in
+one shard: a splitter whose target lies inside it goes to the nearer end of the
+group, so a shard deviates by less than the groups at its two ends.  Only in a
+larger group do the probes go on into its ids, and into the rows of an id: a hot
+text or id is split, and no shard outgrows the others because of it.  Each
+round collects at most 2^``DIGIT`` sums a splitter, whatever the number of rows.
 
 Slots number a shard's rows without gaps: rows are dealt to pieces of bounded
 size by their row hash, pieces' counts are summed up, and rows are numbered
@@ -37,6 +38,8 @@ from .common import written
 DIGIT = 9
 _PARTS = ("key_text", "key_id", "key_row")
 _ROUNDS = 63 // DIGIT * len(_PARTS)
+#: Part of a shard's bytes up to which a group of equal texts is never split.
+WHOLE = 0.5
 #: Rows that are numbered together.
 PIECE_ROWS = 100_000
 
@@ -92,10 +95,11 @@ class _Box:
 
 
 def splitters(rows: DataFrame, shards: int, *, tolerance: float = 0.002) -> list[list[int]]:
-    """The least keys of shards 1, 2, ...: as many bytes below each as its target, within ``tolerance`` of a shard."""
+    """The least keys of shards 1, 2, ...: as many bytes below each as its target, within ``tolerance`` of a shard or at the end of a text's group."""
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     targets = {i: total * i / shards for i in range(1, shards)}
-    allowed = tolerance * total / shards
+    allowed, whole = tolerance * total / shards, WHOLE * total / shards
+    per = 63 // DIGIT
     found: dict[int, list[int]] = {}
     boxes = {i: _Box() for i in targets}
     for _ in range(_ROUNDS):
@@ -112,15 +116,16 @@ def splitters(rows: DataFrame, shards: int, *, tolerance: float = 0.002) -> list
             sums[r.box][r.digit] = r.size
         for i, b in waiting.items():
             below, best = b.below, None
-            inside = None
+            inside, held = None, 0
             for d, size in sorted(sums[names[b.digits]].items()):
                 for edge, where in ((below, d), (below + size, d + 1)):
                     if best is None or abs(edge - targets[i]) < best[0]:
                         best = (abs(edge - targets[i]), where)
                 if below <= targets[i] < below + size:
-                    inside = _Box((*b.digits, d), below)
+                    inside, held = _Box((*b.digits, d), below), size
                 below += size
-            if best[0] <= allowed or inside is None or len(inside.digits) == _ROUNDS:
+            done = inside is None or len(inside.digits) == _ROUNDS or len(inside.digits) == per and held <= whole
+            if best[0] <= allowed or done:
                 at = best[1]
                 found[i] = _after(b.digits, at)
             else:
