@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, html_text, language_id, near_dedup, quality, sharding, token_output, toxicity
+from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language_id, near_dedup, quality, sharding, token_output, toxicity
 from .common import crc_split, scratch_path, table, written
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -111,6 +111,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_html_text": op2_html_text,
@@ -122,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 #: Words as lists; windows joined on their words; every word position inside an occurrence counted once.
@@ -187,4 +192,12 @@ select conv_id, call_id, name, status, coalesce(level, -1) as level, row_number(
 from rows
 """
 
-ORACLES: dict[str, str] = {"op10_chat_format": OP10_SQL, "op6_decontaminate": OP6_SQL}
+#: Normalised texts themselves are the groups; the longest original, then the smallest id stays.
+OP12_SQL = r"""
+with texts as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as body from documents)
+select doc_id, first_value(doc_id) over longest as keep_id, count(*) over (partition by body) as group_size,
+  row_number() over longest = 1 as kept, sha256(body) as text_sha256
+from texts window longest as (partition by body order by length(t) desc, doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op10_chat_format": OP10_SQL, "op12_exact_dedup": OP12_SQL}
