@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 #: Rows of one key from which a join sends them elsewhere than to the key's task, and how many such keys are broadcast.
 HOT_ROWS, HOT_KEYS = 500, 1000
 
-_SCRATCH: list[list[str]] = []
+#: The folders of each ``scratch`` around, outermost first; of this thread or task alone.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -32,7 +34,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str, *, lasting: bool = False) -> str:
     """A new path in the shared folder; it goes with the ``scratch`` around it, or if it is ``lasting`` with the one around that."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/waymesh/{name}-{uuid.uuid4().hex}"
-    around = _SCRATCH[: len(_SCRATCH) - lasting]
+    around = _SCRATCH.get()
+    around = around[: len(around) - lasting]
     if around:
         around[-1].append(path)
     return path
@@ -46,17 +49,22 @@ def written(df: DataFrame, name: str, *, lasting: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at its end, but for those that are ``lasting``: what is returned must not read the others."""
-    _SCRATCH.append([])
+    own: list[str] = []
+    before = _SCRATCH.set((*_SCRATCH.get(), own))
     try:
         yield
     finally:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _SCRATCH.pop():
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        _SCRATCH.reset(before)
+        for path in own:
+            delete(spark, path)
 
 
 def cut(df: DataFrame, name: str = "") -> DataFrame:
