@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language_id, near_dedup, quality, sharding, token_output, toxicity
+from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language_id, near_dedup, quality, sharding, token_output, toxicity, vector_codes
 from .common import crc_split, scratch_path, table, written
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -115,6 +115,13 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return coded.select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_html_text": op2_html_text,
@@ -127,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: Words as lists; windows joined on their words; every word position inside an occurrence counted once.
@@ -200,4 +208,30 @@ select doc_id, first_value(doc_id) over longest as keep_id, count(*) over (parti
 from texts window longest as (partition by body order by length(t) desc, doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op10_chat_format": OP10_SQL, "op12_exact_dedup": OP12_SQL}
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds written out; components are doubles that hold integers, so inner products are exact."""
+    steps = ["""
+with kept as materialized (
+  select row_number() over (order by vec_id) - 1 as i, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+parts as materialized (select i, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] as w from kept, range(4) t(p)),
+book0 as materialized (select p, i as e, w from parts where i < 256)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} as materialized (
+  select i, p, min(struct_pack(d := list_inner_product(x.w, x.w) - 2 * list_inner_product(x.w, c.w) + list_inner_product(c.w, c.w), e := c.e)) as best
+  from parts x join book{k} c using (p) group by i, p)""")
+        if k < rounds:
+            steps.append(f"""sums{k} as (select p, e, k, sum(x)::hugeint as s, count(*) as n from (
+  select p, best.e as e, unnest(w) as x, generate_subscripts(w, 1) as k from near{k} join parts using (i, p)) group by all),
+book{k + 1} as materialized (select p, e, coalesce(n.w, b.w) as w from book{k} b left join (
+  select p, e, list(((s - ((s % n) + n) % n) // n)::double order by k) as w from sums{k} group by p, e) n using (p, e))""")
+    return ",\n".join(steps) + f""",
+coded as (select i, string_agg(printf('%02x', best.e), '' order by p) as code, sum(best.d)::bigint as error from near{rounds} group by i)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from kept join coded using (i),
+  (select sha256(string_agg(array_to_string(list_transform(w, lambda x: x::bigint), ','), ',' order by p, e)) as codebooks_sha256 from book{rounds})
+"""
+
+
+ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op10_chat_format": OP10_SQL, "op12_exact_dedup": OP12_SQL, "op13_vector_codes": _op13_sql()}
