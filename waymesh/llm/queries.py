@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language_id, near_dedup, quality, sharding, token_output, toxicity, vector_codes
+from . import bpe, chat_format, collocations, decontaminate, exact_dedup, html_text, language_id, near_dedup, quality, sharding, token_output, toxicity, vector_codes
 from .common import crc_split, scratch_path, table, written
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -111,6 +111,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
@@ -133,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_collocations": op11_collocations,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -200,6 +205,24 @@ select conv_id, call_id, name, status, coalesce(level, -1) as level, row_number(
 from rows
 """
 
+#: Every phrase of every piece, counted as text; products as 128-bit integers.
+OP11_SQL = r"""
+with texts as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+pieces as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as p from texts)),
+grams as (select lang, size, w[i:i + size - 1] as g from (
+  select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from pieces, (select unnest([1, 2, 3]) as size) where len(w) >= size)),
+f as materialized (select lang, size, g, count(*)::hugeint as f from grams group by all),
+totals as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
+cand as materialized (select lang, size, g, f as a from f where size > 1 and f >= 10),
+cuts as (select c.lang, c.g, c.a, k, l.f as l, r.f as r, 1000000 * c.a * c.a // (l.f * r.f) as score
+  from (select *, unnest(range(1, size)) as k from cand) c join f l on l.lang = c.lang and l.g = c.g[:k] join f r on r.lang = c.lang and r.g = c.g[k + 1:]),
+best as (select lang, g, a, l, r, score from cuts qualify row_number() over (partition by lang, g order by score, k) = 1),
+inner2 as (select lang, unnest([g[1:2], g[2:3]]) as g, a as above from cand where size = 3),
+free as (select b.*, array_to_string(g, ' ') as phrase from best b where not exists (select 1 from inner2 i where i.lang = b.lang and i.g = b.g and 100 * i.above >= 50 * b.a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from free)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000
+"""
+
 #: Normalised texts themselves are the groups; the longest original, then the smallest id stays.
 OP12_SQL = r"""
 with texts as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as body from documents)
@@ -234,4 +257,4 @@ select vec_id, code, error, (sum(error) over (partition by label))::bigint as la
 """
 
 
-ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op10_chat_format": OP10_SQL, "op12_exact_dedup": OP12_SQL, "op13_vector_codes": _op13_sql()}
+ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op10_chat_format": OP10_SQL, "op11_collocations": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_vector_codes": _op13_sql()}
