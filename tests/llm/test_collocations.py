@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,14 +70,26 @@ def test_chunks_and_spilling(spark, monkeypatch):
     monkeypatch.setattr(collocations, "MEMORY", "40MB")
     rng = random.Random(7)
     docs = [(" ".join(str(rng.randrange(10**6)) for _ in range(20_000)), "en") for _ in range(20)] + [("often said " * 30, "en")]
-    found = collocations.phrase_counts(collocations.pieces(frame(spark, docs)).coalesce(1), 3, least=2, buckets=1)
+    found = collocations.counted(collocations.pieces(frame(spark, docs)).coalesce(1), 2, least=2, buckets=1)
     want = Counter()
     for text, _ in docs:
         w = text.split()
-        want.update(" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+        want.update(" ".join(w[i : i + 2]) for i in range(len(w) - 1))
     assert {r.phrase: r.f for r in found.collect()} == {p: c for p, c in want.items() if c > 1}
 
 
+def test_bitmap_has_what_is_frequent(spark):
+    docs = corpus(9, 80, "en") + ODD + [(" ".join(f"rare{i}" for i in range(200)), "en")]
+    found = collocations.pieces(frame(spark, docs))
+    counts = collocations.counted(found, 2, least=3, buckets=2)
+    bits = collocations.frequent_bits(counts, 2)
+    every = pa.Table.from_pylist([r.asDict() for r in found.collect()])
+    phrases, hashes = collocations._phrases(every, 2, None)
+    known = {(r.lang, r.phrase) for r in counts.collect()}
+    told = collocations._has(bits, hashes)
+    assert all(t for t, r in zip(told, phrases.to_pylist()) if (r["lang"], r["phrase"]) in known) and not told.all() and known
+
+
 def test_scores_beyond_64_bits(spark):
     rng = random.Random(3)
     rows = [(a, a + rng.randrange(10**12), a + rng.randrange(10**12)) for a in (rng.randrange(1, 10 ** rng.randrange(1, 16)) for _ in range(200))]

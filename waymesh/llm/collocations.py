@@ -2,11 +2,13 @@
 
 1. ``pieces``: texts are lower-cased (A-Z) and cut at punctuation and line ends;
    identical pieces of a language become one row with a multiplicity.
-2. ``phrase_counts``: tasks expand pieces into phrases of 1 to ``longest`` words,
-   weighted by multiplicity, and sum them up in duckdb, chunk by chunk; sums go to
-   hash buckets as compressed blocks, and one duckdb a bucket counts them out of
-   core: beyond ``MEMORY`` it uses its task's own spill folder, which goes with
-   the task.  A very frequent word is one row a chunk by then, not one an occurrence.
+2. ``phrase_counts``: phrases of 1, 2, ... words, one length after the other.  Tasks
+   expand pieces and sum up multiplicities chunk by chunk; sums go to hash buckets
+   as compressed blocks, and one duckdb a bucket counts them out of core: beyond
+   ``MEMORY`` it uses its task's own spill folder, which goes with the task.  A very
+   frequent word is one row a chunk by then, not one an occurrence.  A phrase is not
+   expanded if its first or its last words are no frequent phrase of the length
+   before: a bitmap of bounded size tells, which may let others pass, but misses none.
 3. ``scored``: every candidate asks for the counts of its parts.  Requests are
    shuffled to where the parts are counted (``hot_join``: parts that many
    candidates ask for meet them by broadcast), and answers are gathered by candidate.
@@ -23,7 +25,7 @@ Defined cases: null and empty texts, and texts of punctuation, have no pieces;
 null language is ``und``; phrases don't cross pieces; overlapping occurrences
 count each; repeated rows count each; an empty table gives no rows; columns
 other than text and language are ignored, whatever their names.  A piece is
-expanded in one task, with memory of some fifty times its length.
+expanded in one task, with memory of some thirty times its length.
 """
 
 from __future__ import annotations
@@ -32,13 +34,16 @@ import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, map_batches, scratch, written
+from .common import hot_join, map_batches, mixed, scratch, written
 
 #: What duckdb holds in memory in one task.
 MEMORY = "256MB"
@@ -46,12 +51,14 @@ MEMORY = "256MB"
 CHUNK_BYTES = 8 << 20
 #: Words in distinct pieces for each hash bucket.
 BUCKET_WORDS = 8_000_000
+#: Size of the largest bitmap of frequent phrases (16 MB).
+MOST_BITS = 1 << 27
 #: Rows that are ranked together.
 RANKED_ROWS = 100_000
 
 #: Capitals to small letters, ends of pieces to line feeds, tabs to spaces.
 _LETTERS = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
-_COUNTED = pa.schema([("lang", pa.string()), ("size", pa.int8()), ("phrase", pa.string()), ("f", pa.int64())])
+_COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
 def _cut(texts: pa.Array, langs: pa.Array) -> pa.Table:
@@ -95,14 +102,66 @@ def _duckdb() -> Iterator:
         shutil.rmtree(folder, ignore_errors=True)
 
 
-def _expansion(longest: int) -> str:
-    """All phrases of the pieces in ``chunk`` with their sums, and the hash that deals them out."""
-    kinds = ["select lang, n, 1::tinyint as size, unnest(w) as phrase from split"]
-    for size in range(2, longest + 1):
-        words = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(size))
-        kinds.append(f"select lang, n, {size}::tinyint, unnest(list_transform(range(1, len(w) - {size - 2}), lambda i: {words})) from split where len(w) >= {size}")
-    return f"""with split as (select lang, n, string_split(piece, ' ') as w from chunk)
-select lang, size, phrase, sum(n)::bigint as f, hash(lang, phrase) as h from ({' union all '.join(kinds)}) group by lang, size, phrase"""
+def _turned(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+
+
+def _phrase_hash(words: Column, size: int) -> Column:
+    """The hash of a phrase from its words' hashes, as ``_hashes`` has it."""
+    parts = [_turned(F.xxhash64(F.get(words, F.lit(k))), k + 1) for k in range(size)]
+    return reduce(lambda a, b: a.bitwiseXOR(b), parts)
+
+
+def _hashes(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of the phrases that begin at positions ``at`` of the words with these hashes."""
+    found = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        h = words[at + k]
+        found ^= (h << np.uint64(k + 1)) | (h >> np.uint64(63 - k))
+    return found
+
+
+def frequent_bits(counts: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of the hashes of counted phrases: 32 bits each, between 8 KB and ``MOST_BITS``, whatever their number."""
+    n = counts.count()
+    bits = min(MOST_BITS, 1 << max(16, (32 * n - 1).bit_length() if n else 0))
+    at = _phrase_hash(F.split("phrase", " "), size).bitwiseAND(F.lit(bits - 1)) + 1
+    parts = counts.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():  # bits / 2^15 rows of 4 KB at most
+        out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _phrases(chunk: pa.Table, size: int, bits: np.ndarray | None) -> tuple[pa.Table, np.ndarray]:
+    """Phrases of ``size`` words in a chunk of pieces with their weighted counts, and their hashes.
+
+    With ``bits`` only those whose first and last ``size`` - 1 words may be frequent phrases.
+    """
+    lists = pc.split_pattern(chunk.column("piece").combine_chunks(), " ")
+    words = lists.flatten().dictionary_encode()
+    names, ids = words.dictionary, np.asarray(words.indices).astype(np.int64)
+    langs = chunk.column("lang").combine_chunks().dictionary_encode()
+    piece = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names.cast(pa.binary()).to_pylist()), np.uint64, len(names))[ids]
+    at = np.flatnonzero(piece[: len(piece) - size + 1] == piece[size - 1 :]) if len(piece) >= size else np.empty(0, np.int64)
+    if bits is not None and len(at):
+        at = at[_has(bits, _hashes(hashes, at, size - 1)) & _has(bits, _hashes(hashes, at + 1, size - 1))]
+    code = np.asarray(langs.indices).astype(np.int64)[piece[at]]
+    for k in range(size):  # dense numbers of the phrases so far, so that the next product fits
+        code = np.unique(code * len(names) + ids[at + k], return_inverse=True)[1].astype(np.int64)
+    first = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
+    first[code[::-1]] = at[::-1]
+    counts = np.zeros(len(first), np.int64)
+    np.add.at(counts, code, np.asarray(chunk.column("n").combine_chunks())[piece[at]])
+    joined = pc.binary_join_element_wise(*(names.take(pa.array(ids[first + k])) for k in range(size)), " ") if size > 1 else names.take(pa.array(ids[first]))
+    lang = langs.dictionary.take(langs.indices.take(pa.array(piece[first])))
+    return pa.table([lang, joined, pa.array(counts)], schema=_COUNTED), _hashes(hashes, first, size)
 
 
 def _packed(rows: pa.Table) -> bytes:
@@ -112,29 +171,22 @@ def _packed(rows: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def phrase_counts(found: DataFrame, longest: int = 3, *, least: int = 10, buckets: int | None = None) -> DataFrame:
-    """lang, size, phrase and f of the phrases of 1 to ``longest`` words that occur ``least`` times in the pieces of ``found``."""
-    spark = found.sparkSession
-    if buckets is None:
-        words = found.agg(F.coalesce(F.sum(_words()), F.lit(0))).first()[0]
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // BUCKET_WORDS))
-    query = _expansion(longest)
+def counted(found: DataFrame, size: int, *, least: int, buckets: int, bits: np.ndarray | None = None) -> DataFrame:
+    """lang, phrase and f of the phrases of ``size`` words that occur ``least`` times, or more, in the pieces of ``found``."""
+    sent = found.sparkSession.sparkContext.broadcast(bits)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with _duckdb() as con:
-            for chunk in _chunks(batches):
-                con.register("chunk", chunk)
-                rows = con.sql(query).to_arrow_table()
-                con.unregister("chunk")
-                bucket = pa.array(rows.column("h").to_numpy() % buckets, pa.int32())
-                order = pc.sort_indices(bucket)
-                bucket, rows = bucket.take(order).to_numpy(), rows.select(_COUNTED.names).take(order).combine_chunks()
-                ends = [*(bucket[1:] != bucket[:-1]).nonzero()[0].tolist(), len(bucket) - 1] if len(bucket) else []
-                begin = 0
-                for end in ends:
-                    block = _packed(rows.slice(begin, end + 1 - begin))
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket[begin]], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "block"])
-                    begin = end + 1
+        for chunk in _chunks(batches):
+            rows, hashes = _phrases(chunk, size, sent.value)
+            bucket = (mixed(hashes) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, rows = bucket[order], rows.take(pa.array(order)).combine_chunks()
+            ends = [*np.flatnonzero(np.diff(bucket)).tolist(), len(bucket) - 1] if len(bucket) else []
+            begin = 0
+            for end in ends:
+                block = _packed(rows.slice(begin, end + 1 - begin))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[begin]], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "block"])
+                begin = end + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unpacked() -> Iterator[pa.RecordBatch]:
@@ -143,12 +195,24 @@ def phrase_counts(found: DataFrame, longest: int = 3, *, least: int = 10, bucket
                     yield from pa.ipc.open_stream(block.as_buffer())
 
         with _duckdb() as con:
-            blocks = pa.RecordBatchReader.from_batches(_COUNTED, unpacked())
-            con.register("blocks", blocks)
-            yield from con.sql(f"select lang, size, phrase, sum(f)::bigint as f from blocks group by lang, size, phrase having sum(f) >= {int(least)}").to_arrow_reader(100_000)
+            con.register("blocks", pa.RecordBatchReader.from_batches(_COUNTED, unpacked()))
+            yield from con.sql(f"select lang, phrase, sum(f)::bigint as f from blocks group by lang, phrase having sum(f) >= {int(least)}").to_arrow_reader(100_000)
 
     dealt = map_batches(found, expand, "bucket int, block binary").repartition(buckets, "bucket")
-    return map_batches(dealt, count, "lang string, size byte, phrase string, f long")
+    return map_batches(dealt, count, "lang string, phrase string, f long")
+
+
+def phrase_counts(found: DataFrame, longest: int = 3, *, least: int = 10, buckets: int | None = None) -> DataFrame:
+    """lang, size, phrase and f of the phrases of 1 to ``longest`` words that occur ``least`` times in the pieces of ``found``, a written table."""
+    spark = found.sparkSession
+    if buckets is None:
+        words = found.agg(F.coalesce(F.sum(_words()), F.lit(0))).first()[0]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // BUCKET_WORDS))
+    levels, bits = [], None
+    for size in range(1, longest + 1):
+        levels.append(written(counted(found, size, least=least, buckets=buckets, bits=bits), "counts"))
+        bits = frequent_bits(levels[-1], size) if size < longest else None
+    return reduce(DataFrame.unionByName, (df.withColumn("size", F.lit(k)) for k, df in enumerate(levels, 1)))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -235,7 +299,7 @@ def mine(
     with scratch(docs.sparkSession):
         found = written(pieces(docs, text=text, lang=lang), "pieces")
         totals = found.groupBy("lang").agg(F.sum(F.col("n") * _words()).alias("n"))
-        counts = written(phrase_counts(found, longest, least=least, buckets=buckets), "counts")
+        counts = phrase_counts(found, longest, least=least, buckets=buckets)
         free = scored(counts).join(contained(counts, longest), ["lang", "phrase"], "left").where(F.col("above").isNull() | (100 * F.col("above") < inside * F.col("a")))
         kept = written(free.select("lang", "phrase", "a", "l", "r", "score"), "scored")
         ranked = first_of_each(kept, "lang", lambda: [F.desc("score"), F.desc("a"), F.asc("phrase")], first)
