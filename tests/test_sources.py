@@ -55,29 +55,6 @@ def test_sinks(spark, tmp_path):
         sinks.write_graph(nodes, edges, str(tmp_path / "h"), ("pdf",))
 
 
-def _source(spark, tmp_path):
-    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    rows = [(1, i, at(s), float(i), 0.0, s * 1000) for i, s in enumerate([0, 10, 5, 20, 100, 101])] + [(2, 0, at(5000), 0.0, 0.0, 5_000_000)]
-    schema = "stream_id long, seq long, ts timestamp, x double, y double, t_ms long"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    return spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-
-
-def test_streams(spark, tmp_path):
-    events = _source(spark, tmp_path)
-    query = forms.time_guard_stream(events).writeStream.format("memory").queryName("guarded").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert sorted(r.seq for r in spark.table("guarded").where("stream_id = 1").collect()) == [0, 1, 3, 4, 5]
-    seen = []
-    segments = forms.timeout_segments_stream(events, 30_000)
-    query = forms.refresh_graph(segments, lambda batch: seen.extend((r.stream_id, r.n) for r in batch.collect()), str(tmp_path / "cp"))
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    assert sorted(seen) == [(1, 2), (1, 4)]
-
-
 def test_lines_of_large_files(spark, tmp_path):
     """Read in small splits, each format gives the same points in the same order as read whole."""
     at = lambda i: dt.datetime(2020, 1, 1) + dt.timedelta(seconds=7 * i)
@@ -122,26 +99,3 @@ def test_command_line(spark, tmp_path):
         assert edges.count() == 4 and edges.agg(F.sum("weight")).first()[0] == 4
         assert spark.read.parquet(f"{out}/edges").count() == 4 and spark.read.text(f"{out}/graph_dot").count() == nodes.count() + 6
     assert cli.config_of(spark, cli.parser().parse_args([path, "-t", "15m", "-C", "--clustering-threshold", "20"])).temporal_slack_ms == 900_000
-
-
-def test_paths_stream_matches_the_batch(spark, tmp_path):
-    """Two streams that stop, ride and stop, in two files each; a row long after closes what is open."""
-    rows, config = [], Config(connection_timeout=3_600_000, bbox_max_meters=100.0, bbox_min_minutes=2.0, minimum_velocity=3.0, epsilon_velocity=1.0)
-    for stream in (1, 2):
-        for k in range(60):
-            ride = 0.0 if k < 20 else min(k - 20, 20) * (90.0 + stream)
-            rows.append((stream, k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k), ride + k % 2 * 85, float(k % 2), 60_000 * k))
-        rows.append((stream, 7000, dt.datetime(2024, 1, 1, 0, 30), 5e6, 0.0, 10))  # out of order: guarded away
-    rows.append((3, 0, dt.datetime(2024, 1, 2), 0.0, 0.0, 86_000_000))
-    schema = "stream_id long, seq long, ts timestamp, x double, y double, t_ms long"
-    batch = spark.createDataFrame(rows[:-1], schema)
-    for k, own in enumerate((batch.where("seq < 30"), batch.where("seq >= 30"), spark.createDataFrame(rows[-1:], schema))):
-        own.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    query = forms.paths_stream(events, config).writeStream.format("memory").queryName("ways").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(200)
-    points = graph.stop_points(batch.withColumn("day", F.lit("d")), ["stream_id", "day"], ["seq"], config)
-    assert points.where("stop = 1").count()
-    want = graph.path_items(batch.withColumn("day", F.lit("d")), ["stream_id", "day"], ["seq"], config).collect()
-    key = lambda r: (r.stream_id, r.pos, r.kind, r.bbox, r.trj)
-    assert sorted(map(key, spark.table("ways").collect()), key=str) == sorted(map(key, want), key=str) and len(want) == 6
