@@ -128,7 +128,7 @@ def temporal_splits(spark, sf_dir):
 def split_edges(spark, sf_dir):
     _, edges = _places(spark, sf_dir)
     edges = cut(graph.lasting(edges))
-    return split.split_edges(edges, split.temporal_splits(edges)).select("edge_id", "src", "src_slice", "dst", "dst_slice")
+    return split.split_edges(edges, cut(split.cut_rows(edges))).select("edge_id", "src", "src_slice", "dst", "dst_slice")
 
 
 def _split_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
