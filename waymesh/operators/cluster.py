@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bbox, geo
-from ..shared import written
+from ..shared import HOT_ROWS, hot_join, written
 from .components import connected_components
 
 
@@ -41,33 +43,108 @@ def single_linkage(ids: DataFrame, pairs: DataFrame, id: str = "ep_id") -> DataF
     return ids.select(id).join(found, id, "left").select(id, F.coalesce("__c", id).alias("cluster_id"))
 
 
-def _cell_members(points: DataFrame, threshold: float, id: str) -> DataFrame:
-    """Points by cells whose diagonal is below the threshold: all of a cell belong together."""
-    side = threshold / 1.5
-    return points.select(F.col(id).alias("ep"), "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+#: Positions of two nodes that are compared one by one; larger nodes are parted first.  So few points are compared outright, however they lie.
+DIRECT_PAIRS, FEW_POINTS = 1024, 4000
 
 
-def cluster_endpoints(endpoints: DataFrame, threshold: float, slack_ms: float) -> DataFrame:
-    """``ep_id, cluster_id`` of endpoints by spatial and temporal distance.
+class _Grid:
+    """Cells of two axes, or three with a time weight, whose diagonal lies below the threshold."""
 
-    Without a time weight, points of one small cell are linked to its least point
-    outright and only pairs of cells are compared, so a crowded place costs a row a
-    point, and its pairs are never listed.
+    def __init__(self, threshold: float, weight: float):
+        self.threshold, self.weight = threshold, weight
+        self.axes = ["x", "y", "t"] if weight > 0 else ["x", "y"]
+        # the root of the number of axes, and some
+        self.side = threshold / (1.75 if weight > 0 else 1.5)
+
+    def cell(self, level: int = 0) -> Column:
+        """Of level k there are 2^k cells along a side of a first one."""
+        scale = {"t": math.sqrt(self.weight)} if self.weight > 0 else {}
+        at = lambda c: F.floor(F.col(c) * scale[c] / (self.side / 2**level) if c in scale else F.col(c) / (self.side / 2**level))
+        return F.struct(*(at(c).alias(c) for c in self.axes))
+
+    def parent(self, cell: str) -> Column:
+        return F.struct(*(F.shiftright(F.col(f"{cell}.{c}"), 1).alias(c) for c in self.axes))
+
+    def around(self, cell: str) -> Column:
+        """The cells that may hold a point within the threshold; of two cells only one looks at the other."""
+        steps = [s for s in itertools.product(range(-2, 3), repeat=len(self.axes)) if s > (0,) * len(self.axes)]
+        return F.array(*(F.struct(*((F.col(f"{cell}.{c}") + d).alias(c) for c, d in zip(self.axes, s, strict=True))) for s in steps))
+
+    def nodes(self, spots: DataFrame, cell: Column) -> DataFrame:
+        """node, the top cell's least point, number of positions and box of each cell."""
+        low = F.struct(*(F.min(c).alias(c) for c in self.axes)).alias("low")
+        high = F.struct(*(F.max(c).alias(c) for c in self.axes)).alias("high")
+        return spots.groupBy(cell.alias("node")).agg(F.min("ep").alias("ep"), F.count("*").alias("n"), low, high)
+
+    def _norm(self, gap: Callable[[str], Column]) -> Column:
+        """By the formula of the distance itself, so that a bound never contradicts it."""
+        total = gap("x") * gap("x") + gap("y") * gap("y")
+        return F.sqrt(total + F.lit(self.weight) * gap("t") * gap("t") if self.weight > 0 else total)
+
+    def nearest(self) -> Column:
+        """No pair of the boxes a and b is nearer."""
+        return self._norm(lambda c: F.greatest(F.lit(0.0), F.col(f"b.low.{c}") - F.col(f"a.high.{c}"), F.col(f"a.low.{c}") - F.col(f"b.high.{c}")))
+
+    def farthest(self) -> Column:
+        return self._norm(lambda c: F.greatest(F.col(f"b.high.{c}") - F.col(f"a.low.{c}"), F.col(f"a.high.{c}") - F.col(f"b.low.{c}")))
+
+    def between(self, a: str, b: str) -> Column:
+        return self._norm(lambda c: F.col(f"{a}.{c}") - F.col(f"{b}.{c}"))
+
+
+def cell_links(points: DataFrame, threshold: float, weight: float, *, id: str = "ep_id", t: str = "t", direct: int = DIRECT_PAIRS) -> DataFrame:
+    """``i, j``: links whose components are those of all pairs closer than ``threshold``, without listing these.
+
+    All points of a cell belong together and are linked to its least one, so of two
+    neighbouring cells only one question is left: whether any two of their points are
+    near.  Their boxes may say yes (farthest corners) or no (nearest sides).  Else both
+    are parted into cells of half the side, of which again only pairs that boxes leave
+    open go on, until there are few positions to compare.
     """
-    if geo.time_weight(slack_ms) > 0:
-        return single_linkage(endpoints, near_pairs(endpoints, threshold, slack_ms))
-    cells = _cell_members(endpoints, threshold, "ep_id")
+    grid = _Grid(threshold, weight)
+    own = points.select(F.col(id).alias("ep"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *([F.col(t).cast("double").alias("t")] if weight > 0 else []))
+    few_points = direct == DIRECT_PAIRS and points.limit(FEW_POINTS + 1).count() <= FEW_POINTS
+    keep = (lambda df, _: df) if few_points else written
     # equal positions are one point to the others
-    spots = cells.groupBy("cx", "cy", "x", "y").agg(F.min("ep").alias("ep"))
-    least = cells.groupBy("cx", "cy").agg(F.min("ep").alias("i"))
-    inside = cells.join(least, ["cx", "cy"]).where("ep <> i").select("i", F.col("ep").alias("j"))
-    steps = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if (a, b) > (0, 0)]
-    around = F.explode(F.array(*(F.struct((F.col("cx") + a).alias("nx"), (F.col("cy") + b).alias("ny")) for a, b in steps)))
-    left = spots.select("ep", "x", "y", "cx", "cy", around.alias("c")).select("ep", "x", "y", "cx", "cy", "c.*")
-    right = spots.select(F.col("ep").alias("ep2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
-    across = left.join(right, ["nx", "ny"]).where(geo.distance("x", "y", "x2", "y2") < threshold)
-    across = across.groupBy("cx", "cy", "nx", "ny").agg(F.min("ep").alias("i"), F.min_by("ep2", "ep").alias("j"))
-    return single_linkage(endpoints, inside.union(across.select("i", "j")))
+    spots = keep(own.groupBy(*grid.axes).agg(F.min("ep").alias("ep"), F.count("*").alias("n_points")).withColumn("cell", grid.cell()), "spots")
+    cells = keep(grid.nodes(spots, F.col("cell")), "cells")
+    counted = cells.select(F.col("node").alias("cell"), F.col("ep").alias("least"), "n")
+    crowded = not few_points and (cells.agg(F.max("n")).first()[0] or 0) >= HOT_ROWS
+    met = hot_join(spots.select("cell", "ep"), counted, "cell") if crowded else spots.select("cell", "ep").join(counted, "cell")
+    inside = met.where("ep <> least").select(F.col("least").alias("i"), F.col("ep").alias("j"))
+    repeated = own.join(spots.where("n_points > 1").select(*grid.axes, F.col("ep").alias("i")), grid.axes).where("ep <> i").select("i", F.col("ep").alias("j"))
+    node = lambda df, name: df.select(F.col("node").alias(f"on_{name}"), F.struct("node", "ep", "n", "low", "high").alias(name))
+    near = cells.select(F.struct("node", "ep", "n", "low", "high").alias("a"), F.explode(grid.around("node")).alias("on_b")).join(node(cells, "b"), "on_b")
+    pairs = near.select(F.col("a.ep").alias("i"), F.col("b.ep").alias("j"), "a", "b")
+    found, level = [inside, repeated], 0
+    while True:
+        judged = keep(
+            pairs.where(grid.nearest() < threshold).select("i", "j", "a", "b", (grid.farthest() < threshold).alias("linked")), "cell-pairs"
+        )
+        linked = judged.where("linked").select("i", "j").distinct()
+        found.append(linked)
+        few = F.lit(True) if few_points else F.col("a.n") * F.col("b.n") <= direct
+        waiting = judged.where("not linked").join(linked, ["i", "j"], "left_anti").select("i", "j", F.col("a.node").alias("a"), F.col("b.node").alias("b"), few.alias("few"))
+        at = spots.withColumn("node", grid.cell(level))
+        left, right = (at.select(F.col("node").alias(n), F.struct(*grid.axes).alias(f"p_{n}")) for n in "ab")
+        close = waiting.where("few").join(left, "a").join(right, "b").where(grid.between("p_a", "p_b") < threshold).select("i", "j").distinct()
+        if few_points or not judged.where(~F.col("linked") & ~few).limit(1).count():
+            found.append(close)
+            break
+        close = written(close, "close")
+        found.append(close)
+        large = written(waiting.where("not few").join(close, ["i", "j"], "left_anti"), "large-pairs")
+        level += 1
+        used = large.select(F.col("a").alias("node")).union(large.select(F.col("b").alias("node"))).distinct()
+        parts = written(grid.nodes(at.join(used, "node", "left_semi"), grid.cell(level)).withColumn("above", grid.parent("node")), "parts")
+        child = lambda name: parts.select(F.col("above").alias(name), F.struct("node", "ep", "n", "low", "high").alias(f"{name}_part"))
+        pairs = large.join(child("a"), "a").join(child("b"), "b").select("i", "j", F.col("a_part").alias("a"), F.col("b_part").alias("b"))
+    return reduce(DataFrame.union, found)
+
+
+def cluster_endpoints(endpoints: DataFrame, threshold: float, slack_ms: float, *, direct: int = DIRECT_PAIRS) -> DataFrame:
+    """``ep_id, cluster_id`` of endpoints by spatial and temporal distance: single linkage, by ``cell_links``."""
+    return single_linkage(endpoints, cell_links(endpoints, threshold, geo.time_weight(slack_ms), direct=direct))
 
 
 def overlapping_boxes(boxes: DataFrame, share: float = 0.5, *, cell: float = 100.0, id: str = "node_id", box: str = "bbox") -> DataFrame:

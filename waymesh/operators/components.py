@@ -35,8 +35,9 @@ def connected_components(
         "links",
     )
     nodes = links.select(F.col("u").alias("id")).union(links.select(F.col("v").alias("id"))).distinct()
+    few = False
     while True:
-        few = links.count() < FEW_LINKS
+        few = few or links.count() < FEW_LINKS  # rounds don't add links
         # large star: for each node, all larger neighbours point at the least of node and neighbours
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
@@ -54,10 +55,10 @@ def connected_components(
         )
         contracted = cut(contracted, "links")
         # stars: no node is both a centre and a leaf, and each leaf has one centre
-        settled = contracted.groupBy("u").count().where("count > 1").limit(1).count() == 0
-        settled = settled and contracted.join(contracted.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() == 0
+        ends = contracted.select(F.col("u").alias("id"), F.lit(1).alias("up")).union(contracted.select(F.col("v").alias("id"), F.lit(0).alias("up")))
+        unsettled = ends.groupBy("id").agg(F.sum("up").alias("centres"), F.count("*").alias("n")).where("centres > 1 or centres > 0 and n > centres")
         links = contracted
-        if settled:
+        if not unsettled.limit(1).count():
             break
     found = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -115,8 +115,8 @@ def cut_rows(edges: DataFrame, *, row_edges: int = ROW_EDGES) -> DataFrame:
     """node_id, cut, n of every cut; places of more than ``row_edges`` edges by pointers."""
     events = incident(edges)
     sizes = events.groupBy("node_id").agg(F.count("*").alias("n_edges"))
-    busy = written(sizes.where(F.col("n_edges") > row_edges).withColumnRenamed("n_edges", "n"), "busy")
-    many = busy.limit(1).count()
+    many = (sizes.agg(F.max("n_edges")).first()[0] or 0) > row_edges
+    busy = written(sizes.where(F.col("n_edges") > row_edges).withColumnRenamed("n_edges", "n"), "busy") if many else sizes.limit(0)
     few = _folded(events.join(busy, "node_id", "left_anti") if many else events, cuts_of)
     rows = few.select("node_id", F.explode("cuts").alias("cut")).groupBy("node_id", "cut").agg(F.count("*").alias("n"))
     return rows.unionByName(pointed_cuts(written(hot_join(events, busy, "node_id"), "busy-events"))) if many else rows
@@ -126,7 +126,7 @@ def temporal_splits(edges: DataFrame, *, reference: bool = False, row_edges: int
     """node_id and cuts, in rising order, of every node that has edges."""
     if reference:
         return _folded(incident(edges), reference_cuts_of)
-    rows = written(cut_rows(edges, row_edges=row_edges), "cuts")
+    rows = cut_rows(edges, row_edges=row_edges)
     repeated = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cut", "n"))), lambda c: F.array_repeat(c["cut"], c["n"].cast("int"))))
     found = rows.groupBy("node_id").agg(repeated.alias("cuts"))
     ends = edges.select(F.col("src").alias("node_id")).union(edges.select(F.col("dst").alias("node_id"))).distinct()

@@ -67,10 +67,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
-def cut(df: DataFrame, name: str = "") -> DataFrame:
-    """``df`` computed once and kept in the shared folder: short lineage, and a lost executor loses nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` computed once and kept in the shared folder: short lineage, and a lost executor loses nothing.
+
+    A table, as an eager checkpoint would compute ``df`` twice: to count it and to write it.
+    """
+    return written(df, name)
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, *, n: str = "n", keep_n: bool = False, cut: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
