@@ -262,6 +262,7 @@ def _cleaned(x: np.ndarray, y: np.ndarray, time: np.ndarray, config: Config, spi
     return x[kept], y[kept], time[kept]
 
 
-def refresh_graph(segments: DataFrame, build: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts a query that hands each batch of closed segments and its id to ``build``, which refreshes the graph's tables."""
-    return segments.writeStream.foreachBatch(build).option("checkpointLocation", checkpoint).outputMode("append").start()
+def refresh_graph(segments: DataFrame, build: Callable[[DataFrame, int], object], checkpoint: str):
+    """Starts a query that hands each batch of closed segments and its id to ``build``, for example
+    ``lambda batch, n: store.apply(refresh.trips_of_batch(batch), n)`` of a ``refresh.GraphStore``."""
+    return segments.writeStream.foreachBatch(lambda batch, n: build(batch, n) and None).option("checkpointLocation", checkpoint).outputMode("append").start()
