@@ -356,7 +356,11 @@ WHOLE = [
     ("<ol start=5><li>a<li value=9>b<li>c</ol>", "5. a\n9. b\n10. c"), ("<ol reversed><li>a<li>b<li hidden>x</ol>", "2. a\n1. b"),
     ("<ol reversed start=7><li>a<li value=-1>b<li>c</ol>", "7. a\n-1. b\n-2. c"), ("<dl><dt>a<dd>b</dl>", "a\n  b"), ("a<hr>b", "a\n---\nb"),
     ("<pre>a\n  b</pre>", "a\n  b"), ("<img alt='x y'>z", "x yz"), ("a<script>b</script>c", "ac"), ("a<style>b</style>c", "ac"), ("a<!-- b -->c", "ac"),
-    ("<p hidden>a</p>b", "b"), ("<p style='display: none'>a</p>b", "b"), ("<p aria-hidden=true>a</p>b", "b"), ("<noscript>a</noscript>b", "b"),
+    ("<p hidden>a</p>b", "b"), ("<p style='display: none'>a</p>b", "b"), ("a <span aria-hidden=true>b</span> c", "a b c"),
+    ("<p style='visibility:hidden'>a<b style='visibility: visible'>b</b>c<img alt=d></p>e", "b\n\ne"), ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>", "- b"),
+    ("<p style='visibility:collapse'>a<span>b</span></p>c", "c"), ("<div style='visibility:hidden'><p hidden style='visibility:visible'>a</p></div>b", "b"),
+    ("<details><summary>a</summary><p>b</p></details>c", "a\nc"), ("<details open><summary>a</summary>b</details>c", "a\nb\nc"), ("<details>a</details>b", "b"),
+    ("<div>" * 250 + "<table><tr><td>aaa<td>b<tr><td>c<td>d</table>", "aaa | b\nc   | d"), ("<div>" * 1900 + "<ol><li>a<li>b</ol>", "1. a\n2. b"), ("<noscript>a</noscript>b", "b"),
     ("<template>a</template>b", "b"), ("<q>a</q>", '"a"'), ("&lt;a&gt; &eacute;&#65;", "<a> \u00e9A"), ("a&nbsp;b", "a\u00a0b"),
     ("<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>", "a   | bb\nccc | d"), ("<table><td rowspan=2>A<td>B<tr><td>C<td>D</table>", "A | B\n  | C | D"),
     ("<table><tr><td colspan=2>wide one<td>z<tr><td>a<td>b<td>c</table>", "wide one | z\na | b    | c"),
@@ -364,7 +368,8 @@ WHOLE = [
     ("<table><tr><td>a<br>b<td>c</table>", "a | c\nb |"), ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c</table>", "a   | b\n    | c"),
     ("<textarea> a <b></textarea>", " a <b>"), ("<title>a</title><body>b", "b"), ("<head><meta x><title>t</title></head>a", "a"), ("a<wbr>b", "ab"),
     ("<blockquote>a</blockquote>b", "a\n\nb"), ("</p>a</div>b", "ab"), ("<a href=x>a</a", "a"), ("<input type=hidden value=a><input value=b>", "b"), ("<b><p>a</b>b", "ab"), ("<span>a<div>b</span>c</div>d", "a\nbc\nd"),
-    ("<div>" * 250 + "<script>no</script><p hidden>no<b>no</b></p><style>no</style>a<p>b</p><svg><title>no</title></svg>c" + "</div>" * 250 + "<ul><li>d</ul>", "a\nbc\n\n- d"),
+    ("<div>" * 2100 + "<script>no</script><p hidden>no<b>no</b></p><style>no</style>a<p>b</p><svg><title>no</title></svg>c" + "</div>" * 2100 + "<ul><li>d</ul>", "a\nbc\n\n- d"),
+    ("<div>" * 250 + "<script>no</script><p hidden>no<b>no</b></p><style>no</style>a<p>b</p><svg><title>no</title></svg>c" + "</div>" * 250 + "<ul><li>d</ul>", "a\n\nb\n\nc\n\n- d"),
 ]
 
 

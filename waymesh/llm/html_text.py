@@ -3,8 +3,9 @@
 A page is cut into tags and text, a tree is built with the implied tags of HTML
 (a list item, paragraph, cell or row ends where the next begins; a table row
 implies its body; void elements have no content), invisible parts are left out,
-and what is left is laid out.  Invisible are ``hidden``, ``aria-hidden="true"``,
-``display:none`` and ``visibility:hidden``, the head, title, scripts, styles,
+and what is left is laid out.  Invisible are ``hidden``, ``display:none`` and
+``visibility:hidden`` (but not what is ``visibility:visible`` inside it), all but the
+summary of closed ``details``, the head, title, scripts, styles,
 templates and ``datalist``; what only shows where something is not supported
 (``noscript``, ``noembed``, ``noframes``, the content of ``iframe``, ``object``,
 ``audio``, ``video`` and ``canvas``); of diagrams all but labels and HTML inside
@@ -29,7 +30,8 @@ All visible text is given, navigation and footers too.
 Defined cases: null html gives null text, an empty page empty text; unclosed and
 misnested tags, stray ends, and a page cut off inside a tag or comment are read
 to the end; unknown tags flow with the text; repeated rows are rendered alike;
-other columns are ignored.  Elements nested more than ``DEEPEST`` deep lie flat in
+other columns are ignored.  Elements nested more than ``DEEPEST`` deep (browsers'
+parsers themselves stop at 512) lie flat in
 the last one above: their text stays, each block on a line of its own, and what is
 invisible stays so; only their lists, tables and choices lose their layout.
 
@@ -41,6 +43,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,7 +53,9 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-DEEPEST = 200
+DEEPEST = 2000
+#: Frames that a level of the tree takes at most while it is laid out.
+_FRAMES = 6
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -60,6 +65,7 @@ BLOCKS = frozenset(
     "header hgroup html li main menu nav ol p pre search section summary table ul".split()
 )
 SET_OFF = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table pre blockquote figure article section form fieldset".split())
+HIDDEN = frozenset(("hidden", "collapse"))
 #: What holds no text to be seen in diagrams and formulas.
 SVG_UNSEEN = frozenset("style script title desc metadata defs symbol clippath mask marker pattern".split())
 MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
@@ -97,7 +103,8 @@ IMPLIED_END = {
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
-_NONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
 _OPEN_VALUE = re.compile(r"=\s*[^\s\"']*/\s*\Z")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -118,12 +125,17 @@ class Node:
             found.setdefault(name.lower(), html.unescape(next((v for v in values if v), "")))
         return found
 
+    def visibility(self) -> str:
+        """What the element itself sets; empty if it inherits."""
+        found = _VISIBILITY.findall(self.attributes().get("style", "")) if "isibility" in self.given.lower() else []
+        return found[-1].lower() if found else ""
+
     def seen(self) -> bool:
         if self.tag in UNSEEN:
             return False
         if self.given:
             a = self.attributes()
-            if "hidden" in a and a["hidden"].lower() != "until-found" or a.get("aria-hidden", "").lower() == "true" or _NONE.search(a.get("style", "")):
+            if "hidden" in a and a["hidden"].lower() != "until-found" or _NONE.search(a.get("style", "")):
                 return False
             if self.tag == "input" and a.get("type", "").lower() == "hidden":
                 return False
@@ -160,7 +172,7 @@ def build(page: str) -> Node:
         """A start tag below the deepest element: nothing is opened there, but what is unseen is known."""
         node = Node(tag, given)
         inside = drawn and (flat_names["svg"] or flat_names["math"] or foreign())
-        unseen = flat and flat[-1][1] or not node.seen() or inside and tag in SVG_UNSEEN | MATH_UNSEEN
+        unseen = flat and flat[-1][1] or not node.seen() or node.visibility() in HIDDEN or inside and tag in SVG_UNSEEN | MATH_UNSEEN
         if tag in VOID:
             if not unseen:
                 open_[-1].content.append(node)
@@ -327,10 +339,33 @@ def render(page: str | None) -> str | None:
     """The visible text of a page."""
     if page is None:
         return None
-    lines = _lines(build(page))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), _FRAMES * DEEPEST + 1000))
+    root = build(page)
+    if "visibility" in page.lower():
+        _settle(root)
+    lines = _lines(root)
     return "\n".join(line.rstrip(" ") for line in lines).strip("\n")
 
 
+def _settle(root: Node) -> None:
+    """Takes out what is hidden by an element's own or inherited visibility, and elements of which nothing is left."""
+    order, todo = [], [(root, False)]
+    while todo:
+        node, hidden = todo.pop()
+        own = node.visibility()
+        hidden = own in HIDDEN or hidden and own != "visible"
+        order.append((node, hidden))
+        todo += [(part, hidden) for part in node.content if isinstance(part, Node)]
+    empty = set()
+    for node, hidden in reversed(order):  # children before their parents
+        if hidden:
+            node.content = [part for part in node.content if isinstance(part, Node) and id(part) not in empty]
+            if not node.content:
+                empty.add(id(node))
+        elif empty:
+            node.content = [part for part in node.content if isinstance(part, str) or id(part) not in empty]
+
+
 def _lines(node: Node) -> list[str]:
     out = Layout()
     _flow(node, out)
@@ -378,6 +413,10 @@ def _flow(node: Node, out: Layout) -> None:
             out.text('"')
             _flow(part, out)
             out.text('"')
+        elif tag == "details" and "open" not in part.attributes():
+            first = next((n for n in part.content if isinstance(n, Node) and n.tag == "summary" and n.seen()), None)
+            if first:
+                out.block(_lines(first), False)
         elif tag in BLOCKS or tag in ("tr", "tbody", "thead", "tfoot", "caption"):
             out.block(_lines(part), tag in SET_OFF)
         else:
