@@ -147,42 +147,49 @@ def side(box):
 
 
 def walked(points, states, meters):
-    """Stops (as boxes) and routes (as lists of points) in the order in which they are met; neighbours of a kind are joined at the end."""
-    items, box, route, first = [], boxed(points[:1]), points[:1], True
-    for p, s in zip(points[1:], states[1:]):
-        route = route + [p]
-        fits = box is not None and side(joined(box, boxed([p]))) < meters
-        if first:
-            if fits:
-                box = joined(box, boxed([p]))
+    """The table of transitions, row by row: ``trj`` gets every point first; kinds that repeat are joined at the end."""
+    items, box, trj, initial = [], boxed(points[:1]), points[:1], True
+    for p, state in zip(points[1:], states[1:]):
+        trj = trj + [p]
+        wider = joined(box, boxed([p])) if box else None
+        if initial:  # grow, or push the stop without p
+            if side(wider) < meters:
+                box = wider
             else:
                 items.append(box)
-                box, first, route = None, False, route[-2:]
-        elif s == -1:
+                box, initial = None, False
+        elif state == 0:  # maybe
+            if box and side(wider) < meters:
+                box = wider
+            elif box:  # route without p, then the stop; p begins what follows
+                items += [trj[:-1], box]
+                trj, box = [p], None
+        elif state == 1:  # yes
+            if box and side(wider) < meters:
+                box = wider
+            elif box:  # an error in the table; taken like maybe
+                items += [trj[:-1], box]
+                trj, box = [p], None
+            else:
+                items.append(trj)
+                box, trj = boxed([p]), [p]
+        else:  # no
             if box:
                 items.append(box)
-                route = route[-2:]
             box = None
-        elif box and fits:
-            box = joined(box, boxed([p]))
-        elif box:
-            items.append(box)
-            box, route = None, route[-2:]
-        elif s == 1:
-            items.append(route)
-            box, route = boxed([p]), [p]
     if not items:
         return [box] if len(points) > 5 else []
-    if box is None:
-        items += [route, boxed(points[-1:])]
-    elif isinstance(items[-1], list) and all(box[0][c] <= p[c] <= box[1][c] for p in (items[-1][0], items[-1][-1]) for c in range(3)):
-        items.pop()
+    if isinstance(items[-1], list):
+        if all(box[0][c] <= p[c] <= box[1][c] for p in (items[-1][0], items[-1][-1]) for c in range(3)):
+            items.pop()
+        else:
+            items.append(box)
     else:
-        items.append(box)
+        items += [trj, box or boxed(points[-1:])]
     out = []
     for item in items:
         if out and isinstance(out[-1], list) and isinstance(item, list):
-            out[-1] = out[-1] + item
+            out[-1] = out[-1] + (item[1:] if item[0] == out[-1][-1] else item)
         elif out and not isinstance(out[-1], list) and not isinstance(item, list):
             out[-1] = joined(out[-1], item)
         else:

@@ -58,7 +58,8 @@ def _push(path: list, item) -> None:
     if path and isinstance(item, Box) and isinstance(path[-1], Box):
         path[-1] = path[-1].united(item)
     elif path and not isinstance(item, Box) and not isinstance(path[-1], Box):
-        path[-1] = np.concatenate([path[-1], item])
+        again = (path[-1][-1] == item[0]).all()  # a point that ends one part and begins the next is there once
+        path[-1] = np.concatenate([path[-1], item[1:] if again else item])
     elif path or isinstance(item, Box):
         path.append(item)
     else:  # a path begins with a stop
@@ -66,28 +67,28 @@ def _push(path: list, item) -> None:
 
 
 def raw_path(points: np.ndarray, stop: np.ndarray, meters: float) -> list:
-    """Boxes (stops) and arrays of points (routes) in turn, from points and their stop state."""
+    """Boxes (stops) and arrays of points (routes) in turn, from points and their stop state.
+
+    A route begins with the first point of the stop before it, so the ways inside a
+    stop are in it; a stop whose box is full first gives those to the route that led to it.
+    """
     path: list = []
     box, begin, start = Box.of(points[0]), True, 0  # start: first point of the open route
     for i, (p, s) in enumerate(zip(points[1:], stop[1:], strict=True), 1):
         grown = box.with_points(p) if box else None
-        if begin:
-            if grown.side() < meters:
-                box = grown
-            else:
-                _push(path, box)
-                box, begin, start = None, False, i - 1
+        if grown and (begin or s != -1) and grown.side() < meters:
+            box = grown
+        elif begin:
+            _push(path, box)
+            box, begin = None, False
         elif s == -1:
             if box:
                 _push(path, box)
-                start = i - 1
             box = None
-        elif box:
-            if grown.side() < meters:
-                box = grown
-            else:
-                _push(path, box)
-                box, start = None, i - 1
+        elif box:  # full
+            _push(path, points[start:i])
+            _push(path, box)
+            box, start = None, i
         elif s == 1:
             _push(path, points[start : i + 1])
             box, start = Box.of(p), i
