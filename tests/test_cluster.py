@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymesh.functions import geo
+from waymesh.functions import bbox, geo
 from waymesh.operators import cluster
 from waymesh.operators.components import connected_components
 
@@ -57,3 +57,30 @@ def test_pairs_of_a_crowd_are_not_listed(spark):
     points = spark.range(20_000).select(F.col("id").alias("ep_id"), (F.rand(1) * 19 + F.when(F.col("id") % 2 == 0, 0.0).otherwise(40.0)).alias("x"), (F.rand(2) * 19).alias("y"), F.lit(0.0).alias("t")).cache()
     links = cluster.cell_links(points, 30.0, 0.0).cache()
     assert links.count() < 20_010 and connected_components(links, "i", "j").select("component").distinct().count() == 1
+
+
+BOX = "struct<x1:double,x2:double,y1:double,y2:double,t1:double,t2:double>"
+
+
+def test_boxes_of_very_unlike_sizes(spark):
+    rng = random.Random(2)
+    sizes = [0.0, 3.0, 40.0, 99.0, 100.0, 101.0, 900.0, 30_000.0, 1_000_000.0]
+    rows = []
+    for i in range(300):
+        x, y = rng.uniform(-2000, 2000), rng.uniform(-2000, 2000)
+        w, h = rng.choice(sizes[:7]), rng.choice(sizes[:7])
+        rows.append((i, (x, x + w, y, y + h, 0.0, 1.0)))
+    rows += [(900 + k, (-s / 2, s / 2, -s / 3, s / 3, 0.0, 1.0)) for k, s in enumerate(sizes[6:])]
+    frame = spark.createDataFrame(rows, f"node_id long, bbox {BOX}")
+    got = {(r.i, r.j): r.share for r in cluster.overlapping_boxes(frame, 0.5).collect()}
+    both = frame.select(F.col("node_id").alias("i"), F.col("bbox").alias("a")).crossJoin(frame.select(F.col("node_id").alias("j"), F.col("bbox").alias("b"))).where("i < j")
+    want = {(r.i, r.j): r.share for r in both.select("i", "j", bbox.overlap_share(F.col("a"), F.col("b")).alias("share")).where("share >= 0.5").collect()}
+    assert got == want and len(want) > 300
+    assert cluster.overlapping_boxes(frame.limit(0)).count() == 0
+
+
+def test_one_large_box_over_many_small(spark):
+    small = spark.range(100_000).select(F.col("id").alias("node_id"), F.struct(*((F.pmod(F.xxhash64("id", F.lit(c)), F.lit(900_000)) + F.lit(w)).cast("double").alias(f"{c}{n}") for c in "xy" for n, w in ((1, 0), (2, 1))), F.lit(0.0).alias("t1"), F.lit(0.0).alias("t2")).alias("bbox"))
+    large = spark.createDataFrame([(-1, (0.0, 1e6, 0.0, 1e6, 0.0, 0.0))], f"node_id long, bbox {BOX}")
+    found = cluster.overlapping_boxes(small.unionByName(large), 0.5)
+    assert found.where("i = -1").count() == 100_000

@@ -148,15 +148,26 @@ def cluster_endpoints(endpoints: DataFrame, threshold: float, slack_ms: float, *
 
 
 def overlapping_boxes(boxes: DataFrame, share: float = 0.5, *, cell: float = 100.0, id: str = "node_id", box: str = "bbox") -> DataFrame:
-    """Pairs i < j of boxes whose common area is at least ``share`` of the smaller one: equi-join on the cells both touch."""
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    cells = boxes.select(F.col(id).alias("id"), F.col(box).alias("box")).withColumn("cx", F.explode(span("box.x1", "box.x2"))).withColumn("cy", F.explode(span("box.y1", "box.y2")))
-    a = cells.select(F.col("id").alias("i"), F.col("box").alias("a"), "cx", "cy")
-    b = cells.select(F.col("id").alias("j"), F.col("box").alias("b"), "cx", "cy")
-    # a pair is looked at in the first cell that both touch
-    first = (F.col("cx") == F.floor(F.greatest("a.x1", "b.x1") / cell)) & (F.col("cy") == F.floor(F.greatest("a.y1", "b.y1") / cell))
-    met = a.join(b, ["cx", "cy"]).where("i < j").where(first)
-    return met.withColumn("share", bbox.overlap_share(F.col("a"), F.col("b"))).where(F.col("share") >= share).select("i", "j", "share")
+    """Pairs i < j of boxes whose common area is at least ``share`` of the smaller one: equi-join on cells of a grid of levels.
+
+    A box lies in cells of its own size, four at most: of level k are those of side
+    ``cell`` 2^k.  It is looked up there by the boxes of its level and of those below,
+    so a row a level is what a box costs, however large it or another is.
+    """
+    longest = F.greatest(F.col("box.x2") - F.col("box.x1"), F.col("box.y2") - F.col("box.y1"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(longest / cell))).cast("int")
+    own = boxes.select(F.col(id).alias("id"), F.col(box).alias("box")).withColumn("level", F.coalesce(level, F.lit(0)))
+    levels = sorted(r.level for r in own.select("level").distinct().collect())  # some sixty at most
+    span = lambda a, b, at: F.sequence(F.floor(F.col(a) / (cell * F.pow(F.lit(2.0), at))), F.floor(F.col(b) / (cell * F.pow(F.lit(2.0), at))))
+    cells = lambda df: df.withColumn("cx", F.explode(span("box.x1", "box.x2", F.col("at")))).withColumn("cy", F.explode(span("box.y1", "box.y2", F.col("at"))))
+    upward = own.withColumn("at", F.explode(F.filter(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"), lambda k: k >= F.col("level"))))
+    a = cells(upward).select(F.col("id").alias("a_id"), F.col("box").alias("a"), "level", "at", "cx", "cy")
+    b = cells(own.withColumn("at", F.col("level"))).select(F.col("id").alias("b_id"), F.col("box").alias("b"), "at", "cx", "cy")
+    # a pair is looked at in the first cell that both touch, and at one level by one of them
+    in_cell = lambda c, side: F.col(c) == F.floor(F.greatest(f"a.{side}", f"b.{side}") / (cell * F.pow(F.lit(2.0), F.col("at"))))
+    met = a.join(b, ["at", "cx", "cy"]).where((F.col("level") < F.col("at")) | (F.col("a_id") < F.col("b_id"))).where(in_cell("cx", "x1") & in_cell("cy", "y1"))
+    shared_ = met.withColumn("share", bbox.overlap_share(F.col("a"), F.col("b"))).where(F.col("share") >= share)
+    return shared_.select(F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j"), "share")
 
 
 def merge_boxes(boxes: DataFrame, share: float = 0.5, *, cell: float = 100.0) -> DataFrame:
