@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..shared import cut
 
+#: Ways of a graph up to which chains are followed step by step.
+FEW_WAYS = 2000
+
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that no edge leads to (loops aside)."""
@@ -37,20 +40,47 @@ def monotonicity_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(to, "dst").where(F.col("trj")[0]["t"] >= F.col("opens")).select("edge_id", "src", "dst", F.col("trj")[0]["t"].alias("starts"), "opens")
 
 
-def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, *, few: int = FEW_WAYS) -> DataFrame:
     """``node_id, steps`` of every node that can be reached from those of ``start``, with the fewest steps.
 
-    A round is a join of the newest nodes with the edges, and a job: as many rounds as the farthest node has steps.
+    In a graph of more than ``few`` ways chains are contracted first: a node with one
+    way in and one way out points back to the one before it, and doubled pointers
+    lead to the head of its chain.  Rounds then follow junctions alone, each a join of
+    what the last one has improved; nodes in chains count on from their heads.
     """
     ways = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    front = cut(start.select("node_id").distinct().withColumn("steps", F.lit(0)))
-    found, step = front, 0
+    first = cut(start.select("node_id").distinct().withColumn("steps", F.lit(0).cast("long")))
+    if ways.limit(few + 1).count() <= few:
+        return _relaxed(ways.withColumn("len", F.lit(1).cast("long")), first).withColumn("steps", F.col("steps").cast("int"))
+    ends = ways.select(F.col("src").alias("node_id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(ways.select("dst", F.lit(0), F.lit(1)))
+    single = ends.groupBy("node_id").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out = 1 and into = 1").select("node_id")
+    inner = cut(single.join(first, "node_id", "left_anti"))
+    back = cut(ways.join(inner.withColumnRenamed("node_id", "dst"), "dst").select(F.col("dst").alias("node_id"), F.col("src").alias("head"), F.lit(1).cast("long").alias("dist")))
+    rounds = max(1, inner.count()).bit_length()  # a ring of such nodes has no head
+    beyond = lambda df: df.select(F.col("node_id").alias("head"), F.col("head").alias("head2"), F.col("dist").alias("dist2"))
+    for _ in range(rounds):
+        open_ = back.join(inner.withColumnRenamed("node_id", "head"), "head", "left_semi")
+        if not open_.limit(1).count():
+            break
+        joined = back.join(beyond(back), "head", "left")
+        back = cut(joined.select("node_id", F.coalesce("head2", "head").alias("head"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist")))
+    tails = ways.join(inner.withColumnRenamed("node_id", "dst"), "dst", "left_anti")
+    via = tails.join(back.withColumnRenamed("node_id", "src"), "src", "left")
+    short = via.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("dist", F.lit(0)) + 1).alias("len"))
+    found = _relaxed(cut(short.groupBy("src", "dst").agg(F.min("len").alias("len"))), first)
+    inside = back.join(found.withColumnRenamed("node_id", "head"), "head").select("node_id", (F.col("dist") + F.col("steps")).alias("steps"))
+    return found.union(inside).withColumn("steps", F.col("steps").cast("int"))
+
+
+def _relaxed(ways: DataFrame, front: DataFrame) -> DataFrame:
+    """Fewest steps from ``front`` (node_id, steps) over ways (src, dst, len)."""
+    best = front
     while front.limit(1).count():
-        step += 1
-        new = ways.join(front, ways["src"] == front["node_id"]).select(ways["dst"].alias("node_id")).distinct()
-        front = cut(new.join(found, "node_id", "left_anti").withColumn("steps", F.lit(step)))
-        found = cut(found.union(front))
-    return found
+        new = ways.join(front, ways["src"] == front["node_id"]).groupBy(F.col("dst").alias("node_id")).agg(F.min(F.col("len") + F.col("steps")).alias("new"))
+        better = new.join(best, "node_id", "left").where("steps is null or new < steps")
+        front = cut(better.select("node_id", F.col("new").alias("steps")))
+        best = cut(best.union(front).groupBy("node_id").agg(F.min("steps").alias("steps")))
+    return best
 
 
 def reachable_in_time(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
