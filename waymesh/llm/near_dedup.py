@@ -25,7 +25,9 @@ broadcast of their own narrow row (``hot_join``), not in one task.
 
 Bands (``bands`` x ``rows``) miss a pair of similarity 0.8 with probability
 (1 - 0.8^6)^40 = 5e-6; pruning adds ``miss`` a batch at most, and sub-bands of
-large groups (1 - 0.8^8)^96 = 2e-8 for a pair whose signature agrees as expected.
+large groups (1 - 0.8^8)^96 = 2e-8 for a pair whose signature agrees as expected,
+and 1.1e-5 averaged over how many of its 240 values agree (binomial).  With a
+``large`` above any group's size no group is cut, and that part falls away.
 
 Memory: a task holds the texts of an Arrow batch (one text, if that is longer)
 with some 100 bytes for each of its words, and two blocks of rows with their sets.

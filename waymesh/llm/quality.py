@@ -4,7 +4,7 @@ Each document gets rule statistics (counts over its whole text).  The base
 rules reject outright; the rest is judged by an isolation forest: trees of
 random splits over the statistics of a sample, where an anomalous document is
 isolated by few splits.  The mean path length becomes a score, and the
-threshold on it is calibrated over all labelled rows: at most ``max_false`` of
+threshold on it is calibrated over all labelled good rows (the bad ones have no say in it): at most ``max_false`` of
 the labelled good documents that pass the base rules score above it.
 
 Bounds: the forest is fitted on at most ``sample_rows`` labelled good documents
@@ -235,7 +235,7 @@ def fit(
     size: int = 256,
     seed: int = 1,
 ) -> QualityModel:
-    """The forest from a bounded sample of labelled rows, its threshold from all of them."""
+    """The forest from a bounded sample of labelled rows, its threshold from all labelled good ones."""
     marked = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
