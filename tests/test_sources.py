@@ -49,6 +49,8 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "g/nodes_csv"), header=True).first().x2 == "12345678.5"
     assert [r.x for r in spark.read.csv(str(tmp_path / "g/edges_csv"), header=True).orderBy("pos").collect()] == ["0", "1.5"]
     assert {r.kind for r in spark.read.json(str(tmp_path / "g/graph_json")).collect()} == {"node", "edge"}
+    told = [r.value for r in sinks.json_lines(nodes.withColumn("is_root", F.lit(True)), edges).collect()]
+    assert sum('"is_root":true' in v for v in told) == 1 and not any("is_root" in r.value for r in sinks.json_lines(nodes, edges).collect())
     text = [r.value for r in spark.read.text(str(tmp_path / "g/graph_dot")).collect()]
     assert text[0] == "digraph {" and text[-1] == "}" and '"1:0" -> "1:1"' in text[2]
     with pytest.raises(ValueError):

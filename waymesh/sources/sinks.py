@@ -35,9 +35,10 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``value``: an object a node and an object an edge, told apart by ``kind``."""
+    """``value``: an object a node and an object an edge, told apart by ``kind``; nodes of a path graph say whether they are roots."""
     sides = [F.col("bbox")[s].alias(s) for s in bbox.SIDES]
-    own = nodes.select(F.to_json(F.struct(F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("id"), "weight", F.struct(*sides).alias("bbox"))).alias("value"))
+    root = ["is_root"] if "is_root" in nodes.columns else []
+    own = nodes.select(F.to_json(F.struct(F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("id"), "weight", *root, F.struct(*sides).alias("bbox"))).alias("value"))
     ways = edges.select(F.to_json(F.struct(F.lit("edge").alias("kind"), F.col("edge_id").alias("id"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight", "trj")).alias("value"))
     return own.unionByName(ways)
 
