@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bbox, shapes
-from ..shared import hot_join, written
+from ..shared import cut, hot_join, written
+from . import balls
 from .components import connected_components
 
 GROUP = ["src", "dst"]
@@ -88,10 +89,23 @@ def area_pairs(edges: DataFrame) -> DataFrame:
     return edge_pairs(edges).select(*GROUP, "a", "b", _pair_measure(shapes.area_between)("trj_a", "trj_b").alias("area"))
 
 
-def shape_clusters(edges: DataFrame, max_meters: float) -> DataFrame:
-    """``edge_id, cluster_id``: components of edges of one group closer than ``max_meters``."""
-    near = edge_pairs(edges, near=max_meters).select("a", "b", hausdorff("trj_a", "trj_b").alias("dist")).where(F.col("dist") < max_meters)
-    found = connected_components(near).withColumnRenamed("id", "edge_id")
+def shape_clusters(edges: DataFrame, max_meters: float, *, block: int = 512) -> DataFrame:
+    """``edge_id, cluster_id``: components of edges of one group closer than ``max_meters``.
+
+    Pairs are compared in groups of up to ``block`` edges; larger ones are covered
+    by balls (``balls.near_links``), with the same components.
+    """
+    rows = edges.select(F.struct(*GROUP).alias("grp"), *GROUP, "edge_id", "trj").dropna(subset=GROUP)
+    sizes = cut(rows.groupBy("grp").agg(F.count("*").alias("n")), "group-sizes")
+    some_large = bool(sizes.where(F.col("n") > block).limit(1).count())
+    sized = hot_join(rows, sizes, "grp", keep_n=True) if some_large else rows
+    small = sized.where(F.col("n") <= block) if some_large else rows
+    pairs = edge_pairs(small.select(*GROUP, "edge_id", "trj"), block=block, near=max_meters)
+    links = pairs.select("a", "b", hausdorff("trj_a", "trj_b").alias("dist")).where(F.col("dist") < max_meters).select("a", "b")
+    if some_large:
+        large = sized.where(F.col("n") > block).select("grp", "edge_id", "trj", bbox.of_array(F.col("trj")).alias("box"))
+        links = links.unionByName(balls.near_links(large, hausdorff, max_meters, edge_pairs, block=block))
+    found = connected_components(links).withColumnRenamed("id", "edge_id")
     return edges.select("edge_id").join(found, "edge_id", "left").select("edge_id", F.coalesce("component", "edge_id").alias("cluster_id"))
 
 
