@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from conftest import SF
 
-from waymesh.operators import edges as edge_ops, paths
+from waymesh.functions import shapes
+from waymesh.operators import clean, edges as edge_ops, paths
 from waymesh.plans import graph, queries
 from waymesh.plans.queries import CONFIG, KEYS, ORDER, QUERIES
 
@@ -62,6 +63,58 @@ def test_ch_filtered(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) < sum(map(len, streams.values()))
 
 
+SPIKY = "stream string, seq long, x double, y double, note string"
+
+
+def spiky(seed, n):
+    """A long stream, one of a single row and one without a name, whose points jump; equal positions among them."""
+    rng = random.Random(seed)
+    rows = []
+    for stream, many in (("long", n), ("one", 1), (None, n // 3)):
+        x = y = 0.0
+        for i in range(many):
+            x, y = x + rng.choice([0.0, 1.0, 2.0, -0.5]), y + rng.choice([0.0, 0.5, -0.5])
+            far = rng.random() < 0.15
+            rows.append((stream, 3 * i, x + 90 * far, y - 70 * far * rng.random(), None if i % 4 else "n"))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed,chunk,size", [(1, 7, 5), (2, 40, 9)])
+def test_spike_filter_in_chunks(spark, seed, chunk, size):
+    frame = spark.createDataFrame(spiky(seed, 260), SPIKY)
+    whole = clean.spike_filter(frame, ["stream"], ["seq"], size).collect()
+    parts = clean.spike_filter(frame, ["stream"], ["seq"], size, chunk_rows=chunk)
+    assert parts.columns == frame.columns
+    by = lambda rows: sorted(map(str, rows))
+    assert by(parts.collect()) == by(whole) and len(whole) < frame.count() - 20
+
+
+def test_centroids_of_many_small_batches(spark):
+    """Clusters that run over several Arrow batches equal a fold of the whole cluster."""
+    rng = random.Random(3)
+    rows = [(i, None if i % 9 == 0 else "a", "b", 1 + i % 2, [(float(x), rng.uniform(0, 5), float(x + rng.uniform(0, 0.5))) for x in range(6)]) for i in range(90)]
+    edges = spark.createDataFrame(rows, "edge_id long, src string, dst string, weight int, trj array<struct<x:double,y:double,t:double>>")
+    clusters = edges.selectExpr("edge_id", "edge_id % 3 as cluster_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {(r.src, r.edge_id): r for r in edge_ops.centroids(edges, clusters, 0.1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1], r[0] % 3].append(r)
+    assert got.keys() == {(k[0], own[0][0]) for k, own in groups.items()}
+    for (src, _), own in groups.items():
+        trips = [shapes.strictly_later(np.array(r[4])) for r in own]
+        mean = trips[-1]
+        for other in trips[:-1]:
+            mean = shapes.merged(other, mean, 0.1)
+        row = got[src, own[0][0]]
+        assert row.weight == sum(r[3] for r in own) and np.array_equal(np.array([tuple(p) for p in row.trj]), mean)
+    assert edge_ops.centroids(edges.limit(0), clusters, 0.1).count() == 0
+
+
 def area(a, b, c):
     return abs((a[0] * (b[1] - c[1]) + b[0] * (c[1] - a[1]) + c[0] * (a[1] - b[1])) / 2)
 

@@ -26,9 +26,10 @@ def hull_members(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.fromiter(((a, b) in corner for a, b in zip(x, y, strict=True)), bool, n)
 
 
-def without_spikes(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """Marks the points that the convex-hull filter keeps, in stream order.
+def spike_window(x: np.ndarray, y: np.ndarray, size: int, carried: int = 0) -> tuple[np.ndarray, list[int]]:
+    """Marks the points that have left the convex-hull filter's window as kept, and tells which are still in it.
 
+    The first ``carried`` points are those that an earlier call left in the window.
     After each push the corners of the window's hull are taken in stream order;
     an inner one that is farther from either neighbour than those are from each
     other is a spike.  Each spike takes the first point at its position from the
@@ -36,8 +37,8 @@ def without_spikes(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     that position stay.  A full window emits its head.
     """
     keep = np.zeros(len(x), bool)
-    window: list[int] = []
-    for i in range(len(x)):
+    window = list(range(carried))
+    for i in range(carried, len(x)):
         window.append(i)
         corners = [w for w, on in zip(window, hull_members(x[window], y[window]), strict=True) if on]
         spikes = []
@@ -55,6 +56,12 @@ def without_spikes(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
             window = left
         if len(window) >= size:
             keep[window.pop(0)] = True
+    return keep, window
+
+
+def without_spikes(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Marks the points that the convex-hull filter keeps, in stream order; at the end the window is kept."""
+    keep, window = spike_window(x, y, size)
     keep[window] = True
     return keep
 

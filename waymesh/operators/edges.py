@@ -124,21 +124,47 @@ def medoids(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def centroids(edges: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
-    """One averaged trajectory a cluster: members in order of their id are merged one by one, half and half."""
-    rows = edges.join(clusters, "edge_id").select("edge_id", *GROUP, "cluster_id", "weight", "trj")
-    schema = "edge_id long, src string, dst string, weight int, trj array<struct<x:double,y:double,t:double>>"
+    """One averaged trajectory a cluster: members in order of their id are merged one by one, half and half.
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("edge_id")
-        trips = [shapes.strictly_later(_array(t)) for t in group["trj"]]
-        mean = trips[-1]
-        for other in trips[:-1]:
-            mean = shapes.merged(other, mean, threshold) if len(mean) > 1 and len(other) > 1 else mean
-        first = group.iloc[0]
-        points = [{"x": x, "y": y, "t": t} for x, y, t in mean.tolist()]
-        return pd.DataFrame([(first.edge_id, str(first.src), str(first.dst), int(group.weight.sum()), points)], columns=["edge_id", "src", "dst", "weight", "trj"])
-
-    return rows.groupBy(*GROUP, "cluster_id").applyInPandas(merge, schema)
+    The fold begins with the last member.  Each weighs half of what came before,
+    so its order is part of the result and a cluster is folded in one task; but
+    its rows come sorted, in batches, and only the mean is held.
+    """
+    keys = [*GROUP, "cluster_id"]
+    rows = edges.join(clusters, "edge_id").select("edge_id", *keys, "weight", "trj")
+    begin = rows.groupBy(*keys).agg(F.max("edge_id").alias("edge_id")).select("edge_id", F.lit(0).alias("turn"))
+    turns = rows.join(begin, "edge_id", "left").withColumn("turn", F.coalesce("turn", F.lit(1)))
+    schema = "edge_id long, src string, dst string, weight int, trj array<struct<x:double,y:double,t:double>>"
+    trj_type = pa.list_(pa.struct([(c, pa.float64()) for c in "xyt"]))
+    out_type = pa.schema([("edge_id", pa.int64()), ("src", pa.string()), ("dst", pa.string()), ("weight", pa.int32()), ("trj", trj_type)])
+
+    def fold(batches):
+        key, least, weight, mean = None, 0, 0, None
+        text = lambda v: None if v is None else str(v)
+
+        def result():
+            points = [dict(zip("xyt", p, strict=True)) for p in mean.tolist()]
+            return {"edge_id": least, "src": text(key[0]), "dst": text(key[1]), "weight": weight, "trj": points}
+
+        for batch in batches:
+            done = []
+            p, at = _flat(batch.column("trj"))
+            ids, weights = batch.column("edge_id").to_pylist(), batch.column("weight").to_pylist()
+            for k, own in enumerate(zip(*(batch.column(c).to_pylist() for c in keys), strict=True)):
+                trip = shapes.strictly_later(p[at[k] : at[k + 1]])
+                if mean is None or own != key:
+                    if mean is not None:
+                        done.append(result())
+                    key, least, weight, mean = own, ids[k], weights[k], trip
+                    continue
+                least, weight = min(least, ids[k]), weight + weights[k]
+                mean = shapes.merged(trip, mean, threshold) if len(mean) > 1 and len(trip) > 1 else mean
+            if done:
+                yield pa.RecordBatch.from_pylist(done, out_type)
+        if mean is not None:
+            yield pa.RecordBatch.from_pylist([result()], out_type)
+
+    return turns.repartition(*keys).sortWithinPartitions(*keys, "turn", "edge_id").mapInArrow(fold, schema)
 
 
 def simplify(edges: DataFrame, threshold: float) -> DataFrame:
