@@ -268,7 +268,9 @@ def grown(path, k, meters):
     return low, high
 
 
-def built(points, states, meters):
+def built(points, states, meters, removed=None):
+    """``removed`` counts removals of stops, and of routes."""
+    removed = [0, 0] if removed is None else removed
     path = walked(points, states, meters)
     if len(path) > 1:
         path = [grown(path, k, meters) if k % 2 == 0 else item for k, item in enumerate(path)]
@@ -276,17 +278,19 @@ def built(points, states, meters):
         while k + 2 < len(path):  # of two stops in a row that last no time the first goes, with the way between
             if all(path[j][0][2] == path[j][1][2] for j in (k, k + 2)):
                 del path[k : k + 2]
+                removed[0] += 1
             else:
                 k += 2
         for k in range(len(path) - 3, -1, -2):
             whole = joined(path[k], boxed(path[k + 1]))
             if side(whole) < meters:
                 path[k : k + 3] = [whole]
+                removed[1] += 1
     return path
 
 
 def test_build_path_on_random_walks():
-    rng, lengths = random.Random(4), set()
+    rng, lengths, total = random.Random(4), set(), [0, 0]
     for _ in range(400):
         x = y = t = 0.0
         points, states = [], []
@@ -294,7 +298,11 @@ def test_build_path_on_random_walks():
             x, y, t = x + rng.choice([0, 0, 1, 7, 60]), y + rng.choice([0, 0, 2, 40]), t + rng.choice([0, 1000, 60_000])
             points.append((x, y, t))
             states.append(rng.choice([-1, -1, 0, 0, 1]))
-        want, got = built(points, states, 100.0), paths.build_path(np.array(points), np.array(states), 100.0)
+        removed = [0, 0]
+        want = built(points, states, 100.0, removed)
+        got, *counts = paths.counted_path(np.array(points), np.array(states), 100.0)
+        assert counts == removed
+        total = [a + b for a, b in zip(total, removed)]
         assert len(got) == len(want)
         lengths.add(len(got))
         for a, b in zip(got, want):
@@ -302,7 +310,7 @@ def test_build_path_on_random_walks():
                 assert [tuple(p) for p in a.tolist()] == b
             else:
                 assert [*a.low, *a.high] == pytest.approx([*b[0], *b[1]])
-    assert max(lengths) > 8
+    assert max(lengths) > 8 and min(total) > 5
 
 
 def test_paths(spark):
@@ -310,10 +318,10 @@ def test_paths(spark):
     segments = defaultdict(list)
     for r in graph.stop_points(queries.event_points(spark, sf), KEYS, ORDER, CONFIG).collect():
         segments[r.stream_id, r.day, r.seg].append((r.seq, (r.x, r.y, float(r.t_ms)), r.stop))
-    want = {}
+    want, removed = {}, [0, 0]
     for key, rows in segments.items():
         rows.sort()
-        path = built([p for _, p, _ in rows], [s for *_, s in rows], meters)
+        path = built([p for _, p, _ in rows], [s for *_, s in rows], meters, removed)
         if len(path) > 1:
             want |= {(*key, k): item for k, item in enumerate(path)}
     rows = QUERIES["paths"](spark, sf).collect()
@@ -325,3 +333,9 @@ def test_paths(spark):
             assert (r.kind, r.n) == ("route", len(item))
         else:
             assert r.kind == "stop" and [r.x1, r.y1, r.t1, r.x2, r.y2, r.t2] == pytest.approx([*item[0], *item[1]], abs=1e-2)
+    c = QUERIES["path_counters"](spark, sf).first()
+    assert (c.segments, c.points, c.paths) == (len(segments), sum(map(len, segments.values())), len({k[:3] for k in want}))
+    assert (c.stops, c.routes) == tuple(sum(r.kind == kind for r in rows) for kind in ("stop", "route"))
+    assert [c.redundant_node_removals, c.redundant_trj_removals] == removed
+    none = graph.path_counters(queries.event_points(spark, SF).limit(0), KEYS, ORDER, CONFIG).first()
+    assert none.segments == none.stops == none.redundant_trj_removals == 0

@@ -17,22 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bbox
-from ..shared import cut, hot_join
+from ..shared import cut, hot_join, salted_join
 from .components import connected_components
 
 #: What rounding may add to a distance, in metres and as a share; bounds give way by it.
 ROUNDING_M, ROUNDING = 1e-6, 1e-9
 
 
-def _salted_join(rows: DataFrame, heads: DataFrame, key: str, block: int) -> DataFrame:
-    """Inner join of ``rows`` with few but wide ``heads`` of each key: a task has ``block`` rows of a key, and each of its heads once."""
-    sizes = cut(rows.groupBy(key).agg(F.count("*").alias("n")), "key-sizes")
-    salts = F.ceil(F.col("n") / block).cast("int")
-    left = hot_join(rows, sizes, key, keep_n=True).withColumn("salt", F.pmod(F.xxhash64("edge_id"), salts).cast("int")).drop("n")
-    right = heads.join(sizes, key).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
-    return left.join(right, [key, "salt"]).drop("salt")
-
-
 def leaders(rows: DataFrame, distance, radius: float, *, block: int) -> DataFrame:
     """``edge_id, leader, dist``: each trip and a leader of its group nearer than ``radius`` (a leader leads itself).
 
@@ -47,7 +38,7 @@ def leaders(rows: DataFrame, distance, radius: float, *, block: int) -> DataFram
     while True:
         heads = still.groupBy("cell", F.pmod(F.xxhash64("edge_id", F.lit(n)), F.lit(n)).alias("part")).agg(F.min("edge_id").alias("leader"))
         heads = cut(heads.select("leader").join(still.select("cell", F.col("edge_id").alias("leader"), F.col("trj").alias("lead_trj")), "leader"), "leaders")
-        met = _salted_join(still, heads, "cell", block)
+        met = salted_join(still, heads, "cell", "edge_id", block)
         near = met.select("edge_id", "leader", distance("trj", "lead_trj").alias("dist")).where(F.col("dist") < radius)
         # a leader stays its own; others go to the nearest, then to the least
         own = F.when(F.col("edge_id") == F.col("leader"), F.lit(-1.0)).otherwise(F.col("dist"))
@@ -105,7 +96,7 @@ def near_links(rows: DataFrame, distance, threshold: float, edge_pairs, *, block
     asked = cut(both.where(F.col("apart") - F.col("dist") < loose(threshold + radius)).drop("apart"), "asked")
     trips = rows.select("edge_id", "trj")
     heads = trips.select(F.col("edge_id").alias("other"), F.col("trj").alias("other_trj"))
-    over = _salted_join(asked.join(trips, "edge_id"), heads, "other", block).select("l1", "l2", "edge_id", "other", "dist", distance("trj", "other_trj").alias("there"))
+    over = salted_join(asked.join(trips, "edge_id"), heads, "other", "edge_id", block).select("l1", "l2", "edge_id", "other", "dist", distance("trj", "other_trj").alias("there"))
     over = cut(over.where(F.col("there") < loose(threshold + radius)), "asked-distances")
     links = cut(links.unionByName(over.where(F.col("there") < threshold).select(F.col("edge_id").alias("a"), F.col("other").alias("b"))), "links")
     maybe = _unlinked(maybe, links)

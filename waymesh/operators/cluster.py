@@ -193,10 +193,11 @@ def merge_boxes(boxes: DataFrame, share: float = 0.5, *, cell: float = 100.0) ->
 def minimal_boxes(members: DataFrame, edges: DataFrame, pad: float = 1.0) -> DataFrame:
     """The box of each cluster's edge ends (ends of incoming, starts of outgoing trajectories), padded; times of the cluster's box."""
     ends = edges.select(F.col("dst").alias("node_id"), F.element_at("trj", -1).alias("p")).union(edges.select(F.col("src").alias("node_id"), F.col("trj")[0].alias("p")))
-    found = members.join(ends, "node_id").groupBy("cluster_id").agg(
-        F.min("p.x").alias("x1"), F.max("p.x").alias("x2"), F.min("p.y").alias("y1"), F.max("p.y").alias("y2")
-    )
-    joined = members.select("node_id", "cluster_id", "bbox").join(found, "cluster_id", "left")
+    sides = {f"{c}{n}": (c, g) for c in "xy" for n, g in ((1, F.min), (2, F.max))}
+    of_nodes = ends.groupBy("node_id").agg(*(g(f"p.{c}").alias(s) for s, (c, g) in sides.items()))
+    known = members.select("node_id", "cluster_id").join(of_nodes, "node_id", "left")
+    found = written(known.groupBy("cluster_id").agg(*(g(s).alias(s) for s, (_, g) in sides.items()), F.count("*").alias("n")), "cluster-ends")
+    joined = hot_join(members.select("node_id", "cluster_id", "bbox"), found, "cluster_id")
     side = lambda s: F.coalesce(F.col(s), F.col(f"bbox.{s}"))
     own = bbox.make(x1=side("x1"), x2=side("x2"), y1=side("y1"), y2=side("y2"), t1=F.col("bbox.t1"), t2=F.col("bbox.t2"))
     return joined.select("node_id", "cluster_id", bbox.padded(own, pad).alias("bbox"))

@@ -149,11 +149,19 @@ def merged_stops(path: list, meters: float) -> list:
     return out
 
 
-def build_path(points: np.ndarray, stop: np.ndarray, meters: float) -> list:
+def counted_path(points: np.ndarray, stop: np.ndarray, meters: float) -> tuple[list, int, int]:
+    """The path, how many stops that last no time went, and how many routes went into the stop before them."""
     path = raw_path(points, stop, meters)
-    if len(path) > 1:
-        path = merged_stops(without_single_points(expand_stops(path, meters)), meters)
-    return path
+    if len(path) < 2:
+        return path, 0, 0
+    lasting = without_single_points(expand_stops(path, meters))
+    whole = merged_stops(lasting, meters)
+    # each removal takes a route and a stop
+    return whole, (len(path) - len(lasting)) // 2, (len(lasting) - len(whole)) // 2
+
+
+def build_path(points: np.ndarray, stop: np.ndarray, meters: float) -> list:
+    return counted_path(points, stop, meters)[0]
 
 
 def item_columns(item) -> tuple[str, dict | None, list | None]:
@@ -180,6 +188,24 @@ def paths(points: DataFrame, keys: list[str], order: list[str], meters: float, t
     return points.groupBy(*keys).applyInPandas(run, schema)
 
 
+def path_counts(points: DataFrame, keys: list[str], order: list[str], meters: float, t: str = "t_ms", *, min_items: int = 2) -> DataFrame:
+    """``keys``, and what the walk of each segment did: points, items (0: no path), redundant_nodes and redundant_trjs that it removed.
+
+    Counts are rows, not accumulators, so a task that runs again counts nothing twice.
+    """
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
+    names = [*keys, "points", "items", "redundant_nodes", "redundant_trjs"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        path, nodes, trjs = counted_path(rows[["x", "y", t]].to_numpy(float), rows["stop"].to_numpy(), meters)
+        items = len(path) if len(path) >= min_items else 0
+        return pd.DataFrame([(*(rows[k].iloc[0] for k in keys), len(rows), items, nodes, trjs)], columns=names)
+
+    needed = points.select(*dict.fromkeys([*keys, *order, "x", "y", t, "stop"]))
+    return needed.groupBy(*keys).applyInPandas(run, f"{head}, points long, items long, redundant_nodes long, redundant_trjs long")
+
+
 def path_faults(items: DataFrame, keys: list[str]) -> DataFrame:
     """Paths that don't alternate between stops and routes, or don't begin and end with a stop: none, if all is well."""
     wrong = F.col("kind") != F.when(F.col("pos") % 2 == 0, "stop").otherwise("route")

@@ -90,6 +90,17 @@ def path_items(points: DataFrame, keys: list[str], order: list[str], config: Con
     return paths.paths(stop_points(points, keys, order, config), [*keys, "seg"], order, config.bbox_max_meters)
 
 
+def path_counters(points: DataFrame, keys: list[str], order: list[str], config: Config) -> DataFrame:
+    """One row: segments walked, paths made of them, their stops and routes, and the stops and routes that were removed as redundant."""
+    counts = paths.path_counts(stop_points(points, keys, order, config), [*keys, "seg"], order, config.bbox_max_meters)
+    made = F.when(F.col("items") > 0, F.col("items"))
+    return counts.agg(
+        F.count("*").alias("segments"), F.coalesce(F.sum("points"), F.lit(0)).alias("points"), F.count(made).alias("paths"),
+        F.coalesce(F.sum((made + 1) / 2).cast("long"), F.lit(0)).alias("stops"), F.coalesce(F.sum((made - 1) / 2).cast("long"), F.lit(0)).alias("routes"),
+        F.coalesce(F.sum("redundant_nodes"), F.lit(0)).alias("redundant_node_removals"), F.coalesce(F.sum("redundant_trjs"), F.lit(0)).alias("redundant_trj_removals"),
+    )
+
+
 def path_graph(items: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """A node a stop and an edge a route; a path's first stop is a root."""
     name = F.xxhash64(*keys, "pos")

@@ -330,6 +330,10 @@ def paths(spark, sf_dir):
     return items.select(*KEYS, "seg", "pos", "kind", F.size("trj").alias("n"), *_sides())
 
 
+def path_counters(spark, sf_dir):
+    return graph.path_counters(event_points(spark, sf_dir), KEYS, ORDER, CONFIG)
+
+
 def movement_graph(spark, sf_dir):
     _, edges = graph.build_graph(event_points(spark, sf_dir), KEYS, ORDER, CONFIG, id="event_id")
     return edges.select("edge_id", "src", "dst", "weight", F.size("trj").alias("n"))
@@ -390,6 +394,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         monotonicity_violations, split_violations, reachability, motion_velocity, stop_epochs, hausdorff_pairs, dissim_pairs, area_pairs,
         bbox_overlap, merged_boxes, medoid_edges, shape_clusters, centroid_edges, simplified_edges, ch_filtered, paths, movement_graph,
         path_movement_graph, read_gpx, read_plt, read_ais, read_synthetic, read_gpx_strict, reachability_in_time, constraint_report, pruned_graph,
-        minimal_boxes, edge_boxes, graph_dot, graph_json, nodes_csv, edges_csv, run_counters,
+        minimal_boxes, edge_boxes, graph_dot, graph_json, nodes_csv, edges_csv, run_counters, path_counters,
     )
 }

@@ -90,3 +90,16 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, *, n: str = "n", keep_
     names = F.broadcast(top.select(key))
     cool = left.join(names, key, "left_anti").join(out.join(names, key, "left_anti"), key)
     return left.join(F.broadcast(top if keep_n else top.drop(n)), key).unionByName(cool)
+
+
+def salted_join(rows: DataFrame, heads: DataFrame, key: str, by: str, block: int) -> DataFrame:
+    """Inner join of ``rows`` with ``heads``, of which a key has several or wide ones, so that none is broadcast.
+
+    The rows of a key are dealt by a hash of ``by`` into parts of about ``block``,
+    and its heads are repeated for each part.
+    """
+    sizes = written(rows.groupBy(key).agg(F.count("*").alias("n")), "key-sizes")
+    salts = F.ceil(F.col("n") / block).cast("int")
+    left = hot_join(rows, sizes, key, keep_n=True).withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("n")
+    right = heads.join(sizes, key).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return left.join(right, [key, "salt"]).drop("salt")
