@@ -149,6 +149,19 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.match(empty, bench).count() == 0 and decontaminate.clean_only(docs, bench.limit(0)).count() == len(TEXTS)
 
 
+def test_decontaminate_a_window_that_many_share(spark, monkeypatch):
+    """A licence line in every item and most documents: its documents meet the items in parts, and each finds all of them."""
+    monkeypatch.setattr(decontaminate, "HOT_BLOCK", 100)
+    line = " ".join(f"licence{i}" for i in range(12))
+    own = table(spark, [(i, f"w{i} {line} v{i}" if i % 5 else f"w{i} own words") for i in range(1500)])
+    bench = spark.createDataFrame([(f"i{k}", f"{line} q{k}") for k in range(6)], "item_id string, text string")
+    got = decontaminate.match(own, bench, block_bytes=1).collect()
+    assert len(got) == 1500
+    for r in got:
+        want = ([(1, 13)], [f"i{k}" for k in range(6)]) if r.doc_id % 5 else ([], [])
+        assert ([tuple(s) for s in r.spans], list(r["items"])) == want
+
+
 @pytest.mark.parametrize("block_bytes", [4 << 20, 1])
 def test_decontaminate_matches_brute_force(spark, block_bytes):
     """With the benchmark sent to the tasks, and joined as a table."""

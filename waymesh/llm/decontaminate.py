@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import salted_join
 from .common import HashMemo, hot_join, map_batches, mixed, scratch, unused, utf8, written
 
 SIZE, GRAM, SPAN = 10, 5, 6
@@ -330,6 +331,10 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
+#: Documents with one window that meet its items in one task.
+HOT_BLOCK = 100_000
+
+
 def _by_tables(held: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """row, n_words, spans, items of every row of the written table ``held`` (row, text); ``rows`` are the benchmark's."""
     windows, prints = _benchmark_tables(rows)
@@ -387,7 +392,8 @@ def _by_tables(held: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     spans = islands.groupBy("row", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     # a row for each document and item that it holds: the result itself
-    of_items = found.select("row", "window").distinct().join(windows.select(F.struct("size", "h1", "h2").alias("window"), "item"), "window")
+    held_by = windows.select(F.struct("size", "h1", "h2").alias("window"), "item").distinct()
+    of_items = salted_join(found.select("row", "window").distinct(), held_by, "window", "row", HOT_BLOCK)
     items = of_items.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     out = said.select("row", "n_words").join(spans, "row", "left").join(items, "row", "left")
     return out.select("row", "n_words", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
