@@ -101,3 +101,21 @@ def test_command_line(spark, tmp_path):
         assert edges.count() == 4 and edges.agg(F.sum("weight")).first()[0] == 4
         assert spark.read.parquet(f"{out}/edges").count() == 4 and spark.read.text(f"{out}/graph_dot").count() == nodes.count() + 6
     assert cli.config_of(spark, cli.parser().parse_args([path, "-t", "15m", "-C", "--clustering-threshold", "20"])).temporal_slack_ms == 900_000
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_mixed_files_are_read_once(spark, tmp_path, strict):
+    """Files of all formats in one pass: a branch a format read, and split, every file four times over."""
+    gpx = '<trkpt lat="1.5" lon="2.5"><ele>1.0</ele><time>2024-01-02T03:04:05.006Z</time></trkpt>'
+    texts = {
+        "a": "<gpx>" + gpx + "\n" + gpx + "</gpx>", "b": "Geolife trajectory\nh\n1.5,2.5,0,9,45293,2024-01-02,03:04:05",
+        "c": f"{readers.AIS_HEADER}\r\n7,2024-01-02 03:04:05,2.5,1.5,1\r\nx", "d": f"{readers.SYNTHETIC_HEADER}\n2024-01-02 03:04:05,1.5,2.5,8,\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    points = readers.read_points(readers.text_files(spark, str(tmp_path)), strict_gpx=strict)
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Union" not in plan
+    rows = sorted((r.source[-1], r.seq, r.stream_id.split("#")[-1][-1], str(r.day), r.lat, r.lon, r.t_ms) for r in points.collect())
+    t = 11_045_000
+    assert rows == [(n, k, i, "2024-01-02", 1.5, 2.5, t + ms) for n, k, i, ms in (("a", 0, "a", 6), ("a", 1, "a", 6), ("b", 2, "b", 0), ("c", 1, "7", 0), ("d", 1, "8", 0))]

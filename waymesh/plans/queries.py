@@ -347,8 +347,14 @@ def path_movement_graph(spark, sf_dir):
 # ---- readers: the points as texts of each format, one a stream and day, read back ----
 
 
+#: About as many points a partition of texts has, as far as there are as many texts.
+TEXT_ROWS = 25_000
+
+
 def _texts(spark, sf_dir, header: str, line, between: str = "\n", tail: str = "") -> DataFrame:
-    rows = event_points(spark, sf_dir).select(F.concat_ws("/", "stream_id", "day").alias("source"), "seq", line.alias("line"))
+    points = event_points(spark, sf_dir)
+    rows = points.select(F.concat_ws("/", "stream_id", "day").alias("source"), "seq", line.alias("line"))
+    rows = rows.repartition(points.count() // TEXT_ROWS + 1, "source")  # a number, so that few tasks don't get many texts to parse
     lines = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("rows"))
     body = F.array_join(F.transform("rows", lambda r: r["line"]), between)
     return lines.select("source", F.concat(F.lit(header), body, F.lit(tail)).alias("value"))

@@ -39,7 +39,7 @@ def text_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def sniffed(files: DataFrame) -> DataFrame:
     """``files`` with ``format``: plt, ais, synthetic or gpx; files without text go."""
-    first = F.lower(F.trim(F.split("value", r"\r?\n")[0]))
+    first = F.lower(F.trim(F.regexp_extract("value", r"(?s)\A(.*?)(?:\r?\n|\z)", 1)))
     kind = F.when(first == PLT_HEADER, "plt").when(first == AIS_HEADER, "ais").when(first == SYNTHETIC_HEADER, "synthetic").otherwise("gpx")
     return files.where(F.trim("value") != "").withColumn("format", kind)
 
@@ -59,10 +59,20 @@ def _points(rows: DataFrame) -> DataFrame:
     return good.withColumn("x", geo.mercator_x("lon")).withColumn("y", geo.mercator_y("lat")).select(*COLUMNS)
 
 
+def _parsed(rows: DataFrame, texts: Column) -> DataFrame:
+    """The points of rows source, seq; ``texts`` is a struct of stream_id, day, clock, ms, lat and lon (clock, lat and lon as they are written).
+
+    A generator makes its row once, whatever later filters ask of it; a projection would be repeated in each of them.
+    """
+    once = lambda df, row: df.select("source", F.col("seq").cast("bigint").alias("seq"), F.inline(F.array(row)))
+    number = lambda c: F.col(c).try_cast("double").alias(c)
+    return _points(once(once(rows, texts), F.struct("stream_id", "day", number("lat"), number("lon"), (_clock_ms(F.col("clock")) + F.col("ms")).alias("t_ms"))))
+
+
 def _lines(files: DataFrame) -> DataFrame:
     """source, seq and fields of each line after the first."""
     lines = files.select("source", F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
-    return lines.where("seq > 0").select("source", F.col("seq").cast("bigint").alias("seq"), F.split("line", ",").alias("f"))
+    return lines.where("seq > 0").select("source", "seq", F.split("line", ",").alias("f"))
 
 
 def _split_lines(spark: SparkSession, paths: str | list[str], separator: str | None = None) -> DataFrame:
@@ -97,48 +107,65 @@ def _field(k: int) -> Column:
     return F.trim(F.try_element_at("f", F.lit(k + 1)))
 
 
+def _texts(day: Column, clock: Column, lat: Column, lon: Column, stream: Column | str = "source", ms: Column | None = None) -> Column:
+    return F.struct(
+        (F.col(stream) if isinstance(stream, str) else stream).alias("stream_id"), day.alias("day"), clock.alias("clock"),
+        (F.lit(0).cast("bigint") if ms is None else ms).alias("ms"), lat.alias("lat"), lon.alias("lon"),
+    )
+
+
+def _gpx_records(strict: bool) -> Column:
+    """The track points of a text, each as its own text."""
+    return F.regexp_extract_all("value", F.lit(_STRICT_TRKPT if strict else _TRKPT), F.lit(0))
+
+
+def _gpx_texts(strict: bool) -> Column:
+    """Of ``head`` and ``body``, or if ``strict`` of the track point in ``value``."""
+    if strict:
+        part = lambda k: F.regexp_extract("value", _STRICT_TRKPT, k)
+        number = lambda k: F.regexp_replace(part(k), r"\p{Punct}", ".")
+        return _texts(part(3).try_cast("date"), part(4), number(1), number(2), ms=part(5).try_cast("bigint"))
+    number = lambda name: F.regexp_extract("head", rf"\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    stamp = lambda k: F.regexp_extract("body", r"<time>\s*(\d{4}-\d\d-\d\d)T([0-9:.]+)", k)
+    return _texts(stamp(1).try_cast("date"), stamp(2), number("lat"), number("lon"))
+
+
+def _with_parts(rows: DataFrame) -> DataFrame:
+    """``head`` (the attributes) and ``body`` of the track point in ``value``."""
+    return rows.withColumns({name: F.regexp_extract("value", _TRKPT, k) for k, name in enumerate(("head", "body"), 1)})
+
+
 def read_gpx(files: DataFrame, *, strict: bool = False) -> DataFrame:
     """Track points with a sign, in any order of attributes, with or without ``ele`` and fraction.
 
     ``strict`` takes unsigned positions only, wants both, and reads a fraction's digits as milliseconds.
     """
-    if strict:
-        part = lambda k: F.regexp_extract_all("value", F.lit(_STRICT_TRKPT), F.lit(k))
-        rows = files.select("source", F.posexplode(F.arrays_zip(*(part(k).alias(n) for k, n in enumerate(("lat", "lon", "day", "clock", "ms"), 1)))).alias("seq", "p"))
-        t = _clock_ms(F.col("p.clock")) + F.col("p.ms").try_cast("bigint")
-        number = lambda c: F.regexp_replace(F.col(c), r"\p{Punct}", ".").try_cast("double")
-        found = rows.select("source", F.col("source").alias("stream_id"), F.col("p.day").try_cast("date").alias("day"), F.col("seq").cast("bigint").alias("seq"), number("p.lat").alias("lat"), number("p.lon").alias("lon"), t.alias("t_ms"))
-        return _points(found)
-    part = lambda k: F.regexp_extract_all("value", F.lit(_TRKPT), F.lit(k))
-    rows = files.select("source", F.posexplode(F.arrays_zip(part(1).alias("head"), part(2).alias("body"))).alias("seq", "p"))
-    number = lambda name: F.regexp_extract("p.head", rf"\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1).try_cast("double")
-    stamp = lambda k: F.regexp_extract("p.body", r"<time>\s*(\d{4}-\d\d-\d\d)T([0-9:.]+)", k)
-    found = rows.select(
-        "source", F.col("source").alias("stream_id"), stamp(1).try_cast("date").alias("day"), F.col("seq").cast("bigint").alias("seq"),
-        number("lat").alias("lat"), number("lon").alias("lon"), _clock_ms(stamp(2)).alias("t_ms"),
-    )
-    return _points(found)
+    rows = files.select("source", F.posexplode(_gpx_records(strict)).alias("seq", "value"))
+    return _parsed(rows if strict else _with_parts(rows), _gpx_texts(strict))
 
 
-def _plt_points(lines: DataFrame) -> DataFrame:
+def _plt_texts() -> Column:
     day = F.date_add(F.lit("1899-12-30").cast("date"), _field(4).try_cast("double").cast("int"))
-    return _points(lines.select("source", F.col("source").alias("stream_id"), day.alias("day"), "seq", _field(0).try_cast("double").alias("lat"), _field(1).try_cast("double").alias("lon"), _clock_ms(_field(6)).alias("t_ms")))
+    return _texts(day, _field(6), _field(0), _field(1))
+
+
+def _plt_points(lines: DataFrame) -> DataFrame:
+    return _parsed(lines, _plt_texts())
 
 
 #: Fields of id, time, latitude and longitude.
 _FIELDS = {"ais": (0, 1, 3, 2), "synthetic": (3, 0, 1, 2)}
 
 
-def _stamped_points(lines: DataFrame, format: str, ignore_ids: bool) -> DataFrame:
+def _stamped_texts(format: str, ignore_ids: bool) -> Column:
     id, stamp, lat, lon = _FIELDS[format]
     parts = F.split(_field(stamp), r"[ T]")
     stream = F.col("source") if ignore_ids else F.concat_ws("#", "source", _field(id))
-    return _points(
-        lines.select(
-            "source", stream.alias("stream_id"), F.try_element_at(parts, F.lit(1)).try_cast("date").alias("day"), "seq",
-            _field(lat).try_cast("double").alias("lat"), _field(lon).try_cast("double").alias("lon"), _clock_ms(F.try_element_at(parts, F.lit(2))).alias("t_ms"),
-        )
-    )
+    return _texts(F.try_element_at(parts, F.lit(1)).try_cast("date"), F.try_element_at(parts, F.lit(2)), _field(lat), _field(lon), stream)
+
+
+def _stamped_points(lines: DataFrame, format: str, ignore_ids: bool) -> DataFrame:
+    return _parsed(lines, _stamped_texts(format, ignore_ids))
 
 
 def read_plt(files: DataFrame) -> DataFrame:
@@ -157,10 +184,14 @@ def read_synthetic(files: DataFrame, *, ignore_ids: bool = False) -> DataFrame:
 
 
 def read_points(files: DataFrame, *, ignore_ids: bool = False, strict_gpx: bool = False) -> DataFrame:
-    """The points of files of any format; each file goes to the reader of its own."""
-    known = sniffed(files)
-    of = lambda kind: known.where(F.col("format") == kind)
-    found = read_gpx(of("gpx"), strict=strict_gpx)
-    for part in (read_plt(of("plt")), read_ais(of("ais"), ignore_ids=ignore_ids), read_synthetic(of("synthetic"), ignore_ids=ignore_ids)):
-        found = found.unionByName(part)
-    return found
+    """The points of files of any format, each read by its own in one pass over all files."""
+    is_gpx = F.col("format") == "gpx"
+    records = F.when(is_gpx, _gpx_records(strict_gpx)).otherwise(F.split("value", r"\r?\n"))
+    rows = sniffed(files).select("source", "format", F.posexplode(records).alias("seq", "value")).where(is_gpx | (F.col("seq") > 0))
+    rows = rows.withColumn("f", F.when(~is_gpx, F.split("value", ",")))
+    if not strict_gpx:
+        rows = rows.withColumns({name: F.when(is_gpx, F.regexp_extract("value", _TRKPT, k)) for k, name in enumerate(("head", "body"), 1)})
+    texts = F.when(is_gpx, _gpx_texts(strict_gpx)).when(F.col("format") == "plt", _plt_texts())
+    for format in _FIELDS:
+        texts = texts.when(F.col("format") == format, _stamped_texts(format, ignore_ids))
+    return _parsed(rows, texts)
