@@ -164,9 +164,9 @@ def _over_common_span(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return t, at_times(a, t), at_times(b, t)
 
 
-def hausdorff(a: np.ndarray, b: np.ndarray, piece: int = 1024) -> float:
-    """Symmetric discrete Hausdorff distance in the plane, over pieces of the first trajectory."""
-    there, back = 0.0, np.full(len(b), np.inf)
+def hausdorff(a: np.ndarray, b: np.ndarray, cells: int = 1 << 17) -> float:
+    """Symmetric discrete Hausdorff distance in the plane, over pieces of the first trajectory; about ``cells`` distances are held."""
+    there, back, piece = 0.0, np.full(len(b), np.inf), max(1, cells // max(1, len(b)))
     for i in range(0, len(a), piece):
         d = (a[i : i + piece, None, 0] - b[None, :, 0]) ** 2 + (a[i : i + piece, None, 1] - b[None, :, 1]) ** 2
         there = max(there, float(d.min(axis=1).max()))

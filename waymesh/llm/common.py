@@ -13,27 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..shared import delete, hot_join, scratch, scratch_path, written  # noqa: F401  (operators take them from here)
+from ..shared import BATCH_BYTES, bounded_batches, delete, hot_join, scratch, scratch_path, written  # noqa: F401  (operators take them from here)
 
 #: Entries that a worker's memo of words holds before it is emptied.
 MEMO_ENTRIES = 400_000
 #: Hashes are made faster than a large memo is searched.
 HASH_MEMO_ENTRIES = 120_000
-#: Bytes of an Arrow batch; a longer row is a batch by itself.
-BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound on an Arrow batch to ``BATCH_BYTES``: two tasks an executor hold a few batches each."""
-    found = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
-    if not found.rstrip("b").isdigit() or not 0 < int(found.rstrip("b")) <= BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-
-
 def give_back() -> None:
     """Freed memory back to the system: workers outlive their tasks, and an executor holds several."""
     gc.collect()
@@ -67,7 +58,7 @@ def map_batches(
     Workers outlive their tasks: what other operators left in one (``kept``) goes
     when a task begins that doesn't name it with ``keeps``.
     """
-    _bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _KEPT and _KEPT[0][0] != keeps:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bbox, shapes
-from ..shared import cut, hot_join, written
+from ..shared import bounded_batches, cut, hot_join, written
 from . import balls
 from .components import connected_components
 
@@ -39,7 +39,9 @@ def edge_pairs(edges: DataFrame, group: list[str] = GROUP, *, block: int = 512,
     meet under a key of their own, so no task has a whole large group.  ``near``
     drops pairs before their points are looked at, by a side of their boxes that
     differs by as much: no such pair has a Hausdorff distance below it.
+    Batches of pairs that go to Python are bounded by bytes, as trips are of any length.
     """
+    bounded_batches(edges.sparkSession)
     box = bbox.of_array(F.col("trj"))
     rows = edges.select(F.struct(*group).alias("g"), *group, "edge_id", "trj", *([box.alias("box")] if near is not None else []))
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
@@ -128,8 +130,9 @@ def centroids(edges: DataFrame, clusters: DataFrame, threshold: float) -> DataFr
 
     The fold begins with the last member.  Each weighs half of what came before,
     so its order is part of the result and a cluster is folded in one task; but
-    its rows come sorted, in batches, and only the mean is held.
+    its rows come sorted, in bounded batches, and only the mean is held.
     """
+    bounded_batches(edges.sparkSession)
     keys = [*GROUP, "cluster_id"]
     rows = edges.join(clusters, "edge_id").select("edge_id", *keys, "weight", "trj")
     begin = rows.groupBy(*keys).agg(F.max("edge_id").alias("edge_id")).select("edge_id", F.lit(0).alias("turn"))
@@ -169,6 +172,7 @@ def centroids(edges: DataFrame, clusters: DataFrame, threshold: float) -> DataFr
 
 def simplify(edges: DataFrame, threshold: float) -> DataFrame:
     """Edges with simplified trajectories; only these go to Python, and nothing is moved between partitions."""
+    bounded_batches(edges.sparkSession)
 
     @F.arrow_udf("array<boolean>")
     def kept(column: pa.Array) -> pa.Array:

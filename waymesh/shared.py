@@ -14,10 +14,20 @@ from pyspark.sql import functions as F
 #: Rows of one key from which a join sends them elsewhere than to the key's task, and how many such keys are broadcast.
 HOT_ROWS, HOT_KEYS = 500, 1000
 
+#: Bytes of an Arrow batch; a longer row is a batch by itself.
+BATCH_BYTES = 2 << 20
+
 #: The folders of each ``scratch`` around, outermost first; of this thread or task alone.
 _SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on an Arrow batch to ``BATCH_BYTES``: the tasks of an executor hold a few batches each."""
+    found = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not found.rstrip("b").isdigit() or not 0 < int(found.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
     context = spark.sparkContext
