@@ -4,8 +4,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from waymesh.config import Config
 from waymesh.functions import shapes
 from waymesh.operators import edges as edge_ops
+from waymesh.plans import graph
 
 POINTS = "transform(sequence(0, {n}), i -> struct(cast(id % 7 + i as double) as x, cast(i as double) as y, cast(i as double) as t))"
 
@@ -28,3 +30,13 @@ def test_hausdorff_in_pieces_of_any_size():
     d = np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])
     want = max(d.min(axis=1).max(), d.min(axis=0).max())
     assert all(np.isclose(shapes.hausdorff(a, b, cells=cells), want) for cells in (1, 24, 100, 1 << 17))
+
+
+def test_trips_are_not_broadcast(spark):
+    p = lambda k: F.col("trj")[k].alias("start" if not k else "end")
+    trips = spark.range(10).select(F.col("id").alias("trj_id"), F.expr(POINTS.format(n=1)).alias("trj")).select("trj_id", p(0), p(1), "trj")
+    _, edges = graph.place_graph(trips, Config())
+    assert edges.count() == 10
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    assert "SortMergeJoin" in edges._jdf.queryExecution().sparkPlan().toString().splitlines()[1]

@@ -40,7 +40,8 @@ def place_graph(trips: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]
     at = ends.join(members, "ep_id").groupBy("trj_id").agg(
         F.max(F.when(~F.col("is_end"), F.col("cluster_id"))).alias("src"), F.max(F.when(F.col("is_end"), F.col("cluster_id"))).alias("dst")
     )
-    edges = trips.join(at, "trj_id").select(F.col("trj_id").alias("edge_id"), "src", "dst", F.lit(1).alias("weight"), "trj")
+    # never by broadcast of the trips: as a table they are a tenth of what their points take in memory
+    edges = trips.hint("merge").join(at, "trj_id").select(F.col("trj_id").alias("edge_id"), "src", "dst", F.lit(1).alias("weight"), "trj")
     return nodes, edges
 
 
