@@ -64,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     with scratch(spark):
         for name, stage in STAGES:
-            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", lasting=name == STAGES[-1][0])
+            with scratch(spark):  # a stage's own tables, some with all texts, go when its result is written
+                docs = written(stage(spark, docs, sf_dir), f"stage-{name}", lasting=1 + (name == STAGES[-1][0]))
     return docs

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..shared import BATCH_BYTES, bounded_batches, delete, hot_join, scratch, scratch_path, written  # noqa: F401  (operators take them from here)
+from ..shared import BATCH_BYTES, Sieve, bounded_batches, delete, hot_join, scratch, scratch_path, written  # noqa: F401  (operators take them from here)
 
 #: Entries that a worker's memo of words holds before it is emptied.
 MEMO_ENTRIES = 400_000

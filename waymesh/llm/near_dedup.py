@@ -21,7 +21,9 @@ is left is compared inside tasks, in blocks of ``block`` rows, and only links
 are written out.
 
 Classes, components, least rows and buckets that hold many rows meet them by
-broadcast of their own narrow row (``hot_join``), not in one task.
+broadcast of their own narrow row (``hot_join``), not in one task.  Texts and
+sketches are shuffled only where a bitmap of bounded size (``Sieve``) leaves it
+open whether a join asks for them.
 
 Bands (``bands`` x ``rows``) miss a pair of similarity 0.8 with probability
 (1 - 0.8^6)^40 = 5e-6; pruning adds ``miss`` a batch at most, and sub-bands of
@@ -54,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import HashMemo, hot_join, map_batches, mixed, scratch, unused, utf8, written
+from .common import HashMemo, Sieve, hot_join, map_batches, mixed, scratch, unused, utf8, written
 
 #: Hashes compared between two looks at the posterior.
 BATCH = 16
@@ -322,8 +324,8 @@ def _sub_banded(rows: DataFrame, plan: Plan) -> DataFrame:
     return _sized(cut).select("pivot", "row_id")
 
 
-def _late_links(doubtful: DataFrame, sketched: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """Links between components among the doubtful rows of each group, confirmed on full sets inside the task."""
+def _late_links(doubtful: DataFrame, plan: Plan) -> DataFrame:
+    """Links between components among the doubtful rows of each group (with sketches and sets), confirmed on full sets inside the task."""
     least = plan.least_matches()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,16 +356,12 @@ def _late_links(doubtful: DataFrame, sketched: DataFrame, sets: DataFrame, plan:
             if found:
                 yield _pairs_batch(found, ["a", "b"])
 
-    rows = (
-        doubtful.join(sketched, "row_id").join(sets, "row_id")
-        .select(*_HEAD, "own", "row_id", "component", "n_shingles", "sig", "shingles")
-        .repartition(*_HEAD).sortWithinPartitions(*_HEAD)
-    )
+    rows = doubtful.select(*_HEAD, "own", "row_id", "component", "n_shingles", "sig", "shingles").repartition(*_HEAD).sortWithinPartitions(*_HEAD)
     return map_batches(rows, work, "a long, b long")
 
 
-def _full_sets(ids: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
-    """row_id and all shingles of the rows with these ids, from the texts again: sets are never stored for all documents."""
+def _with_sets(asked: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
+    """``asked`` (row_id, ...) with all shingles of each row, from the texts again: sets are never stored for all documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = HashMemo()
@@ -377,12 +375,13 @@ def _full_sets(ids: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key
                 )
                 at += len(texts)
 
-    wanted = written(rows.select("row_id", "doc_id", "digest").join(ids, "row_id", "left_semi"), "wanted")
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(
-        wanted.select("doc_id").distinct(), "doc_id", "left_semi"
+    wanted = written(asked.join(rows.select("row_id", "doc_id", "digest"), "row_id"), "wanted")
+    texts, _ = Sieve.of(wanted.select("doc_id").distinct(), "doc_id").parted(
+        docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), F.col("doc_id")
     )
     sets = map_batches(texts, work, "doc_id long, digest binary, shingles binary")
-    return wanted.join(sets, ["doc_id", "digest"]).select("row_id", "shingles").dropDuplicates(["row_id"])
+    # each set is moved to its rows once; those of rows that repeat an id and a set are one
+    return wanted.join(sets.dropDuplicates(["doc_id", "digest"]), ["doc_id", "digest"]).drop("doc_id", "digest")
 
 
 def _verify(stars: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
@@ -415,9 +414,8 @@ def _verify(stars: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key:
     parts = written(parts, "star-parts")
     members = hot_join(stars, parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b", F.col("b").alias("row_id"))
     centres = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), F.col("a").alias("row_id"))
-    asked = written(members.unionByName(centres), "asked")
-    sets = _full_sets(asked.select("row_id").distinct(), docs, rows, plan, key, text)
-    dealt = asked.join(sets, "row_id").select("a", "part", "b", "shingles").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    asked = _with_sets(members.unionByName(centres), docs, rows, plan, key, text)
+    dealt = asked.select("a", "part", "b", "shingles").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     return map_batches(dealt, confirm, "a long, b long")
 
 
@@ -458,17 +456,28 @@ def _same_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return linked.join(node("first", "a"), "first").join(node("class", "b"), "class").select("a", "b")
 
 
+def _first_of_class(sketched: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``sketched`` that stand for their class; wide rows of sets that occur once are not shuffled."""
+    several = Sieve.of(classes.where("n > 1 and n_shingles > 0"), "class")
+    open_rows, alone = several.parted(sketched.where("n_shingles > 0 and doc_id is not null"), F.col("digest"))
+    return alone.unionByName(open_rows.join(classes.select(F.col("node").alias("row_id")), "row_id", "left_semi"))
+
+
 def _class_components(docs: DataFrame, sketched: DataFrame, rows: DataFrame, classes: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
     """id, component of the classes' nodes that are linked with any other."""
-    first = written(sketched.join(classes.where("n_shingles > 0").select(F.col("node").alias("row_id")), "row_id", "left_semi"), "first")
-    sig = first.select("row_id", "sig", "n_shingles")
+    first = written(_first_of_class(sketched, classes), "first")
     named = lambda df, c: df.withColumnsRenamed({"row_id": c, "sig": f"sig_{c}", "n_shingles": f"size_{c}"})
 
     bands = first.select("row_id", F.explode("keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("row_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = written(hot_join(bands, written(buckets, "buckets"), "key", keep_n=True), "members")
+    buckets = written(buckets, "buckets")
+    shared, _ = Sieve.of(buckets, "key").parted(bands, F.col("key"))
+    members = written(hot_join(shared, buckets, "key", keep_n=True), "members")
 
     stars = written(members.where("row_id <> pivot").select(F.col("pivot").alias("a"), F.col("row_id").alias("b")).distinct(), "stars")
+    ends = stars.select(F.explode(F.array("a", "b")).alias("row_id"))
+    sig, _ = Sieve.of(ends, "row_id").parted(first.select("row_id", "sig", "n_shingles"), F.col("row_id"))
+    sig = written(sig, "star-sketches")
     centres = written(stars.groupBy("a").agg(F.count("*").alias("n")).join(named(sig, "a"), "a"), "centres")
     alike = written(_prune(hot_join(stars, centres, "a").join(named(sig, "b"), "b"), plan), "alike")
     best = alike.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
@@ -503,8 +512,8 @@ def _class_components(docs: DataFrame, sketched: DataFrame, rows: DataFrame, cla
     doubtful = written(_doubtful(members, plan), "doubtful")
     if not doubtful.limit(1).count():
         return components
-    sets = _full_sets(doubtful.select("row_id").distinct(), docs, rows, plan, key, text)
-    late = written(_late_links(doubtful, known, sets, plan), "late-links")
+    late = _late_links(_with_sets(doubtful.join(known, "row_id"), docs, rows, plan, key, text), plan)
+    late = written(late, "late-links")
     return _components(links.union(late)) if late.limit(1).count() else components
 
 
@@ -513,4 +522,7 @@ def drop_duplicates(docs: DataFrame, plan: Plan = Plan(), *, key: str = "doc_id"
     name = unused(docs, "gone")
     gone = near_duplicates(docs, plan, key=key, text=text).where("not kept").select(F.col("doc_id").alias(name)).distinct()
     gone = written(gone, "gone", lasting=True)
-    return docs.join(gone, docs[key].cast("long") == gone[name], "left_anti")
+    # only texts that may go are shuffled
+    own = docs[key].cast("long")
+    doubtful, stay = Sieve.of(gone, name, lasting=True).parted(docs, own)
+    return stay.unionByName(doubtful.join(gone, own == gone[name], "left_anti"))

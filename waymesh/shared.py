@@ -7,13 +7,17 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one key from which a join sends them elsewhere than to the key's task, and how many such keys are broadcast.
 HOT_ROWS, HOT_KEYS = 500, 1000
 
+#: Bits of the largest sieve (16 MB), and of a piece of it.
+SIEVE_BITS, PIECE_BITS = 1 << 27, 1 << 12
+
 #: Bytes of an Arrow batch; a longer row is a batch by itself.
 BATCH_BYTES = 2 << 20
 
@@ -41,17 +45,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def scratch_path(spark: SparkSession, name: str, *, lasting: bool = False) -> str:
-    """A new path in the shared folder; it goes with the ``scratch`` around it, or if it is ``lasting`` with the one around that."""
+def scratch_path(spark: SparkSession, name: str, *, lasting: int = False) -> str:
+    """A new path in the shared folder; it goes with the ``scratch`` around it, or if it is ``lasting`` with the one around that (2: the next one)."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/waymesh/{name}-{uuid.uuid4().hex}"
     around = _SCRATCH.get()
-    around = around[: len(around) - lasting]
+    around = around[: max(0, len(around) - lasting)]
     if around:
         around[-1].append(path)
     return path
 
 
-def written(df: DataFrame, name: str, *, lasting: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, *, lasting: int = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name, lasting=lasting)
@@ -113,3 +117,38 @@ def salted_join(rows: DataFrame, heads: DataFrame, key: str, by: str, block: int
     left = hot_join(rows, sizes, key, keep_n=True).withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("n")
     right = heads.join(sizes, key).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
     return left.join(right, [key, "salt"]).drop("salt")
+
+
+@dataclass(frozen=True)
+class Sieve:
+    """A bitmap of hashed keys, in pieces of ``PIECE_BITS`` (piece, words); it lets other keys pass now and then, but holds back none of its own."""
+
+    pieces: DataFrame
+    bits: int
+
+    @classmethod
+    def of(cls, keys: DataFrame, key: str, *, lasting: bool = False) -> "Sieve":
+        """64 bits a row of ``keys``, up to ``SIEVE_BITS`` in all, whatever their number."""
+        bits = min(SIEVE_BITS, 1 << max(16, (64 * keys.count()).bit_length()))
+        words = keys.select(cls._at(F.col(key), bits).alias("at")).groupBy(F.expr("shiftright(at, 6)").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("word"))
+        per = PIECE_BITS // 64
+        by_slot = F.map_from_entries(F.collect_list(F.struct(F.col("slot") % per, "word")))
+        pieces = words.groupBy(F.floor(F.col("slot") / per).alias("piece")).agg(by_slot.alias("own"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda i: F.coalesce(F.get(F.map_values(F.map_filter("own", lambda k, _: k == i)), F.lit(0)), F.lit(0)))
+        return cls(written(pieces.select("piece", dense.alias("words")), "sieve", lasting=lasting), bits)
+
+    @staticmethod
+    def _at(key: Column, bits: int) -> Column:
+        return F.xxhash64(key).bitwiseAND(F.lit(bits - 1))
+
+    def parted(self, df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+        """``df`` in two, without a shuffle: rows whose key may be one of the sieve's, and rows whose key is none (a null one may be in either)."""
+        taken, mark = {c.lower() for c in df.columns}, "_"
+        while {mark + "piece", mark + "words"} & taken:
+            mark += "_"
+        at = self._at(key, self.bits)
+        pieces = F.broadcast(self.pieces.select(F.col("piece").alias(mark + "piece"), F.col("words").alias(mark + "words")))
+        met = df.join(pieces, F.shiftright(at, PIECE_BITS.bit_length() - 1) == F.col(mark + "piece"), "left")
+        word = F.get(F.col(mark + "words"), F.shiftright(at.bitwiseAND(F.lit(PIECE_BITS - 1)), 6).cast("int"))
+        may = F.coalesce(F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+        return tuple(met.where(c).drop(mark + "piece", mark + "words") for c in (may, ~may))
