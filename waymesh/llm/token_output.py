@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from .common import kept, map_batches, mixed, small_table, written
 from .perfect_hash import PerfectHash
 
-#: Words whose ids a worker remembers before it forgets them all.
+#: Words whose ids a worker remembers before it forgets those it has met in one chunk only.
 MEMO_ENTRIES = 500_000
 _CHUNK_BYTES = 8 << 20
 #: Text and documents that a shard holds at most, as far as ranges are even; with more shuffle partitions shards are smaller, down to ``SMALL_SHARD`` bytes.
@@ -90,7 +90,7 @@ class WordEncoder:
     """
 
     def __init__(self, tokenizer, dtype):
-        self.tokenizer, self.dtype, self.memo = tokenizer, dtype, {}
+        self.tokenizer, self.dtype, self.memo, self.again = tokenizer, dtype, {}, set()
         ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
         self.lower = ids("AB Cd") == ids("ab cd")
         spec = json.loads(tokenizer.to_str())
@@ -151,6 +151,11 @@ class WordEncoder:
         for w in stopped:
             memo[w] = memo[w[:-1]] + stops[w[-1:]]
 
+    def _forget(self) -> None:
+        """Words met in several chunks since the last time stay, if they leave half of the room."""
+        stay = self.again if len(self.again) <= MEMO_ENTRIES // 2 else ()
+        self.memo, self.again = {w: self.memo[w] for w in stay}, set()
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text with its end id, and all those ids one after another."""
         texts = texts.fill_null("")
@@ -161,9 +166,12 @@ class WordEncoder:
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+            self._forget()
         memo = self.memo
-        if new := [w for w in words if w not in memo]:
+        new = [w for w in words if w not in memo]
+        self.again.update(words)
+        self.again.difference_update(new)
+        if new:
             self.learn(new)
         known = [memo[w] for w in words]
         # the end id is one more word, after the last one of each text
