@@ -72,6 +72,7 @@ def simplified(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     keep = np.ones(n, bool)
     if n < 3:
         return keep
+    x, y = x.tolist(), y.tolist()  # plain numbers are read much faster one by one
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     size = lambda a, b, c: abs((x[a] * (y[b] - y[c]) + x[b] * (y[c] - y[a]) + x[c] * (y[a] - y[b])) / 2)
     area = [0.0] * n
@@ -164,8 +165,90 @@ def _over_common_span(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return t, at_times(a, t), at_times(b, t)
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, cells: int) -> np.ndarray:
+    """Squared distance of each point of ``a`` to the nearest of ``b``; about ``cells`` distances are held."""
+    piece = max(1, cells // max(1, len(b)))
+    parts = [((a[i : i + piece, None, 0] - b[None, :, 0]) ** 2 + (a[i : i + piece, None, 1] - b[None, :, 1]) ** 2).min(axis=1) for i in range(0, len(a), piece)]
+    return np.concatenate(parts)
+
+
+def _quartered(p: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Boxes of points (``start`` tells where each begins) parted at their middles: points, where each part begins, and its box before."""
+    box = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    middle = (np.minimum.reduceat(p, start[:-1]) + np.maximum.reduceat(p, start[:-1])) / 2
+    part = box * 4 + (p > middle[box]) @ np.array([2, 1])
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    return p[order], np.append(first, len(p)), part[first] // 4
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.arange(size.sum()) + np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size)
+
+
+#: What rounding may take from a bound, as a share; pairs of boxes that are held at once.
+_LOOSE, _PAIRS = 1 + 1e-9, 1 << 16
+
+
+def _farthest(a: np.ndarray, b: np.ndarray, least: float, cells: int) -> float:
+    """The greatest squared distance of a point of ``a`` to the nearest of ``b``, ``least`` at least.
+
+    Boxes of both are parted again and again: those of ``b`` that can't have the nearest
+    point of a box of ``a`` go, and those of ``a`` that can't have the farthest one.
+    """
+    starts = [np.array([0, len(a)]), np.array([0, len(b)])]
+    i = j = np.zeros(1, int)
+    bound = least
+    while True:
+        (low_a, high_a), (low_b, high_b) = ((np.minimum.reduceat(p, s[:-1]), np.maximum.reduceat(p, s[:-1])) for p, s in zip((a, b), starts, strict=True))
+        near = (np.maximum(0, np.maximum(low_b[j] - high_a[i], low_a[i] - high_b[j])) ** 2).sum(axis=1)
+        far = (np.maximum(high_b[j] - low_a[i], high_a[i] - low_b[j]) ** 2).sum(axis=1)
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        upper = np.repeat(np.minimum.reduceat(far, first), np.diff(np.append(first, len(i)))) * _LOOSE
+        bound = max(bound, float(np.minimum.reduceat(near, first).max()))
+        open_ = (near <= upper) & (upper * _LOOSE >= bound)
+        i, j, upper = i[open_], j[open_], upper[open_]
+        sizes = [np.diff(s) for s in starts]
+        if not len(i) or len(i) > _PAIRS or int((sizes[0][i] * sizes[1][j]).sum()) <= 4 * (len(a) + len(b)):
+            break
+        parts = []
+        for k, p in enumerate((a, b)):
+            p, starts[k], above = _quartered(p, starts[k])
+            begin = np.flatnonzero(np.append(True, above[1:] != above[:-1]))
+            parts.append((p, begin, np.diff(np.append(begin, len(above)))))
+        (a, at_a, n_a), (b, at_b, n_b) = parts
+        pair = np.repeat(np.arange(len(i)), n_a[i])
+        i, j = _ranges(at_a[i], n_a[i]), j[pair]
+        i, j = np.repeat(i, n_b[j]), _ranges(at_b[j], n_b[j])
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+    first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
+    last = np.append(first[1:], len(i))
+    for k in np.argsort(-upper[first], kind="stable").tolist():
+        if upper[first[k]] * _LOOSE < least:
+            break
+        box = i[first[k]]
+        there = j[first[k] : last[k]]
+        others = b[_ranges(starts[1][there], sizes[1][there])]
+        least = max(least, float(_nearest(a[starts[0][box] : starts[0][box + 1]], others, cells).max()))
+    return least
+
+
+def _positions(p: np.ndarray) -> np.ndarray:
+    """Distinct x, y."""
+    at = np.empty(len(p), complex)
+    at.real, at.imag = p[:, 0], p[:, 1]
+    at = np.unique(at)
+    return np.stack([at.real, at.imag], axis=1)
+
+
 def hausdorff(a: np.ndarray, b: np.ndarray, cells: int = 1 << 17) -> float:
-    """Symmetric discrete Hausdorff distance in the plane, over pieces of the first trajectory; about ``cells`` distances are held."""
+    """Symmetric discrete Hausdorff distance in the plane; about ``cells`` distances are held, and of longer trajectories few are computed."""
+    if len(a) * len(b) > 16 * cells and np.isfinite(a[:, :2]).all() and np.isfinite(b[:, :2]).all():
+        a, b = _positions(a), _positions(b)
+        if len(a) * len(b) > 16 * cells:
+            return float(np.sqrt(_farthest(b, a, _farthest(a, b, 0.0, cells), cells)))
     there, back, piece = 0.0, np.full(len(b), np.inf), max(1, cells // max(1, len(b)))
     for i in range(0, len(a), piece):
         d = (a[i : i + piece, None, 0] - b[None, :, 0]) ** 2 + (a[i : i + piece, None, 1] - b[None, :, 1]) ** 2

@@ -420,7 +420,7 @@ def _verify(stars: DataFrame, docs: DataFrame, rows: DataFrame, plan: Plan, key:
 
 
 def _components(links: DataFrame) -> DataFrame:
-    return written(connected_components(links, cut=written), "components")
+    return written(connected_components(links, cut=written, one_task=0), "components")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), *, key: str = "doc_id", text: str = "text") -> DataFrame:

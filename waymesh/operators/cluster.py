@@ -175,8 +175,17 @@ def merge_boxes(boxes: DataFrame, share: float = 0.5, *, cell: float = 100.0) ->
 
     Rounds of components over hulls: the fixpoint does not depend on an order of merging.
     A round with a pair leaves fewer clusters than it found, so the rounds end.
+    Boxes of equal sides overlap wholly, so they go through the rounds as one.
     """
-    hulls = boxes.select("node_id", "bbox")
+    own = F.struct(*(F.col(f"bbox.{s}").alias(s) for s in bbox.SIDES[:4]))
+    size = bbox.area(F.col("bbox"))
+    alone = F.when((share <= 1) & (size > 0) & (size < float("inf")), None).otherwise(F.col("node_id"))  # those without an area overlap with none
+    named = written(boxes.select("node_id", "bbox", F.struct(own.alias("own"), alone.alias("alone")).alias("same")), "boxes")
+    ends = {f"{f}{n}": g(f"bbox.{f}{n}") for f in "xyt" for n, g in ((1, F.min), (2, F.max))}
+    spots = named.groupBy("same").agg(F.min("node_id").alias("spot"), bbox.make(**ends).alias("bbox"), F.count("*").alias("n"))
+    spots = written(spots, "box-spots")
+    boxes = spots.select(F.col("spot").alias("node_id"), "bbox")
+    hulls = boxes
     members = boxes.select("node_id", F.col("node_id").alias("cluster_id"))
     while True:
         pairs = written(overlapping_boxes(hulls, share, cell=cell), "box-pairs")
@@ -187,7 +196,9 @@ def merge_boxes(boxes: DataFrame, share: float = 0.5, *, cell: float = 100.0) ->
         each = boxes.join(members, "node_id").select("cluster_id", "bbox.*")
         ends = {f"{f}{n}": g(f"{f}{n}") for f in "xyt" for n, g in ((1, F.min), (2, F.max))}
         hulls = written(each.groupBy("cluster_id").agg(bbox.make(**ends).alias("bbox")).withColumnRenamed("cluster_id", "node_id"), "box-hulls")
-    return members.join(hulls.withColumnRenamed("node_id", "cluster_id"), "cluster_id").select("node_id", "cluster_id", "bbox")
+    merged = members.join(hulls.withColumnRenamed("node_id", "cluster_id"), "cluster_id").select(F.col("node_id").alias("spot"), "cluster_id", "bbox")
+    placed = written(spots.select("same", "spot", "n").join(merged, "spot").select("same", "cluster_id", "bbox", "n"), "box-places")
+    return hot_join(named.select("node_id", "same"), placed, "same").select("node_id", "cluster_id", "bbox")
 
 
 def minimal_boxes(members: DataFrame, edges: DataFrame, pad: float = 1.0) -> DataFrame:

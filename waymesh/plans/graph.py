@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import bbox
 from ..operators import clean, cluster, edges as edge_ops, motion, paths, segment, split, verify
-from ..shared import cut
+from ..shared import cut, spread
 
 
 def trips_of(points: DataFrame, keys: list[str], order: list[str], config: Config, *, id: str, spikes: bool = False) -> DataFrame:
@@ -52,7 +52,8 @@ def representatives(edges: DataFrame, config: Config) -> DataFrame:
         chosen = edge_ops.centroids(edges, clusters, config.visvalingam_threshold)
     else:
         chosen = edge_ops.medoids(edges, clusters)
-    return edge_ops.simplify(chosen.select("edge_id", "src", "dst", "weight", "trj"), config.visvalingam_threshold)
+    # few bytes, but work on every point
+    return edge_ops.simplify(spread(chosen.select("edge_id", "src", "dst", "weight", "trj"), "edge_id"), config.visvalingam_threshold)
 
 
 def lasting(edges: DataFrame) -> DataFrame:

@@ -106,6 +106,11 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, *, n: str = "n", keep_
     return left.join(F.broadcast(top if keep_n else top.drop(n)), key).unionByName(cool)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all cores and some, for work that doesn't follow its bytes: a number, so that few bytes are not put into few tasks."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def salted_join(rows: DataFrame, heads: DataFrame, key: str, by: str, block: int) -> DataFrame:
     """Inner join of ``rows`` with ``heads``, of which a key has several or wide ones, so that none is broadcast.
 
