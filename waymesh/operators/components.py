@@ -66,7 +66,7 @@ def connected_components(
         .distinct(),
         "links",
     )
-    if isinstance(links.schema["u"].dataType, (IntegralType, StringType)) and links.limit(one_task).count() < one_task:
+    if one_task and isinstance(links.schema["u"].dataType, (IntegralType, StringType)) and links.limit(one_task).count() < one_task:
         return cut(_in_one_task(links), "components")
     nodes = links.select(F.col("u").alias("id")).union(links.select(F.col("v").alias("id"))).distinct()
     few = False
